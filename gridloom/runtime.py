@@ -91,3 +91,20 @@ def literal_table(spark: SparkSession, rows: list[tuple], schema: str | T.Struct
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per application;
+    needed where it is not installed on them."""
+    import shutil
+    from pathlib import Path
+
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        here = Path(__file__).resolve().parent
+        made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='gridloom-')}/gridloom", "zip", here.parent, here.name)
+        spark.sparkContext.addPyFile(made)
