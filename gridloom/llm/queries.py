@@ -8,10 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
 from .leaks import leaked_items, near_items
+from .linkage import linked_edges
 from .lookalike import look_alike_classes, look_alike_pairs
 from .tokens import encode_texts
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return linked_edges(table(spark, d, "network"), table(spark, d, "edges")).select("edge_id", "link_id")
+
+
+def p3_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return linked_edges(table(spark, d, "network"), table(spark, d, "edges"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(table(spark, d, "documents"))
 
@@ -33,7 +42,7 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p7_ids, p8_found, p8_near, p9_found, p9_classes)}
+    return {f.__name__: f for f in (p3_found, p3_confidence, p7_ids, p8_found, p8_near, p9_found, p9_classes)}
 
 
 def oracle_sql() -> dict[str, str]:
