@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import nested, packed, references, units
+from ..operators import near_regions, nested, packed, references, units
 from ..runtime import table
 
 
@@ -21,6 +21,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.flat_children(table(spark, d, "raw_elements"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_regions.line_regions(table(spark, d, "edges"), table(spark, d, "zones"))
+
+
 def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     elements = table(spark, d, "osm_elements")
     refs = references.element_references(elements).unionByName(references.network_references(table(spark, d, "network")))
@@ -68,7 +72,7 @@ _FOUND = (
     "FROM orphan WHERE status IS NOT NULL"
 )
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p4_found, p6_found, p6_report, p6_current)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p6_found, p6_report, p6_current)}
 SQL = {
     "p6_found": f"WITH {_REFS} {_FOUND}",
     "p6_report": f"""WITH {_REFS}, found AS ({_FOUND})
