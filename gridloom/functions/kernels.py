@@ -217,3 +217,92 @@ def buffer_convex(ring: np.ndarray, by: float, steps: int = 16) -> np.ndarray:
     a = np.arange(4 * steps) * (np.pi / (2 * steps))
     circle = by * np.stack([np.cos(a), np.sin(a)], axis=1)
     return hull((ring[:, None] + circle).reshape(-1, 2))
+
+
+# -- whole batches ---------------------------------------------------------------
+
+
+def _simple_line(w: bytes) -> np.ndarray | None:
+    """Points of a little-endian two-dimensional line, the common case."""
+    if w and w[:5] == b"\x01\x02\x00\x00\x00" and len(w) > 9:
+        return np.frombuffer(w, "<f8", offset=9).reshape(-1, 2)
+    return None
+
+
+def lines_in_polygons(lines: list[bytes | None], polygons: list[bytes | None]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """For pairs of WKB: which have a piece, the pieces, the lengths of the lines
+    and of the pieces. Lines that meet one convex polygon are clipped together;
+    only other polygons and multi-lines go one by one."""
+    from .wkb import dumps, loads
+
+    n = len(lines)
+    whole, part = np.zeros(n), np.zeros(n)
+    piece: list[bytes | None] = [None] * n
+    groups: dict[bytes, list[int]] = {}
+    for i, w in enumerate(polygons):
+        if w and lines[i]:
+            groups.setdefault(w, []).append(i)
+    for w, members in groups.items():
+        poly = loads(w)
+        if poly is None or poly[0] != "polygon":
+            continue
+        convex = len(poly[1]) == 1 and len(poly[1][0]) == 1 and is_convex(poly[1][0][0])
+        slow = members
+        if convex:
+            pts = [_simple_line(lines[i]) for i in members]
+            slow = [i for i, p in zip(members, pts) if p is None or len(p) < 2]
+            fast = [(i, p) for i, p in zip(members, pts) if p is not None and len(p) > 1]
+            if fast:
+                size = np.array([len(p) - 1 for _, p in fast])
+                a = np.concatenate([p[:-1] for _, p in fast])
+                b = np.concatenate([p[1:] for _, p in fast])
+                t0, t1 = _clip_convex_segments(a, b, open_ring(poly[1][0][0]))
+                seg = np.hypot(*(b - a).T)
+                at = np.cumsum(size) - size
+                inner = np.add.reduceat(np.maximum(t1 - t0, 0) * seg, at)
+                total = np.add.reduceat(seg, at)
+                s, e = a + t0[:, None] * (b - a), a + t1[:, None] * (b - a)
+                s[t0 == 0], e[t1 == 1] = a[t0 == 0], b[t1 == 1]
+                for k, (i, _) in enumerate(fast):
+                    whole[i] = total[k]
+                    if inner[k] > 0:
+                        part[i] = inner[k]
+                        lo, hi = at[k], at[k] + size[k]
+                        piece[i] = dumps(("line", _joined(s[lo:hi], e[lo:hi], (t1 - t0)[lo:hi] > 0)))
+        for i in slow:
+            line = loads(lines[i])
+            if line is not None and line[0] == "line":
+                got = line_in_polygon(line, poly)
+                whole[i] = length(line)
+                if got[0] != "empty":
+                    part[i], piece[i] = length(got), dumps(got)
+    keep = np.array([p is not None for p in piece], bool)
+    return keep, [p for p in piece if p is not None], whole[keep], part[keep]
+
+
+def _clip_convex_segments(p: np.ndarray, q: np.ndarray, ring: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Range of the parameter of each segment within a closed convex ring."""
+    d = q - p
+    t0, t1 = np.zeros(len(p)), np.ones(len(p))
+    for a, b in zip(ring, np.roll(ring, -1, axis=0)):
+        e = b - a
+        side = e[0] * (p[:, 1] - a[1]) - e[1] * (p[:, 0] - a[0])
+        rate = e[0] * d[:, 1] - e[1] * d[:, 0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = -side / rate
+        t0 = np.where(rate > 0, np.maximum(t0, t), t0)
+        t1 = np.where(rate < 0, np.minimum(t1, t), t1)
+        t1 = np.where((rate == 0) & (side < 0), -1.0, t1)
+    return t0, np.where(t1 - t0 > 1e-12, t1, t0)  # touches have no length
+
+
+def _joined(s: np.ndarray, e: np.ndarray, held: np.ndarray) -> list[np.ndarray]:
+    """Consecutive held pieces of a line put together."""
+    out: list[list[np.ndarray]] = []
+    for a, b, ok in zip(s, e, held):
+        if ok:
+            if out and (out[-1][-1] == a).all():
+                out[-1].append(b)
+            else:
+                out.append([a, b])
+    return [np.array(x) for x in out]

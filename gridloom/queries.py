@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import data_queries
+from .plans import data_queries, overlay_queries
+
+_GROUPS = (overlay_queries, data_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**data_queries.QUERIES}
+    return {k: v for g in _GROUPS for k, v in g.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**data_queries.SQL}
+    return {k: v for g in _GROUPS for k, v in g.SQL.items()}
