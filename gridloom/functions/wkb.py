@@ -157,3 +157,20 @@ def line_parts(b: bytes | None) -> list[np.ndarray]:
 
 def line_length(parts: list[np.ndarray]) -> float:
     return float(sum(np.hypot(*np.diff(p, axis=0).T).sum() for p in parts))
+
+
+def open_polygons(rings: list[np.ndarray]) -> Geometry:
+    """Polygons from loose rings: those that turn right are shells, the others
+    holes of the shell whose box holds them."""
+    def turn(r: np.ndarray) -> float:
+        return float((r[:-1, 0] * r[1:, 1] - r[1:, 0] * r[:-1, 1]).sum())
+
+    shells = [[r] for r in rings if turn(r) <= 0]
+    for h in (r for r in rings if turn(r) > 0):
+        lo, hi = h.min(axis=0), h.max(axis=0)
+        home = [s for s in shells if (s[0].min(axis=0) <= lo).all() and (s[0].max(axis=0) >= hi).all()]
+        if home:
+            min(home, key=lambda s: float(np.prod(np.ptp(s[0], axis=0)))).append(h)
+        else:
+            shells.append([h])
+    return ("polygon", shells) if shells else EMPTY
