@@ -27,7 +27,7 @@ def loads(b: bytes | None) -> Geometry | None:
         return None
     try:
         return _read(bytes(b), 0)[0]
-    except (struct.error, ValueError, IndexError):
+    except (struct.error, ValueError, LookupError, RecursionError):
         return None
 
 
@@ -50,6 +50,8 @@ def _read(b: bytes, o: int) -> tuple[Geometry, int]:
         nonlocal o
         a = np.frombuffer(b, e + "f8", n * dims, o).reshape(n, dims)[:, :2].astype("f8")
         o += 8 * n * dims
+        if code != 1 and not np.isfinite(a).all():
+            raise ValueError("a coordinate is no number")
         return a
 
     def count() -> int:

@@ -147,12 +147,12 @@ def _batch(rec: np.ndarray, lines: _Lines, regions: Regions, kinds: dict, reach:
     li, zo, inside, dist, inner = regions.meet(lines, reach)
     keep = (inside > 0) | (dist <= reach) | (inner > 0)
     li, zo = li[keep], zo[keep]
-    names = regions.names[zo]
+    names = regions.names[zo].astype(object)
     return pd.DataFrame(
         {
             "rec_id": rec[np.asarray(lines.rows, np.int64)[li]] if len(li) else np.empty(0, np.int64),
             "zone_id": names,
-            "kind": [kinds.get(z) for z in names],
+            "kind": np.array([kinds.get(z) for z in names], object),
             "inside": inside[keep].astype("i4"),
             "dist": dist[keep],
             "inner": inner[keep],
@@ -163,12 +163,19 @@ def _batch(rec: np.ndarray, lines: _Lines, regions: Regions, kinds: dict, reach:
 
 def _once(df: pd.DataFrame) -> pd.DataFrame:
     """A first point on borders only is given to one region of each kind."""
-    edge = df["inside"] == 1
-    if edge.any():
-        key = [df["rec_id"], df["kind"].fillna("")]
-        strict = (df["inside"] == 2).groupby(key).transform("any")
-        least = df["zone_id"].where(edge).groupby(key).transform("min")
-        df.loc[edge & (strict | (df["zone_id"] != least)), "inside"] = 0
+    border = np.flatnonzero(df["inside"].to_numpy() == 1)
+    if len(border):
+        rec, kind, zone = df["rec_id"].to_numpy(), df["kind"].to_numpy(), df["zone_id"].to_numpy()
+        of = set(rec[border].tolist())
+        strict = {(rec[i], kind[i]) for i in np.flatnonzero(df["inside"].to_numpy() == 2) if rec[i] in of}
+        least: dict[tuple, str] = {}
+        for i in border:
+            key = (rec[i], kind[i])
+            least[key] = min(least.get(key, zone[i]), zone[i])
+        lost = [i for i in border if (rec[i], kind[i]) in strict or zone[i] != least[rec[i], kind[i]]]
+        inside = df["inside"].to_numpy(copy=True)
+        inside[lost] = 0
+        df = df.assign(inside=inside)
     return df
 
 
@@ -287,7 +294,9 @@ def _by_leaves(slim: DataFrame, tris: DataFrame, reach: float, most: int | None
         kinds = dict(zip(t["zone_id"], t["kind"]))
         rec, geo = a["rec_id"].to_numpy(), a["geometry"].tolist()
         out = [_batch(rec[k : k + 4000], _Lines(geo[k : k + 4000]), regions, kinds, reach) for k in range(0, len(rec), 4000)]
-        return pd.concat(out) if out else pd.DataFrame(columns=_met_schema().names)
+        if not out:
+            return pa.Table.from_pylist([], _met_schema()).to_pandas()
+        return pd.concat(out, ignore_index=True)
 
     keys = ["leaf", "piece", "salt"]
     met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(test, _MET)

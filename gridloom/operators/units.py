@@ -247,6 +247,6 @@ def common_units(df: DataFrame, notes: DataFrame, id_col: str = "rec_id", conver
     return (
         cells.select("_id", "field", "target", "x", unit.alias("unit"))
         .join(F.broadcast(table), ["unit", "target"])
-        .select(F.col("_id").alias(id_col), "field", F.round(F.col("a") * F.col("x") + F.col("b")).cast("bigint").alias("quantity"))
+        .select(F.col("_id").alias(id_col), "field", F.round(F.col("a") * F.col("x") + F.col("b")).try_cast("bigint").alias("quantity"))
         .where("quantity > 0")
     )
