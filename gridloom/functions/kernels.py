@@ -280,8 +280,94 @@ def lines_in_polygons(lines: list[bytes | None], polygons: list[bytes | None]) -
     return keep, [p for p in piece if p is not None], whole[keep], part[keep]
 
 
+def _rectangles(wkb: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Boxes of upright rectangles among WKB polygons, and which those are."""
+    head = b"\x01\x03\x00\x00\x00\x01\x00\x00\x00\x05\x00\x00\x00"
+    ok = np.array([w is not None and len(w) == 93 and w[:13] == head for w in wkb], bool)
+    box = np.zeros((len(wkb), 4))
+    if ok.any():
+        ring = np.frombuffer(b"".join(w[13:] for w, o in zip(wkb, ok) if o), "<f8").reshape(-1, 5, 2)
+        lo, hi = ring.min(axis=1), ring.max(axis=1)
+        corner = ((ring == lo[:, None]) | (ring == hi[:, None])).all(axis=(1, 2))
+        step = np.diff(ring, axis=1) != 0
+        upright = corner & (step.sum(axis=2) == 1).all(axis=1) & (step[:, :-1, 0] != step[:, 1:, 0]).all(axis=1) & (hi > lo).all(axis=1)
+        at = np.flatnonzero(ok)
+        box[at] = np.concatenate([lo, hi], axis=1)
+        ok[at] = upright
+    return box, ok
+
+
+def polygons_in_polygons(left: list[bytes | None], right: list[bytes | None]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """As :func:`lines_in_polygons`, by area. Pairs of upright rectangles, as
+    grids are, are cut together; others one by one."""
+    from .wkb import dumps, loads
+
+    n = len(left)
+    a, oka = _rectangles(left)
+    b, okb = _rectangles(right)
+    both = oka & okb
+    lo, hi = np.maximum(a[:, :2], b[:, :2]), np.minimum(a[:, 2:], b[:, 2:])
+    whole = (a[:, 2] - a[:, 0]) * (a[:, 3] - a[:, 1])
+    part = np.where(both & (hi > lo).all(axis=1), (hi - lo).prod(axis=1), 0.0)
+    piece: list[bytes | None] = [None] * n
+    at = np.flatnonzero(part > 0)
+    x0, y0, x1, y1 = lo[at, 0], lo[at, 1], hi[at, 0], hi[at, 1]
+    rings = np.ascontiguousarray(np.stack([x0, y0, x1, y0, x1, y1, x0, y1, x0, y0], axis=1), "<f8")
+    head = b"\x01\x03\x00\x00\x00\x01\x00\x00\x00\x05\x00\x00\x00"
+    for k, i in enumerate(at):
+        piece[i] = head + rings[k].tobytes()
+    read: dict[bytes, Geometry | None] = {}
+    for i in np.flatnonzero(~both):
+        ga = loads(left[i])
+        if right[i] not in read:
+            read[right[i]] = loads(right[i])
+        gb = read[right[i]]
+        got = polygon_overlap(ga, gb) if ga and gb else EMPTY
+        if got[0] != "empty":
+            whole[i], part[i], piece[i] = area(ga), area(got), dumps(got)
+    keep = np.array([p is not None for p in piece], bool)
+    return keep, [p for p in piece if p is not None], whole[keep], part[keep]
+
+
+def meeting(left: list[bytes | None], right: list[bytes | None]) -> np.ndarray:
+    """Which pairs share a point, borders included. Plain lines against one
+    convex polygon are tested together."""
+    from .wkb import loads
+
+    hit = np.zeros(len(left), bool)
+    groups: dict[bytes, list[int]] = {}
+    for i, w in enumerate(right):
+        if w and left[i]:
+            groups.setdefault(w, []).append(i)
+    for w, members in groups.items():
+        g = loads(w)
+        if g is None:
+            continue
+        convex = g[0] == "polygon" and len(g[1]) == 1 and len(g[1][0]) == 1 and is_convex(g[1][0][0])
+        pts = [_simple_line(left[i]) if convex else None for i in members]
+        fast = [(i, p) for i, p in zip(members, pts) if p is not None and len(p) > 1 and np.isfinite(p).all()]
+        if fast:
+            size = np.array([len(p) - 1 for _, p in fast])
+            a, b = np.concatenate([p[:-1] for _, p in fast]), np.concatenate([p[1:] for _, p in fast])
+            t0, t1 = _range_in_convex(a, b, open_ring(g[1][0][0]))
+            ok = np.logical_or.reduceat(t1 >= t0, np.cumsum(size) - size)
+            hit[[i for i, _ in fast]] = ok
+        done = {i for i, _ in fast}
+        for i in members:
+            if i not in done:
+                other = loads(left[i])
+                hit[i] = other is not None and intersects(other, g)
+    return hit
+
+
 def _clip_convex_segments(p: np.ndarray, q: np.ndarray, ring: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Range of the parameter of each segment within a closed convex ring."""
+    """Range of the parameter of each segment within a closed convex ring, empty
+    for touches, which have no length."""
+    t0, t1 = _range_in_convex(p, q, ring)
+    return t0, np.where(t1 - t0 > 1e-12, t1, t0)
+
+
+def _range_in_convex(p: np.ndarray, q: np.ndarray, ring: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     d = q - p
     t0, t1 = np.zeros(len(p)), np.ones(len(p))
     for a, b in zip(ring, np.roll(ring, -1, axis=0)):
@@ -293,7 +379,7 @@ def _clip_convex_segments(p: np.ndarray, q: np.ndarray, ring: np.ndarray) -> tup
         t0 = np.where(rate > 0, np.maximum(t0, t), t0)
         t1 = np.where(rate < 0, np.minimum(t1, t), t1)
         t1 = np.where((rate == 0) & (side < 0), -1.0, t1)
-    return t0, np.where(t1 - t0 > 1e-12, t1, t0)  # touches have no length
+    return t0, t1
 
 
 def _joined(s: np.ndarray, e: np.ndarray, held: np.ndarray) -> list[np.ndarray]:

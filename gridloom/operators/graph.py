@@ -50,27 +50,34 @@ def duplicate_ids(edges: DataFrame, column: str) -> DataFrame:
 def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: int = 60) -> DataFrame:
     """``(node_id, component)``: weak components, named by their smallest node.
 
-    Every node takes the least label among its own and its neighbours', then the
-    label of its label, which halves distances each round. Hubs are plain keys of
-    a map-side minimum.
+    The graph is contracted round by round: every node hooks onto the least of
+    its neighbours in a hashed order, if that is less than itself, and onto what
+    that one hooks onto; edges are led to the new names, made distinct and those
+    within a name dropped. Each round at least halves what is left, so rounds and
+    data shrink together. Hubs are keys of a map-side minimum and of a distinct.
     """
-    both = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select("u", "v")
-    both = stored(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "neighbours")
+    pair = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    rest = cut(pair.distinct())
     all_nodes = ends(edges) if nodes is None else nodes.select("node_id").where("node_id IS NOT NULL").unionByName(ends(edges)).distinct()
-    state = cut(all_nodes.withColumn("label", F.col("node_id")))
+    named = all_nodes.withColumn("label", F.col("node_id"))
+    rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
     for _ in range(most_rounds):
-        near = both.join(state.withColumnRenamed("node_id", "v"), "v").groupBy(F.col("u").alias("node_id")).agg(F.min("label").alias("near"))
-        low = state.join(near, "node_id", "left").select("node_id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        low = cut(low)
-        jump = low.select(F.col("node_id").alias("label"), F.col("label").alias("onward"))
-        moved = cut(low.join(jump, "label", "left").select("node_id", "old", F.least("label", "onward").alias("label")))
-        changed = moved.where("label <> old").limit(1).count()
-        state = moved.select("node_id", "label")
-        if not changed:
+        if rest.isEmpty():
             break
+        both = rest.unionByName(rest.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hook = both.groupBy("u").agg(F.min(rank("v")).alias("m"))
+        hook = hook.select("u", F.when(F.col("m") < rank("u"), F.col("m.id")).otherwise(F.col("u")).alias("to"))
+        onward = hook.select(F.col("u").alias("to"), F.col("to").alias("on"))
+        hook = cut(hook.join(onward, "to").select("u", F.col("on").alias("to")))
+        named = named.join(hook.withColumnRenamed("u", "label"), "label", "left").select("node_id", F.coalesce("to", "label").alias("label"))
+        led = rest.join(hook.withColumnRenamed("to", "cu"), "u").join(hook.select(F.col("u").alias("v"), F.col("to").alias("cv")), "v")
+        led = led.where("cu <> cv").select(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v"))
+        rest = cut(led.distinct())
     else:
         raise RuntimeError("components did not settle")
-    return state.withColumnRenamed("label", "component")
+    named = cut(named)
+    least = named.groupBy("label").agg(F.min("node_id").alias("component"))
+    return named.join(least, "label").select("node_id", "component")
 
 
 def largest_component(members: DataFrame) -> DataFrame:

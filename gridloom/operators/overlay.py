@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import crs, kernels
 from ..functions.core import half_even
-from ..functions.wkb import EMPTY_WKB, dumps, loads
+from ..functions.wkb import EMPTY_WKB, loads
 from ..runtime import stored
 from .layer import Layer, edge_name, label_prefix, length_column, metric_names, need_projected, zone_name
 from .spatial_join import box_pairs, with_box
@@ -59,28 +59,6 @@ def prefilter_to_bounds(zones: Layer, network: Layer) -> Layer:
     return Layer(near.mapInArrow(run, near.schema).select(zones.df.columns), zones.epsg)
 
 
-def _one_by_one(kernel: Callable, measure: Callable) -> Callable:
-    """A batch kernel from one for single pairs; right sides are parsed once."""
-
-    def run(left: list, right: list) -> tuple:
-        read: dict[bytes, tuple] = {}
-        keep, geo, whole, part = np.zeros(len(left), bool), [], [], []
-        for i, (wa, wb) in enumerate(zip(left, right)):
-            ga = loads(wa)
-            if wb not in read:
-                read[wb] = loads(wb)
-            gb = read[wb]
-            g = kernel(ga, gb) if ga and gb else ("empty", [])
-            if g[0] != "empty":
-                keep[i] = True
-                geo.append(dumps(g))
-                whole.append(measure(ga))
-                part.append(measure(g))
-        return keep, geo, whole, part
-
-    return run
-
-
 def _pieces(pairs: DataFrame, kernel: Callable, a: str, b: str) -> DataFrame:
     """Adds ``_geometry, _of_a, _of_both`` (piece, measure of a and of the piece);
     pairs without a piece go."""
@@ -194,7 +172,7 @@ def intersect_polygons_of_roads_with_zones(
         ]
         return cols, named
 
-    return _overlay(network, zones, _one_by_one(kernels.polygon_overlap, kernels.area), prefilter, output_epsg, outputs)
+    return _overlay(network, zones, kernels.polygons_in_polygons, prefilter, output_epsg, outputs)
 
 
 def cascade_polygons_with_zones(
@@ -219,7 +197,7 @@ def cascade_polygons_with_zones(
         ]
         return cols, named
 
-    return _overlay(polygons, zones, _one_by_one(kernels.polygon_overlap, kernels.area), prefilter, output_epsg, outputs)
+    return _overlay(polygons, zones, kernels.polygons_in_polygons, prefilter, output_epsg, outputs)
 
 
 def spatial_left_join(layer: Layer, zones: Layer, zone_label: str | None = None, output_epsg: int | None = None) -> Layer:
@@ -232,11 +210,7 @@ def spatial_left_join(layer: Layer, zones: Layer, zone_label: str | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = []
-            for x, y in zip(b.column(ia).to_pylist(), b.column(ib).to_pylist()):
-                gx, gy = loads(x), loads(y)
-                ok.append(gx is not None and gy is not None and kernels.intersects(gx, gy))
-            yield b.filter(pa.array(ok, pa.bool_()))
+            yield b.filter(pa.array(kernels.meeting(b.column(ia).to_pylist(), b.column(ib).to_pylist())))
 
     met = pairs.mapInArrow(run, pairs.schema)
     named = _named_zones(zones.attributes, layer.df.columns, zone_label)
@@ -255,4 +229,4 @@ def intersect_zones_with_zones(a: Layer, b: Layer, output_epsg: int | None = Non
         cols = [F.col(_own("a", c)).alias(f"zone_a_{c}") for c in a.attributes] + [F.col(_own("b", c)).alias(f"zone_b_{c}") for c in b.attributes]
         return [*cols, F.col("_geometry").alias("geometry")], []
 
-    return _overlay(a, b, _one_by_one(kernels.polygon_overlap, kernels.area), False, epsg, outputs)
+    return _overlay(a, b, kernels.polygons_in_polygons, False, epsg, outputs)

@@ -46,6 +46,9 @@ def derived(spark: SparkSession, d: str, sql: str) -> DataFrame:
 def shaped(df: DataFrame, kind: str) -> DataFrame:
     """Adds ``geometry`` and drops the coordinates: ``line`` of x0, y0, x1, y1, or
     ``box`` of xmin, xmax, ymin, ymax."""
+    wide = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < wide:  # a table in few files would be one task
+        df = df.repartition(wide)
     names = ["x0", "y0", "x1", "y1"] if kind == "line" else ["xmin", "ymin", "xmax", "ymax"]
     rest = [c for c in df.columns if c not in names]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*rest).schema.fields)

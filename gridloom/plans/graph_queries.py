@@ -220,5 +220,5 @@ round_even((rank() OVER (ORDER BY density) + (count(*) OVER (PARTITION BY densit
     "density_filter": f"WITH {_DENS} SELECT geoid, population FROM x WHERE density >= 900",
     "density_statistics": f"""WITH {_DENS} SELECT round(avg(density), 6) AS mean, round(stddev_samp(density), 6) AS std, round(min(density), 6) AS min, round(max(density), 6) AS max,
 round(quantile_cont(density, 0.25), 6) AS q25, round(quantile_cont(density, 0.5), 6) AS q50, round(quantile_cont(density, 0.75), 6) AS q75 FROM x""",
-    "share_kept": f"WITH {_DENS} SELECT CAST(sum(population) FILTER (density >= 900) AS BIGINT) AS kept, CAST(sum(population) AS BIGINT) AS total, sum(population) FILTER (density >= 900)::DOUBLE / sum(population) AS share FROM x",
+    "share_kept": f"WITH {_DENS} SELECT CAST(sum(population) FILTER (density >= 900) AS BIGINT) AS kept, CAST(sum(population) AS BIGINT) AS total, coalesce(sum(population) FILTER (density >= 900), 0)::DOUBLE / sum(population) AS share FROM x",
 }
