@@ -14,6 +14,7 @@ a hot feed is no matter, and no group is gathered.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 #: A path is a tuple of field names; a repeated step is followed by ``[]``.
 Path = tuple[str, ...]
 REPEATED = "[]"
-#: Nesting that a record may have; deeper ones are taken as unreadable.
-DEEPEST = 200
+#: Nesting that a record may have, beyond what any feed has; Python's own stack
+#: bounds it. Deeper ones are taken as unreadable.
+DEEPEST = 1000
 
 Column = list[tuple[int, int, str | None]]
 
@@ -180,6 +182,7 @@ def _elements(record: object) -> list[object]:
 def element_children(payload: str | None) -> list[tuple]:
     """``(parent_type, parent_id, kind, pos, name, item)`` of each tag, node and
     member of each element of a payload, at any depth, distinct, in order."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * DEEPEST))
     record = read_json(payload)
     if record is None:
         return []

@@ -185,7 +185,7 @@ def orphan_references(refs: DataFrame, states: DataFrame, always: DataFrame | No
             F.col("type").alias("ref_type"),
             F.col("id").alias("ref"),
             "status",
-            F.date_format("at", "yyyy-MM").alias("period"),
+            F.date_format(F.to_utc_timestamp("at", F.current_timezone()), "yyyy-MM").alias("period"),
         )
         .distinct()
     )
