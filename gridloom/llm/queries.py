@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
+from . import lookalike
 from .leaks import leaked_items, near_items
 from .linkage import linked_edges
 from .lookalike import look_alike_classes, look_alike_pairs
@@ -45,5 +46,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p3_found, p3_confidence, p7_ids, p8_found, p8_near, p9_found, p9_classes)}
 
 
+def _plain_sql(column: str) -> str:
+    """The same characters mapped in DuckDB, accents joined by its own function."""
+    src, dst, dropped, many = lookalike._tables()
+    text, dst = column, dst.replace("'", "''")
+    for k, v in many.items():
+        text = f"replace({text}, '{k}', '{v}')"
+    return f"nfc_normalize(translate({text}, '{src}{dropped}', '{dst}'))"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    same = f"t AS (SELECT doc_id, text, {_plain_sql('text')} AS k FROM documents WHERE text IS NOT NULL)"
+    words = lambda c: f"list_filter(string_split_regex(lower({_plain_sql(c)}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+    runs = lambda k, t, c: f"(SELECT {k}, unnest(range(1, len(w) - 11)) AS i, w FROM (SELECT {k}, {words(c)} AS w FROM {t}))"
+    gram = "array_to_string(w[i : i + 12], ' ')"
+    return {
+        "p8_found": f"""WITH d AS (SELECT DISTINCT doc_id, {gram} AS g FROM {runs('doc_id', 'documents', 'text')}),
+e AS (SELECT DISTINCT item_id, {gram} AS g FROM {runs('item_id', 'eval_items', 'passage')}) SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (g)""",
+        "p9_found": f"""WITH {same} SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM t a JOIN t b ON a.k = b.k AND a.doc_id < b.doc_id AND a.text <> b.text
+WHERE regexp_matches(a.k, '\\S')""",
+        "p9_classes": f"""WITH {same}, c AS (SELECT k, min(doc_id) AS class_id FROM t WHERE regexp_matches(k, '\\S') GROUP BY k HAVING count(DISTINCT text) > 1)
+SELECT DISTINCT doc_id, class_id FROM t JOIN c USING (k)""",
+    }
