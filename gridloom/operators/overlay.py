@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import crs, kernels
 from ..functions.core import half_even
-from ..functions.wkb import EMPTY_WKB, loads
+from ..functions.wkb import EMPTY_WKB, dumps, loads
 from ..runtime import stored
 from .layer import Layer, edge_name, label_prefix, length_column, metric_names, need_projected, zone_name
 from .spatial_join import box_pairs, with_box
@@ -200,12 +200,18 @@ def cascade_polygons_with_zones(
     return _overlay(polygons, zones, kernels.polygons_in_polygons, prefilter, output_epsg, outputs)
 
 
-def spatial_left_join(layer: Layer, zones: Layer, zone_label: str | None = None, output_epsg: int | None = None) -> Layer:
+def spatial_left_join(
+    layer: Layer, zones: Layer, zone_label: str | None = None, output_epsg: int | None = None, key: str | None = None
+) -> Layer:
     """Every row of the layer with the attributes of each zone it meets (borders
-    count), null where it meets none; geometries stay whole."""
+    count), null where it meets none; geometries stay whole. ``key``: a column
+    that is unique; without one the layer is written once with row ids."""
     zones = reproject(zones, layer.epsg)
-    left = stored(layer.df.withColumn("_row", F.expr("uuid()")), "left-rows")  # ids stay the same when read again
-    pairs = box_pairs(_boxed(Layer(left, layer.epsg), "a·"), _boxed(zones, "b·"), "a·", "b·")
+    if key:
+        left = layer.df.withColumn("_row", F.col(key))
+    else:
+        left = stored(layer.df.withColumn("_row", F.expr("uuid()")), "left-rows")  # ids stay the same when read again
+    pairs = box_pairs(_boxed(Layer(left.select("_row", "geometry"), layer.epsg), "a·"), _boxed(zones, "b·"), "a·", "b·")
     ia, ib = pairs.columns.index("a·geometry"), pairs.columns.index("b·geometry")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,3 +236,30 @@ def intersect_zones_with_zones(a: Layer, b: Layer, output_epsg: int | None = Non
         return [*cols, F.col("_geometry").alias("geometry")], []
 
     return _overlay(a, b, kernels.polygons_in_polygons, False, epsg, outputs)
+
+
+def crossing_boundaries(layer: Layer, zones: Layer) -> Layer:
+    """Rows of the layer that meet the border of any zone: those of which an
+    overlay cuts something. The others lie whole in one zone or in none."""
+    zones = reproject(zones, layer.epsg)
+    at = zones.df.columns.index("geometry")
+
+    def rings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for w in b.column(at).to_pylist():
+                g = loads(w)
+                out.append(dumps(("line", [r for p in g[1] for r in p])) if g and g[0] == "polygon" else None)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["geometry"])
+
+    borders = Layer(zones.df.mapInArrow(rings, "geometry binary").where("geometry IS NOT NULL"), zones.epsg)
+    left = stored(layer.df.withColumn("_row", F.expr("uuid()")), "left-rows")
+    pairs = box_pairs(_boxed(Layer(left.select("_row", "geometry"), layer.epsg), "a·"), _boxed(borders, "b·"), "a·", "b·")
+    ia, ib = pairs.columns.index("a·geometry"), pairs.columns.index("b·geometry")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(kernels.meeting(b.column(ia).to_pylist(), b.column(ib).to_pylist())))
+
+    hit = pairs.mapInArrow(run, pairs.schema).select(F.col("a·_row").alias("_row")).distinct()
+    return Layer(left.join(hit, "_row", "left_semi").drop("_row"), layer.epsg)

@@ -240,3 +240,46 @@ def scan_folders(spark: SparkSession, root: str, list_csv: str) -> list[tuple[st
             f.write("\n")
         f.writelines(f"{n},{w},{p}\n" for n, w, p in new)
     return new
+
+
+def line_ids(lines: DataFrame) -> DataFrame:
+    """Lines of an extract with ``osm_id`` as a number and ``edge_id`` and
+    ``edge_length`` taken from their tag bag."""
+    bag = F.col("other_tags")
+    return lines.withColumns(
+        {
+            "osm_id": F.expr("try_cast(osm_id AS bigint)"),
+            "edge_id": F.try_element_at(tg.parse_other_tags(bag), F.lit("edge_id")),
+            "edge_length": tg.tag_as_float(bag, "length"),
+        }
+    )
+
+
+def map_network(network: DataFrame, layer: DataFrame, network_id: str = "attributeOrigId") -> tuple[DataFrame, DataFrame]:
+    """A network table joined to map lines by way id, and its match rate."""
+    key = "edge_osm_id" if "edge_osm_id" in layer.columns else "osm_id"
+    out = diagnose.join_by_id(network, layer, network_id, key)
+    return out, diagnose.match_rate(out, network, network_id, network_id if network_id in out.columns else f"{network_id}_x")
+
+
+def line_diagnostics(layer: Layer, utm: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Length classes of a line layer, and the sizes of the parts that lines
+    joined at equal ends make: ``(component, n_nodes, n_edges, length)``."""
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+
+    from ..functions.wkb import line_length, line_parts
+
+    flat = overlay.reproject(layer, utm) if utm else layer
+
+    def ends_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(*p[0][0], *p[-1][-1], line_length(p)) for w in b.column(0).to_pylist() if (p := line_parts(w))]
+            a = np.array(rows, "f8").reshape(-1, 5)
+            yield pa.RecordBatch.from_arrays([pa.array(a[:, k]) for k in range(5)], names=["x0", "y0", "x1", "y1", "length"])
+
+    lines = flat.df.select("geometry").mapInArrow(ends_of, "x0 double, y0 double, x1 double, y1 double, length double")
+    edges = lines.select(F.xxhash64("x0", "y0").alias("u"), F.xxhash64("x1", "y1").alias("v"), "length")
+    return diagnose.length_classes(edges, "length"), graph.fragment_report(edges, graph.components(edges))

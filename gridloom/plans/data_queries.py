@@ -73,7 +73,45 @@ _FOUND = (
 )
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p6_found, p6_report, p6_current)}
+_PACKED = """
+v AS (
+  SELECT rec_id, 'edges.osmid' AS field, list_transform(regexp_extract_all(osmid, '[0-9]+(?:\\.[0-9]+)?'), lambda x: {'tag': '', 'item': split_part(x, '.', 1)}) AS vs FROM edges
+  UNION ALL
+  SELECT rec_id, 'edges.highway', list_filter(list_transform(regexp_extract_all(highway, '"(?:[^"]|"")*"|''[^'']*''|[^;,|/&"\\[\\]{}]+'),
+    lambda x: {'tag': '', 'item': replace(regexp_replace(trim(x), '^["''](.*)["'']$', '\\1'), '""', '"')}), lambda x: x.item <> '') FROM edges
+  UNION ALL
+  SELECT rec_id, 'osm_lines.other_tags', list_transform(CASE
+    WHEN contains(other_tags, '"') THEN list_transform(regexp_extract_all(other_tags, '"(?:[^"\\\\]|\\\\.)*"\\s*(?:=>|:)\\s*"(?:[^"\\\\]|\\\\.)*"'),
+      lambda x: [regexp_extract(x, '^"((?:[^"\\\\]|\\\\.)*)"', 1), regexp_extract(x, '(?:=>|:)\\s*"((?:[^"\\\\]|\\\\.)*)"$', 1)])
+    WHEN contains(other_tags, chr(39)) THEN list_transform(regexp_extract_all(other_tags, '[^'',]+''=>''[^'']*'), lambda x: string_split(x, chr(39) || '=>' || chr(39)))
+    ELSE list_transform(list_filter(string_split_regex(other_tags, ', |;| \\| |\n'), lambda x: x <> ''), lambda x: string_split_regex(x, '=>?')) END,
+    lambda x: {'tag': trim(x[1]), 'item': replace(trim(x[2]), '\\"', '"')}) FROM osm_lines
+),
+w AS (SELECT rec_id, field, vs, unnest(range(len(vs))) AS pos FROM v WHERE len(vs) > 1)
+SELECT rec_id, field, pos, vs[pos + 1].tag AS tag, vs[pos + 1].item AS item FROM w"""
+_UNITS = """
+n AS (SELECT source, field, lower(note) AS note FROM source_notes),
+ns AS (SELECT source, CASE WHEN note LIKE '%metres per second%' THEN 3.6 WHEN regexp_matches(note, 'mile|mph') THEN 1.609344 WHEN regexp_matches(note, 'kilomet|km') THEN 1.0 END
+ * CASE WHEN note LIKE '%tenth%' THEN 0.1 ELSE 1.0 END AS f FROM n WHERE field = 'maxspeed'),
+nl AS (SELECT source, CASE WHEN note LIKE '%width%' THEN 1.0 / CAST(regexp_extract(note, 'being ([0-9]+) feet', 1) AS DOUBLE) WHEN note LIKE '%tenth%' THEN 0.1
+ WHEN note LIKE '%of one direction%' THEN 2.0 ELSE 1.0 END AS f, note LIKE '%width%' AS wide FROM n WHERE field = 'lanes'),
+words AS (SELECT * FROM (VALUES ('one', 1), ('two', 2), ('three', 3), ('four', 4), ('five', 5), ('six', 6), ('fifteen', 15), ('twenty', 20), ('twenty-five', 25), ('thirty', 30),
+ ('thirty-five', 35), ('forty', 40), ('forty-five', 45), ('fifty', 50), ('fifty-five', 55), ('sixty', 60), ('sixty-five', 65), ('seventy', 70), ('i', 1), ('ii', 2), ('iii', 3), ('iv', 4), ('v', 5), ('vi', 6)) AS v(word, val)),
+c AS (SELECT rec_id, source, 'maxspeed' AS field, maxspeed AS raw FROM edges UNION ALL SELECT rec_id, source, 'lanes', lanes FROM edges),
+t AS (SELECT *, regexp_replace(lower(trim(translate(raw, '０１２３４５６７８９．', '0123456789.'))), '([0-9]),([0-9])', '\\1.\\2', 'g') AS s FROM c WHERE raw IS NOT NULL),
+x AS (SELECT t.*, coalesce(TRY_CAST(nullif(regexp_extract(s, '[0-9]+(\\.[0-9]+)?'), '') AS DOUBLE), val) AS v,
+ list_sum(list_transform(regexp_extract_all(s, '[0-9]+'), lambda e: CAST(e AS BIGINT))) AS total
+ FROM t LEFT JOIN words ON word = regexp_extract(s, '^([a-z]+(-[a-z]+)?)', 1) WHERE NOT regexp_matches(s, '^-|^999+$')),
+m AS (SELECT rec_id, field, v * CASE WHEN regexp_matches(s, 'km/min') THEN 60.0 WHEN regexp_matches(s, 'km|kph|kilomet') THEN 1.0 WHEN regexp_matches(s, 'ft/s|fps|feet per') THEN 0.3048 * 3.6
+ WHEN regexp_matches(s, 'm/s|metres/s') THEN 3.6 WHEN regexp_matches(s, 'mph|m\\.p\\.h|mi/h|miles') THEN 1.609344 WHEN regexp_matches(s, 'k(n|t)') THEN 1.852 ELSE f END AS q
+ FROM x LEFT JOIN ns USING (source) WHERE field = 'maxspeed'),
+l AS (SELECT rec_id, field, CASE WHEN regexp_matches(s, '[0-9] ?(ft|feet|'')') THEN CASE WHEN wide THEN v * f END WHEN regexp_matches(s, '[0-9] ?m$') THEN CASE WHEN wide THEN v / 0.3048 * f END
+ WHEN regexp_matches(s, '\\+|forward|nb') THEN total WHEN regexp_matches(s, 'per direction|each way') THEN 2 * v WHEN regexp_matches(s, 'lane') THEN v ELSE v * f END AS q
+ FROM x LEFT JOIN nl USING (source) WHERE field = 'lanes')
+SELECT rec_id, field, CAST(floor(q + 0.5) AS BIGINT) AS quantity FROM (FROM m UNION ALL FROM l) WHERE floor(q + 0.5) > 0"""
 SQL = {
+    "p1_found": f"WITH {_PACKED}",
+    "p2_found": f"WITH {_UNITS}",
     "p6_found": f"WITH {_REFS} {_FOUND}",
     "p6_report": f"""WITH {_REFS}, found AS ({_FOUND})
 SELECT src, period, status, count(*) AS n_references, count(DISTINCT (ref_type, ref)) AS n_keys FROM found GROUP BY ALL""",

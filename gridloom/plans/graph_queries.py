@@ -36,7 +36,7 @@ def largest_component(s, d):
 
 
 def reachability(s, d):
-    return gr.reachable(_edges(s, d), _nodes(s, d).where("node_id % 500 = 1")).select("node_id")
+    return gr.reachable(_edges(s, d), _nodes(s, d).where("x < 2")).select("node_id")
 
 
 def scc(s, d):
@@ -54,11 +54,7 @@ def edge_id_dedupe(s, d):
 
 
 def duplicate_ids(s, d):
-    return dg_duplicates(table(s, d, "edges"))
-
-
-def dg_duplicates(e: DataFrame) -> DataFrame:
-    return gr.duplicate_ids(e, "edge_id")
+    return gr.duplicate_ids(table(s, d, "edges"), "edge_id")
 
 
 def duplicate_coords(s, d):
@@ -130,8 +126,8 @@ def dangling_refs(s, d):
 
 
 def length_classes(s, d):
-    out = dg.length_classes(table(s, d, "edges").withColumn("l", F.col("rec_id") % 700), "l")
-    return out.select("class", "count", "min", "max", F.round("mean", 6).alias("mean"), "median")
+    out = dg.length_classes(table(s, d, "edges"), "length", plotted=200)
+    return out.select("class", "count", "min", "max", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"))
 
 
 def length_histogram(s, d):
@@ -173,7 +169,8 @@ def share_kept(s, d):
 
 _G, _N = f"g AS ({fx.duck(fx.GRAPH)})", f"n AS ({fx.duck(fx.NODES)})"
 _WCC = f"""WITH RECURSIVE {_G}, {_N}, b AS (SELECT u AS x, v AS y FROM g UNION SELECT v, u FROM g), a AS (SELECT node_id AS x FROM n UNION SELECT u FROM g UNION SELECT v FROM g),
-r(x, y) AS (SELECT x, x FROM a UNION SELECT r.x, b.y FROM r JOIN b ON r.y = b.x), c AS (SELECT x AS node_id, min(y) AS component FROM r GROUP BY x)"""
+r(x, y) USING KEY (x) AS (SELECT x, x FROM a UNION (SELECT DISTINCT ON (p.x) p.x, q.y FROM recurring.r AS p, r AS q, b WHERE b.x = p.x AND b.y = q.x AND q.y < p.y ORDER BY p.x, q.y)),
+c AS (SELECT x AS node_id, y AS component FROM r)"""
 _DENS = """x AS (SELECT n_nationkey AS geoid, count(*) AS population, count(*) / (65536.0 / 1e6) AS density FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1)"""
 
 _ALL = (
@@ -188,7 +185,7 @@ SQL = {
     "isolates": f"WITH {_G}, {_N} SELECT node_id FROM n WHERE node_id NOT IN (SELECT u FROM g UNION SELECT v FROM g)",
     "wcc": f"{_WCC} SELECT node_id, component FROM c",
     "largest_component": f"{_WCC}, s AS (SELECT component, count(*) k FROM c GROUP BY 1 ORDER BY k DESC, component LIMIT 1) SELECT node_id FROM c WHERE component = (SELECT component FROM s)",
-    "reachability": f"""WITH RECURSIVE {_G}, {_N}, r(x) AS (SELECT node_id FROM n WHERE node_id % 500 = 1 UNION SELECT g.v FROM r JOIN g ON r.x = g.u) SELECT x AS node_id FROM r""",
+    "reachability": f"""WITH RECURSIVE {_G}, {_N}, r(x) AS (SELECT node_id FROM n WHERE x < 2 UNION SELECT g.v FROM r JOIN g ON r.x = g.u) SELECT x AS node_id FROM r""",
     "fragment_report": f"""{_WCC}, e AS (SELECT component, count(*) ne, sum(edge_id)::DOUBLE le FROM g JOIN c ON u = node_id GROUP BY 1),
 k AS (SELECT component, count(*) nn FROM c WHERE node_id IN (SELECT u FROM g UNION SELECT v FROM g) GROUP BY 1) SELECT component, nn AS n_nodes, ne AS n_edges, le AS length FROM k JOIN e USING (component)""",
     "edge_id_dedupe": f"""WITH {_G}, r AS (SELECT edge_id % 100 AS i, edge_id AS seq, row_number() OVER (PARTITION BY edge_id % 100 ORDER BY edge_id) - 1 AS k FROM g)
@@ -208,8 +205,8 @@ NULL::DOUBLE AS speed_kph_min, NULL::DOUBLE AS speed_kph_max, count_if(coalesce(
     "id_join_network": """SELECT n.rec_id AS rec_id_x, z.rec_id AS rec_id_y, linkId, edge_osm_id, edge_link_length_m FROM network n JOIN edge_zones z
 ON coalesce(TRY_CAST(trim(attributeOrigId) AS BIGINT), CAST(TRY_CAST(attributeOrigId AS DOUBLE) AS BIGINT)) = edge_osm_id WHERE lower(trim(attributeOrigId)) <> 'nan'""",
     "dangling_refs": "SELECT DISTINCT n AS node_id FROM (SELECT unnest(nodes) n FROM osm_elements WHERE type = 'way') WHERE n NOT IN (SELECT id FROM osm_elements WHERE type = 'node')",
-    "length_classes": """WITH e AS (SELECT rec_id % 700 l FROM edges), c AS (SELECT 'all' k, l FROM e UNION ALL SELECT 'short', l FROM e WHERE l < 15 UNION ALL SELECT 'plotted', l FROM e WHERE l <= 500)
-SELECT k AS class, count(*) AS count, min(l) AS min, max(l) AS max, round(avg(l), 6) AS mean, median(l) AS median FROM c GROUP BY 1""",
+    "length_classes": """WITH e AS (SELECT length l FROM edges), c AS (SELECT 'all' k, l FROM e UNION ALL SELECT 'short', l FROM e WHERE l < 15 UNION ALL SELECT 'long', l FROM e WHERE l > 10000
+UNION ALL SELECT 'plotted', l FROM e WHERE l <= 200) SELECT k AS class, count(l) AS count, min(l) AS min, max(l) AS max, round(avg(l), 6) AS mean, round(median(l), 6) AS median FROM c GROUP BY 1""",
     "length_histogram": "SELECT least(CAST(floor(length / 10.0) AS BIGINT), 49) AS bin, count(*) AS count FROM edges WHERE length BETWEEN 0 AND 500 GROUP BY 1",
     "summary_delta": """WITH a AS (SELECT o_orderpriority m, count(*) v FROM orders WHERE year(o_orderdate) = 1995 GROUP BY 1), b AS (SELECT o_orderpriority m, count(*) v FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1)
 SELECT coalesce(a.m, b.m) AS metric, a.v AS a, b.v AS b FROM a FULL JOIN b ON a.m = b.m WHERE a.v IS DISTINCT FROM b.v""",

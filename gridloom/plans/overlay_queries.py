@@ -21,10 +21,14 @@ def line_zone_overlap(spark: SparkSession, d: str) -> DataFrame:
     return _lines(spark, d).select(_LINE)
 
 
+# zones of two regions shrunk to corners that no line meets
+_CORNERS = "select zone_id, xmin, ymin, case when n_regionkey < 2 then xmin + 0.25 else xmax end xmax, case when n_regionkey < 2 then ymin + 0.25 else ymax end ymax from ({zones}) join {{nation}} on n_nationkey = zone_id".format(zones=fx.ZONES)
+
+
 def line_zone_overlap_voids(spark: SparkSession, d: str) -> DataFrame:
-    """Only lines of low order keys, so that some zones in their box stay empty."""
-    few = Layer(fx.lines(spark, d).df.where("edge_id % 997 = 1"), 3857)
-    out = overlay.intersect_lines_with_zones(few, fx.zones(spark, d), prefilter=True).df
+    """Zones in the network's box without a piece get a row of nulls."""
+    corners = Layer(fx.shaped(fx.derived(spark, d, _CORNERS), "box"), 3857)
+    out = overlay.intersect_lines_with_zones(fx.lines(spark, d), corners, prefilter=True).df
     return out.select("edge_id", F.col("zone_zone_id").alias("zone_id"), *_LINE[2:])
 
 
@@ -57,7 +61,7 @@ def polygon_cascade(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spatial_left_join(spark: SparkSession, d: str) -> DataFrame:
-    return overlay.spatial_left_join(fx.lines(spark, d), fx.zones(spark, d)).df.select("edge_id", "osm_id", F.col("zone_zone_id").alias("zone_id"))
+    return overlay.spatial_left_join(fx.lines(spark, d), fx.zones(spark, d), key="edge_id").df.select("edge_id", "osm_id", F.col("zone_zone_id").alias("zone_id"))
 
 
 def zone_zone_overlay(spark: SparkSession, d: str) -> DataFrame:
@@ -65,9 +69,13 @@ def zone_zone_overlay(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("zone_a_zone_id").alias("zone_id"), F.col("zone_b_link_id").alias("link_id"))
 
 
+# a tiling four times as wide, of which the lines reach a part
+_WIDE = "select zone_id, zone_name, xmin * 4 xmin, xmax * 4 xmax, ymin * 4 ymin, ymax * 4 ymax from ({zones})".format(zones=fx.ZONES)
+
+
 def bbox_prefilter(spark: SparkSession, d: str) -> DataFrame:
-    corner = Layer(fx.lines(spark, d).df.where("edge_id % 4999 = 1"), 3857)
-    return overlay.prefilter_to_bounds(fx.zones(spark, d), corner).df.select("zone_id", "zone_name")
+    wide = Layer(fx.shaped(fx.derived(spark, d, _WIDE), "box"), 3857)
+    return overlay.prefilter_to_bounds(wide, fx.lines(spark, d)).df.select("zone_id", "zone_name")
 
 
 _Z, _L, _R = fx.duck(fx.ZONES), fx.duck(fx.LINES), fx.duck(fx.ROADS)
@@ -91,10 +99,10 @@ QUERIES = {
 }
 SQL = {
     "line_zone_overlap": f"WITH {_PIECES} SELECT edge_id, zone_id, el AS edge_link_length_m, zl AS zone_link_length_m, round_even(zl / el, 4) AS zone_edge_proportion FROM q",
-    "line_zone_overlap_voids": f"""WITH {_PIECES}, f AS (SELECT * FROM q WHERE edge_id % 997 = 1),
-b AS (SELECT min(least(x0, x1)) a, max(greatest(x0, x1)) b, min(least(y0, y1)) c, max(greatest(y0, y1)) d FROM l WHERE edge_id % 997 = 1)
-SELECT edge_id, zone_id, el AS edge_link_length_m, zl AS zone_link_length_m, round_even(zl / el, 4) AS zone_edge_proportion FROM f
-UNION ALL SELECT NULL, zone_id, NULL, NULL, NULL FROM z, b WHERE xmax >= a AND xmin <= b AND ymax >= c AND ymin <= d AND zone_id NOT IN (SELECT zone_id FROM f)""",
+    "line_zone_overlap_voids": f"""WITH {_PIECES.replace(_Z, fx.duck(_CORNERS).replace("select zone_id,", "select zone_id, null as zone_name,", 1))},
+b AS (SELECT min(least(x0, x1)) a, max(greatest(x0, x1)) b, min(least(y0, y1)) c, max(greatest(y0, y1)) d FROM l)
+SELECT edge_id, zone_id, el AS edge_link_length_m, zl AS zone_link_length_m, round_even(zl / el, 4) AS zone_edge_proportion FROM q
+UNION ALL SELECT NULL, zone_id, NULL, NULL, NULL FROM z, b WHERE xmax >= a AND xmin <= b AND ymax >= c AND ymin <= d AND zone_id NOT IN (SELECT zone_id FROM q)""",
     "line_zone_chained": f"""WITH {_PIECES}, h AS (SELECT zone_id AS half_id, xmin hx, xmin + 128 hX2, ymin hy, ymax hY2 FROM z),
 c AS (SELECT edge_id, zone_id, half_id, (bx - ax) + (by_ - ay) pl, (least(bx, hX2) - greatest(ax, hx)) + (least(by_, hY2) - greatest(ay, hy)) cl
  FROM q JOIN h ON ax <= hX2 AND bx >= hx AND ay <= hY2 AND by_ >= hy)
@@ -106,6 +114,6 @@ SELECT edge_id, zone_id AS zone_zone_id, half_id, round_even(pl, 2) AS half_edge
  s AS zone_piece_proportion, ea AS piece_surface_m2, za AS zone_surface_m2 FROM q""",
     "spatial_left_join": f"WITH {_PIECES} SELECT l.edge_id, l.osm_id, p.zone_id FROM l LEFT JOIN p ON l.edge_id = p.edge_id",
     "zone_zone_overlay": f"WITH {_AREAS} SELECT zone_id, link_id FROM q",
-    "bbox_prefilter": f"""WITH {_PIECES}, b AS (SELECT min(least(x0, x1)) a, max(greatest(x0, x1)) b, min(least(y0, y1)) c, max(greatest(y0, y1)) d FROM l WHERE edge_id % 4999 = 1)
-SELECT zone_id, zone_name FROM z, b WHERE xmax >= a AND xmin <= b AND ymax >= c AND ymin <= d""",
+    "bbox_prefilter": f"""WITH l AS ({_L}), b AS (SELECT min(least(x0, x1)) a, max(greatest(x0, x1)) b, min(least(y0, y1)) c, max(greatest(y0, y1)) d FROM l)
+SELECT zone_id, zone_name FROM ({fx.duck(_WIDE)}), b WHERE xmax >= a AND xmin <= b AND ymax >= c AND ymin <= d""",
 }

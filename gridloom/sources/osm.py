@@ -234,3 +234,20 @@ def sidecars(pbf: str) -> dict[str, str | None]:
     stem = pbf.removesuffix(".pbf").removesuffix(".osm")
     find = lambda *ends: next((stem + e for e in ends if Path(stem + e).exists()), None)
     return {"graph": find(".parquet", ".graphml"), "osm": find(".osm")}
+
+
+def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes ``(node_id, data)`` and edges ``(u, v, data)`` of a GraphML file, the
+    attributes as a map of texts by the names its keys give."""
+    read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    keys = read("key", "_id string, `_attr.name` string")
+    names = {r[0]: r[1] for r in keys.select("_id", F.col("`_attr.name`")).collect()}  # one row per attribute
+    known = F.create_map(*(F.lit(x) for kv in (names or {"": ""}).items() for x in kv))
+    data = F.coalesce(
+        F.map_from_entries(F.transform("data", lambda d: F.struct(F.coalesce(F.try_element_at(known, d["_key"]), d["_key"]), d["_VALUE"]))),
+        F.create_map().cast("map<string,string>"),
+    )
+    inner = "data array<struct<_VALUE:string,_key:string>>"
+    nodes = read("node", f"_id bigint, {inner}").select(F.col("_id").alias("node_id"), data.alias("data"))
+    edges = read("edge", f"_source bigint, _target bigint, {inner}").select(F.col("_source").alias("u"), F.col("_target").alias("v"), data.alias("data"))
+    return nodes, edges

@@ -327,10 +327,9 @@ def fingerprint(source: DataFrame | Layer | str) -> dict:
         return {"path": os.path.abspath(source), "size": st.st_size, "mtime_ns": st.st_mtime_ns}
     df = source.df if isinstance(source, Layer) else source
     h = F.xxhash64(*[F.col(f"`{c}`") if not isinstance(df.schema[c].dataType, T.MapType) else F.map_entries(f"`{c}`") for c in df.columns])
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(0L)").alias("z")).first()
-    mix = df.select(h.alias("h")).agg(F.bit_xor("h").alias("x"), F.sum(F.pmod("h", F.lit(2**31))).alias("s")).first()
+    mix = df.select(h.alias("h")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("x"), F.sum(F.pmod("h", F.lit(2**31))).alias("s")).first()
     epsg = source.epsg if isinstance(source, Layer) else None
-    return {"columns": df.columns, "rows": row.n, "xor": mix.x, "sum": mix.s, "epsg": epsg}
+    return {"columns": df.columns, "rows": mix.n, "xor": mix.x, "sum": mix.s, "epsg": epsg}
 
 
 def cache_key(**what) -> dict:

@@ -92,3 +92,36 @@ def test_reports(spark, tmp_path):
     csv = str(tmp_path / "list.csv")
     assert [r[:2] for r in recipes.scan_folders(spark, str(tmp_path), csv)] == [("one", 3)]
     assert recipes.scan_folders(spark, str(tmp_path), csv) == []
+
+
+def test_borders_crossed(spark):
+    from gridloom.operators import overlay
+
+    zones = Layer(spark.createDataFrame([(square(0, 0, 10.0),), (None,)], "geometry binary"), 3857)
+    rows = [(1, [[1, 1], [2, 2]]), (2, [[5, 5], [15, 5]]), (3, [[20, 20], [30, 30]]), (4, [[10, 2], [10, 5]])]
+    lines = Layer(spark.createDataFrame([(i, bytearray(from_line(p))) for i, p in rows], "id int, geometry binary"), 3857)
+    assert {r.id for r in overlay.crossing_boundaries(lines, zones).df.collect()} == {2, 4}
+
+
+def test_graphml_and_maps(spark, tmp_path):
+    from gridloom.sources import osm
+
+    nodes = spark.createDataFrame([(1, 0.5, None), (2, 1.5, "stop & go")], "node_id bigint, x double, highway string")
+    edges = spark.createDataFrame([(1, 2, "A<B", 3.0)], "u bigint, v bigint, name string, length double")
+    sinks.write_graphml(nodes, edges, str(tmp_path / "g.graphml"))
+    n, e = osm.read_graphml(spark, str(tmp_path / "g.graphml"))
+    assert {r.node_id: r.data for r in n.collect()} == {1: {"x": "0.5"}, 2: {"x": "1.5", "highway": "stop & go"}}
+    assert [(r.u, r.v, r.data) for r in e.collect()] == [(1, 2, {"name": "A<B", "length": "3.0"})]
+    lines = recipes.line_ids(spark.createDataFrame([("7", '"edge_id"=>"e1","length"=>"12.5"'), ("x", None)], "osm_id string, other_tags string"))
+    assert {tuple(r) for r in lines.select("osm_id", "edge_id", "edge_length").collect()} == {(7, "e1", 12.5), (None, None, None)}
+    net = spark.createDataFrame([("7",), ("8",), (None,)], "attributeOrigId string")
+    out, rate = recipes.map_network(net, lines)
+    assert out.count() == 1 and tuple(rate.first()) == (2, 1, 0.5)
+
+
+def test_line_diagnostics(spark):
+    rows = [[[0, 0], [3, 4]], [[3, 4], [3, 14]], [[100, 0], [100, 600]]]
+    layer = Layer(spark.createDataFrame([(bytearray(from_line(p)),) for p in rows] + [(None,)], "geometry binary"), 3857)
+    lengths, parts = recipes.line_diagnostics(layer)
+    assert {r["class"]: r["count"] for r in lengths.collect()} == {"all": 3, "short": 2, "plotted": 2}
+    assert sorted((r.n_nodes, r.n_edges, r.length) for r in parts.collect()) == [(2, 1, 600.0), (3, 2, 15.0)]
