@@ -107,20 +107,27 @@ def reachable(edges: DataFrame, sources: DataFrame, backward: bool = False, most
 def strong_components(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """``(node_id, component)``: strong components, named by their smallest node.
 
-    The least node that reaches each node is spread forward; nodes that also
-    reach that one form its component; they are taken out and the rest goes on.
+    Nodes joined in both directions are in one component and are contracted
+    first, which leaves little of a road graph. Then the least node that reaches
+    each node is spread forward; nodes that also reach that one form its
+    component; they are taken out and the rest goes on.
     """
-    left = stored(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select("u", "v").distinct(), "directed")
-    rest = cut(ends(edges))
-    done = None
+    directed = stored(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select("u", "v").distinct(), "directed")
+    both_ways = directed.intersect(directed.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    base = stored(components(both_ways, ends(edges)), "two-way")
+    name = lambda c: base.select(F.col("node_id").alias(c), F.col("component").alias(f"c{c}"))
+    left = cut(directed.join(name("u"), "u").join(name("v"), "v").where("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct())
+    rest = ends(left)
+    done = cut(base.select(F.col("component").alias("node_id")).distinct().join(rest, "node_id", "left_anti").withColumn("component", F.col("node_id")))
+    rest = cut(rest)
     for _ in range(most_rounds):
+        if rest.isEmpty():
+            names = done.select(F.col("node_id").alias("_c"), F.col("component").alias("_name"))
+            return base.join(names, F.col("component") == F.col("_c")).select("node_id", F.col("_name").alias("component"))
         state = _spread(left, rest)
-        back = _same_colour_backward(left, state)
-        part = cut(back.select("node_id", F.col("label").alias("component")))
-        done = part if done is None else cut(done.unionByName(part))
+        part = cut(_same_colour_backward(left, state).select("node_id", F.col("label").alias("component")))
+        done = cut(done.unionByName(part))
         rest = cut(rest.join(part, "node_id", "left_anti"))
-        if rest.isEmpty():
-            return done
         left = cut(
             left.join(rest.withColumnRenamed("node_id", "u"), "u", "left_semi").join(rest.withColumnRenamed("node_id", "v"), "v", "left_semi")
         )

@@ -265,7 +265,7 @@ def test_counts_add_up(spark):
 
 def _star(seed, n=12, hole=True):
     rnd = np.random.default_rng(seed)
-    a = np.sort(rnd.uniform(0, 2 * np.pi, n))
+    a = (np.arange(n) + rnd.uniform(0.1, 0.9, n)) * (2 * np.pi / n)
     r = rnd.uniform(5, 10, n)
     shell = np.stack([r * np.cos(a), r * np.sin(a)], axis=1)
     rings = [np.vstack([shell, shell[:1]])]
@@ -280,9 +280,6 @@ def test_triangles_cover_the_polygon(seed):
     rings = _star(seed)
     if seed % 2:
         rings = [r[::-1] for r in rings]
-    gaps = np.diff(np.sort(np.arctan2(rings[0][:-1, 1], rings[0][:-1, 0])), append=0)
-    if np.abs(gaps).max() > np.pi * 0.9:
-        pytest.skip("the star does not hold its centre")
     t = triangulate(rings)
     assert sum(signed_area(x) for x in t) == pytest.approx(polygon_area(rings))
     assert all(signed_area(x) > 0 for x in t)
