@@ -28,7 +28,7 @@ TAGS = """select p_partkey as edge_id,
  case p_partkey%7 when 0 then '5' when 1 then '3.5' when 2 then '20t' when 3 then '50 tons' when 4 then '10000 lbs' when 5 then null else 'heavy' end maxweight,
  case p_partkey%6 when 0 then 'private' when 1 then 'yes;private' when 2 then 'permissive' when 3 then null when 4 then 'no' else 'customers' end access_tag,
  concat('"highway"=>"', case p_size%4 when 0 then 'primary' when 1 then 'residential' when 2 then 'motorway' else 'tertiary' end, '","length"=>"', cast(p_size as varchar(20)), '"') other_tags from {part}"""
-GRAPH = """select c_custkey as edge_id, c_custkey as u, (c_custkey+c_nationkey*977)%(select count(*) from {customer}) as v from {customer} where c_acctbal > 4500"""
+GRAPH = """select c_custkey as edge_id, c_custkey as u, (c_custkey+c_nationkey*977)%(select count(*) from {customer}) as v from {customer}"""
 NODES = """select c_custkey as node_id, cast((c_custkey*97)%1000 as double)*0.25 x, cast((c_custkey*61)%1000 as double)*0.25 y from {customer}"""
 
 _TABLES = ("nation", "orders", "part", "customer", "events", "lineitem", "supplier")

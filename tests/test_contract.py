@@ -62,3 +62,10 @@ def test_columns_of_the_found_queries(spark):
             for c, kind in df.dtypes:
                 text = c in ("field", "tag", "item", "edge_id", "parent_type", "kind", "name", "zone_id", "relation", "src", "ref_type", "status", "period")
                 assert kind == ("array<int>" if c == "ids" else "string" if text else "bigint"), (name, c, kind)
+
+
+def test_graph_has_an_edge_of_every_customer(spark):
+    from gridloom.plans import fixtures as fx
+
+    customers = spark.read.parquet(f"{DATA}/customer.parquet").select("c_custkey").collect()
+    assert Counter(r.edge_id for r in fx.derived(spark, DATA, fx.GRAPH).collect()) == Counter(r.c_custkey for r in customers)
