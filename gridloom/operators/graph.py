@@ -224,21 +224,29 @@ def impute_speeds(edges: DataFrame, speed: str = "speed_kph", highway: str = "hi
 
 
 def simplify(edges: DataFrame, same: list[str] | None = None) -> DataFrame:
-    """Chains of edges through nodes with one way in and one way out, merged.
+    """Chains of edges through nodes where the way only goes on, merged: one way
+    in and one way out, or a two-way road between exactly two neighbours, each
+    direction of which is a chain of its own.
 
     ``edges`` need a unique ``edge_id``. A chain is cut where a column of ``same``
-    differs and where it would turn back. Gives ``(chain, u, v, n_edges, ...)``
-    with the tags merged; rings are kept whole, from their smallest node.
+    differs and where it would turn back; a node that cuts one direction cuts the
+    other too. Gives ``(chain, u, v, n_edges, ...)`` with the tags merged; rings
+    are kept whole, from their smallest node.
     """
     e = stored(edges.withColumn("seq", F.col("edge_id")), "edges")
-    ins = e.groupBy(F.col("v").alias("node_id")).agg(F.count(F.lit(1)).alias("i"), F.min("edge_id").alias("before"))
-    outs = e.groupBy(F.col("u").alias("node_id")).agg(F.count(F.lit(1)).alias("o"), F.min("edge_id").alias("after"))
-    through = ins.join(outs, "node_id").where("i = 1 AND o = 1 AND before <> after").select("node_id", "before", "after")
-    a = e.select(F.col("edge_id").alias("before"), F.col("u").alias("u_a"), *(F.col(c).alias(f"a_{c}") for c in same or []))
-    b = e.select(F.col("edge_id").alias("after"), F.col("v").alias("v_b"), *(F.col(c).alias(f"b_{c}") for c in same or []))
-    links = through.join(a, "before").join(b, "after").where("u_a <> v_b")
+    ins = e.groupBy(F.col("v").alias("node_id")).agg(F.count(F.lit(1)).alias("i"), F.min("u").alias("i_lo"), F.max("u").alias("i_hi"))
+    outs = e.groupBy(F.col("u").alias("node_id")).agg(F.count(F.lit(1)).alias("o"), F.min("v").alias("o_lo"), F.max("v").alias("o_hi"))
+    one_way = "i = 1 AND o = 1 AND i_lo <> o_lo"
+    two_way = "i = 2 AND o = 2 AND i_lo < i_hi AND i_lo = o_lo AND i_hi = o_hi"
+    through = ins.join(outs, "node_id").where(f"(({one_way}) OR ({two_way})) AND node_id NOT IN (i_lo, i_hi)").select("node_id", "i")
+    a = e.select(F.col("edge_id").alias("before"), F.col("u").alias("u_a"), F.col("v").alias("node_id"), *(F.col(c).alias(f"a_{c}") for c in same or []))
+    b = e.select(F.col("edge_id").alias("after"), F.col("u").alias("node_id"), F.col("v").alias("v_b"), *(F.col(c).alias(f"b_{c}") for c in same or []))
+    links = through.join(a, "node_id").join(b, "node_id").where("u_a <> v_b")
     for c in same or []:
         links = links.where(F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")))
+    links = stored(links.select("node_id", "before", "after", "i"), "passages")
+    whole = links.groupBy("node_id", "i").agg(F.count(F.lit(1)).alias("n")).where("n = i").select("node_id")
+    links = links.join(whole, "node_id")
     links = stored(links.select(F.col("before").alias("u"), F.col("after").alias("v"), "node_id"), "links")
     chains = components(links, e.select(F.col("edge_id").alias("node_id"))).select(F.col("node_id").alias("edge_id"), F.col("component").alias("chain"))
     member = stored(e.join(chains, "edge_id"), "chains")

@@ -301,3 +301,22 @@ def test_command_line_parses():
     assert a.epsg == 26910 and a.prefilter
     with pytest.raises(SystemExit):
         parser().parse_args(["nothing"])
+
+
+def two_way(*pairs):
+    return [(2 * k + d, *((a, b) if d else (b, a)), float(k + 1), f"t{t}") for k, (a, b, t) in enumerate(pairs) for d in (0, 1)]
+
+
+def test_simplify_merges_two_way_roads(spark):
+    schema = "edge_id bigint, u bigint, v bigint, length double, name string"
+    # a road 1-2-3-4 to a fork at 4, a ring 20-21-22, and a dead end 31-30 with a loop at 31
+    rows = two_way((1, 2, 0), (2, 3, 0), (3, 4, 1), (4, 5, 0), (4, 6, 0), (20, 21, 0), (21, 22, 0), (22, 20, 0), (30, 31, 0), (31, 32, 0)) + [(99, 31, 31, 1.0, "t0")]
+    e = spark.createDataFrame(rows, schema)
+    chains = lambda df: sorted((r.u, r.v, r.n_edges, r.length) for r in df.collect())
+    rest = [(4, 5, 1, 4.0), (4, 6, 1, 5.0), (5, 4, 1, 4.0), (6, 4, 1, 5.0), (20, 20, 3, 21.0), (20, 20, 3, 21.0)]
+    rest += [(30, 31, 1, 9.0), (31, 30, 1, 9.0), (31, 31, 1, 1.0), (31, 32, 1, 10.0), (32, 31, 1, 10.0)]
+    assert chains(graph.simplify(e)) == sorted([(1, 4, 3, 6.0), (4, 1, 3, 6.0), *rest])
+    assert chains(graph.simplify(e, ["name"])) == sorted([(1, 3, 2, 3.0), (3, 1, 2, 3.0), (3, 4, 1, 3.0), (4, 3, 1, 3.0), *rest])
+    # a name that changes in one direction only keeps the node for both
+    uneven = spark.createDataFrame([(1, 1, 2, 1.0, "p"), (2, 2, 3, 1.0, "q"), (3, 3, 2, 1.0, "p"), (4, 2, 1, 1.0, "p")], schema)
+    assert chains(graph.simplify(uneven, ["name"])) == [(1, 2, 1, 1.0), (2, 1, 1, 1.0), (2, 3, 1, 1.0), (3, 2, 1, 1.0)]
