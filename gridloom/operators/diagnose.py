@@ -41,16 +41,20 @@ def top_values(df: DataFrame, values: Column, k: int) -> DataFrame:
     return df.select(F.explode(values).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "value").limit(k)
 
 
+def whole_number(c: str) -> Column:
+    """The id as a whole number, blanks around it and a fraction cut off; null for others."""
+    return F.expr(f"coalesce(try_cast(`{c}` AS bigint), try_cast(try_cast(`{c}` AS double) AS bigint))")
+
+
 def join_by_id(network: DataFrame, layer: DataFrame, network_id: str, layer_id: str) -> DataFrame:
     """Inner join on whole-number ids; null ids and ids that are no number match
     nothing. Names that both sides have get ``_x`` and ``_y``."""
     for df, c in ((network, network_id), (layer, layer_id)):
         if c not in df.columns:
             raise ValueError(f"there is no column {c!r} to join by")
-    whole = lambda c: F.expr(f"coalesce(try_cast(`{c}` AS bigint), try_cast(try_cast(`{c}` AS double) AS bigint))")
     both = set(network.columns) & set(layer.columns) - ({network_id} if network_id == layer_id else set())
-    left = network.withColumn(network_id, whole(network_id)).where(F.col(network_id).isNotNull())
-    right = layer.withColumn(layer_id, whole(layer_id)).where(F.col(layer_id).isNotNull())
+    left = network.withColumn(network_id, whole_number(network_id)).where(F.col(network_id).isNotNull())
+    right = layer.withColumn(layer_id, whole_number(layer_id)).where(F.col(layer_id).isNotNull())
     left = left.select([F.col(f"`{c}`").alias(f"{c}_x" if c in both else c) for c in left.columns])
     right = right.select([F.col(f"`{c}`").alias(f"{c}_y" if c in both else c) for c in right.columns])
     lk, rk = (network_id + "_x" if network_id in both else network_id), (layer_id + "_y" if layer_id in both else layer_id)
@@ -60,8 +64,11 @@ def join_by_id(network: DataFrame, layer: DataFrame, network_id: str, layer_id:
 
 
 def match_rate(matched: DataFrame, network: DataFrame, network_id: str, matched_id: str | None = None) -> DataFrame:
-    """Distinct ids asked for and matched, and their ratio."""
-    asked = network.agg(F.count_distinct(network_id).alias("asked"))
+    """Distinct ids asked for and matched, and their ratio. Asked for is every
+    number that ``join_by_id`` reads, and that of ``way/123`` and ``w123``, which
+    it does not."""
+    way = F.regexp_extract(F.trim(F.col(network_id).cast("string")), r"^[A-Za-z]+/?([0-9]+)$", 1).try_cast("bigint")
+    asked = network.agg(F.count_distinct(F.coalesce(whole_number(network_id), way)).alias("asked"))
     got = matched.agg(F.count_distinct(matched_id or network_id).alias("matched"))
     rate = F.when(F.col("asked") > 0, F.col("matched") / F.col("asked")).otherwise(0.0)
     return asked.join(F.broadcast(got)).withColumn("rate", rate)

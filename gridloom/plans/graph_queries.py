@@ -118,7 +118,7 @@ def id_join_network(s, d):
 def match_rate(s, d):
     n = table(s, d, "network").select("attributeOrigId", "linkId")
     m = dg.join_by_id(n, table(s, d, "edge_zones").select("edge_osm_id"), "attributeOrigId", "edge_osm_id")
-    return dg.match_rate(m, n.where("attributeOrigId rlike '^[0-9]+$'"), "attributeOrigId")
+    return dg.match_rate(m, n, "attributeOrigId")
 
 
 def dangling_refs(s, d):

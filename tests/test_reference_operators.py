@@ -320,3 +320,18 @@ def test_simplify_merges_two_way_roads(spark):
     # a name that changes in one direction only keeps the node for both
     uneven = spark.createDataFrame([(1, 1, 2, 1.0, "p"), (2, 2, 3, 1.0, "q"), (3, 3, 2, 1.0, "p"), (4, 2, 1, 1.0, "p")], schema)
     assert chains(graph.simplify(uneven, ["name"])) == [(1, 2, 1, 1.0), (2, 1, 1, 1.0), (2, 3, 1, 1.0), (3, 2, 1, 1.0)]
+
+
+def test_match_rate_asks_for_all_numbered_ids(spark):
+    n = spark.createDataFrame([(x,) for x in ("1", " 2", "3 ", "4.0", "4", "5.0", "way/6", "w7", "w1", "nan", "", None)], "id string")
+    z = spark.createDataFrame([(1,), (2,), (4,), (6,)], "osm bigint")
+    m = diagnose.join_by_id(n, z, "id", "osm")
+    assert tuple(diagnose.match_rate(m, n, "id").first()) == (7, 3, 3 / 7)
+
+
+def test_match_rate_query_counts_what_it_joins(spark, tmp_path):
+    from gridloom.plans import graph_queries
+
+    spark.createDataFrame([("1", 1), (" 2", 2), ("3.0", 3), ("w4", 4)], "attributeOrigId string, linkId bigint").write.parquet(f"{tmp_path}/network.parquet")
+    spark.createDataFrame([(1,), (2,)], "edge_osm_id bigint").write.parquet(f"{tmp_path}/edge_zones.parquet")
+    assert tuple(graph_queries.match_rate(spark, str(tmp_path)).first())[:2] == (4, 2)
