@@ -23,6 +23,10 @@ from .lookalike import joined, plain
 #: rest of it is looked up.
 ANCHORS = 4
 
+#: Of each so many consecutive words of an item, its rarest count in a proximity
+#: match however often the texts hold them.
+NEAR_RUN = 13
+
 
 def words(text: Column) -> Column:
     """Words of a text: runs of letters and digits in lower case, look-alike
@@ -130,17 +134,30 @@ def near_items(
 ) -> DataFrame:
     """``(doc_id, item_id, terms)``: proximity matches. At least ``min_terms``
     passage positions have their word in the text within about ``slack`` words of
-    where one alignment puts it, so inserted or dropped words do no harm. Words
-    with more postings than ``common`` times the texts say nothing and are left
-    out; that share is counted over all texts."""
+    where one alignment puts it, so inserted or dropped words do no harm. Counted
+    are the ``min_terms`` rarest of each NEAR_RUN consecutive words of the passage,
+    however frequent they are (a passage that is copied often makes its own words
+    frequent), and all words with at most ``common`` times as many postings as
+    there are texts. Frequencies are counted over all texts."""
     terms = stored(item_terms(items), "item-terms")
     postings = positional_index(docs, terms)
     most = docs.count() * common
-    freq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most)
-    rare = small_side(terms.join(freq.select("term"), "term"))
+    freq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    known = stored(terms.join(freq, "term", "left").fillna(0, ["n"]), "item-frequencies")
+    line = Window.partitionBy("item_id").orderBy("ipos").rowsBetween(0, NEAR_RUN - 1)
+    size = F.count(F.lit(1)).over(Window.partitionBy("item_id"))
+    run = F.array_sort(F.collect_list(F.struct("n", "ipos", "term")).over(line))  # NEAR_RUN entries
+    own = (
+        known.select(run.alias("w"), "item_id", size.alias("size"))
+        .where(F.size("w") == F.least("size", F.lit(NEAR_RUN)))
+        .select("item_id", F.inline(F.slice("w", 1, min_terms)))
+        .select("item_id", "ipos", "term")
+    )
+    counted = known.where(F.col("n") <= most).select("item_id", "ipos", "term").unionByName(own).distinct()
+    counted = small_side(stored(counted, "counted-terms"))
     bins = F.floor((F.col("pos") - F.col("ipos")) / slack)
     return (
-        postings.join(rare, "term")
+        postings.join(counted, "term")
         .select("doc_id", "item_id", "ipos", F.explode(F.array(bins - 1, bins)).alias("bin"))
         .distinct()
         .groupBy("doc_id", "item_id", "bin")

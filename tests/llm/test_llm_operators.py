@@ -184,6 +184,14 @@ def test_near_items_bear_insertions(spark):
     assert {tuple(r)[:2] for r in leaks.near_items(d, e).collect()} == {(0, 1)}
 
 
+def test_near_items_find_a_passage_copied_often(spark):
+    p = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november"
+    d = docs(spark, [p, p.replace("delta", "delta uh um")] * 10 + ["other words"] * 40).drop("class_id")
+    e = spark.createDataFrame([(1, p), (2, " ".join(p.split()[:8]))], "item_id bigint, passage string")
+    got = {tuple(r)[:2] for r in leaks.near_items(d, e).collect()}
+    assert got == {(i, k) for i in range(20) for k in (1, 2)}
+
+
 # -- linkage --------------------------------------------------------------------
 
 
