@@ -21,6 +21,8 @@ from ..runtime import cut, small_side, stored
 
 #: Ids of texts with a near twin are broadcast up to this count, else shuffled.
 NEAR_BROADCAST = 200_000
+#: Members of a class that one block of a pairs join has, about.
+BLOCK = 2_000
 
 # Letters drawn alike in common fonts, Cyrillic, Greek, Armenian
 # and phonetic letters against the Latin letter of the same shape.
@@ -122,33 +124,64 @@ def plain(text: Column) -> Column:
     return let(text, body)
 
 
-@lru_cache(1)
-def _composed() -> list[tuple[str, str]]:
-    """Letters written with a separate accent, and joined."""
-    out = []
-    for cp in chain_ranges((0xC0, 0x250), (0x370, 0x530), (0x1E00, 0x1F00), (0x304C, 0x30FF)):
-        d = unicodedata.normalize("NFD", chr(cp))
-        if len(d) == 2 and unicodedata.normalize("NFC", d) == chr(cp):
-            out.append((d, chr(cp)))
-    return out
+#: Ranges of the characters that canonical composition may change: marks, parts
+#: of Hangul syllables and characters that always stand decomposed or as another
+#: one. The first range spares most texts the rest.
+_COMPOSABLE = (
+    r"[\x{300}-\x{10FFFF}&&[\p{M}\x{374}\x{37E}\x{387}\x{958}-\x{95F}\x{9DC}-\x{9DF}\x{A33}-\x{A5E}\x{B5C}\x{B5D}\x{F43}-\x{FB9}\x{1100}-\x{11FF}"
+    r"\x{1F71}-\x{1FFD}\x{2000}\x{2001}\x{2126}-\x{212B}\x{2329}\x{232A}\x{2ADC}\x{F900}-\x{FAFF}\x{FB1D}-\x{FB4E}\x{1D15E}-\x{1D1C0}\x{2F800}-\x{2FA1F}]]"
+)
+
+
+def _normalizer(method: str, text: Column) -> Column:
+    """A static method of the Unicode library that Spark itself brings for its
+    collations, called in the JVM for each text."""
+    return F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit(method), text, F.lit(False))
 
 
 def joined(text: Column) -> Column:
-    """Accents joined to their letters where Unicode has the joined letter.
-    Only texts that hold a combining mark are touched."""
-    pairs = F.array(*(F.struct(F.lit(a).alias("k"), F.lit(b).alias("v")) for a, b in _composed()))
-    return F.when(
-        text.rlike(r"\p{M}"), F.aggregate(pairs, text, lambda acc, p: F.replace(acc, p["k"], p["v"]))
-    ).otherwise(text)
+    """The canonical composition (NFC) of a text: accents joined to their letters,
+    however many, parts of Hangul to syllables. Only texts that hold a character
+    it may change are touched."""
+    return F.when(text.rlike(_COMPOSABLE), _normalizer("compose", text)).otherwise(text)
+
+
+@lru_cache(1)
+def _small_twins() -> tuple[str, str]:
+    """Small letters of other scripts whose capitals are drawn like Latin ones, and
+    the small Latin letters instead. Greek nu stays: it is drawn like a v."""
+    drawn = {a: b for theirs, ours in ALIKE.items() for a, b in zip(theirs, ours)}
+    pairs = {a.lower(): b.lower() for a, b in drawn.items() if a != a.lower() and a.lower() not in drawn}
+    return "".join(pairs), "".join(pairs.values())
+
+
+#: Greek letters that no Latin letter is drawn like.
+_GREEK_ONLY = r"[\x{393}\x{394}\x{398}\x{39B}\x{39E}\x{3A0}\x{3A3}\x{3A6}\x{3A8}\x{3A9}\x{3B1}-\x{3BC}\x{3BE}\x{3C0}-\x{3CE}\x{386}-\x{390}]"
+
+
+def caseless(text: Column) -> Column:
+    """One form of a text whatever its case and whichever of its letters are drawn
+    alike. What a small letter is drawn like differs from what its capital is
+    drawn like in other scripts, so small ones follow their capitals. Only the
+    Greek nu is a v when small and an N when not: a capital one with a letter that
+    can only be Greek within twenty characters counts as Greek, hence as small."""
+    near = rf"(?s)Ν(?=.{{0,20}}?{_GREEK_ONLY})|(?<={_GREEK_ONLY}.{{0,20}})Ν"
+    nu = F.when(text.contains("Ν"), F.regexp_replace(joined(text), near, "ν")).otherwise(text)
+    src, dst = _small_twins()
+
+    def small(t: Column) -> Column:
+        apart = F.translate(_normalizer("decompose", t), src + "ς", dst + "σ")
+        other = F.when(t.rlike(r"[\x{370}-\x{52F}\x{1F00}-\x{1FFF}]"), _normalizer("compose", apart)).otherwise(t)
+        return F.when(t.rlike(r"[ßi]"), F.replace(F.replace(other, F.lit("ß"), F.lit("ss")), F.lit("i\u0307"), F.lit("i"))).otherwise(other)
+
+    return let(let(plain(nu), lambda p: F.lower(joined(p))), small)
 
 
 def skeleton(form: Column) -> Column:
-    """A hash that is equal for texts of one class, cheap, and nearly never
-    equal for others: the visible ASCII characters without accents on them."""
-    bare = F.when(form.rlike(r"\p{M}"), F.regexp_replace(form, r"[\x21-\x7E]\p{M}+|[^\x21-\x7E]+", "")).otherwise(
-        F.regexp_replace(form, r"[^\x21-\x7E]+", "")
-    )
-    return F.xxhash64(bare)
+    """A hash that is equal for texts of one class, cheap, and nearly never equal
+    for others: the letters and digits of all scripts, composed, and the visible
+    ASCII characters."""
+    return F.xxhash64(F.regexp_replace(joined(form), r"[^\x21-\x7E\p{L}\p{N}]+", ""))
 
 
 def look_alike_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,8 +218,12 @@ def look_alike_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def look_alike_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_a, doc_b)``, ``doc_a < doc_b``: both look the same throughout and
-    are not the same string."""
+    are not the same string. A class of more than BLOCK members is joined block by
+    block, so that its pairs are made by many tasks."""
     m = cut(look_alike_classes(df, id_col, text_col))
-    a = m.select(F.col(id_col).alias("doc_a"), "class_id", F.col("text_id").alias("ta"))
-    b = m.select(F.col(id_col).alias("doc_b"), "class_id", F.col("text_id").alias("tb"))
-    return a.join(b, "class_id").where("doc_a < doc_b AND ta <> tb").select("doc_a", "doc_b").distinct()
+    size = m.groupBy("class_id").agg((F.floor((F.count(F.lit(1)) - 1) / BLOCK) + 1).cast("int").alias("_n"))
+    m = m.join(size, "class_id").withColumn("_own", F.pmod(F.xxhash64(id_col), F.col("_n")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    a = m.select("class_id", F.col(id_col).alias("doc_a"), F.col("text_id").alias("ta"), F.col("_own").alias("_a"), every.alias("_b"))
+    b = m.select("class_id", F.col(id_col).alias("doc_b"), F.col("text_id").alias("tb"), F.col("_own").alias("_b"), every.alias("_a"))
+    return a.join(b, ["class_id", "_a", "_b"]).where("doc_a < doc_b AND ta <> tb").select("doc_a", "doc_b").distinct()

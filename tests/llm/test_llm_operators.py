@@ -177,6 +177,108 @@ def test_leak_edges(spark):
     assert leaks.leaked_items(d, e.limit(0)).count() == 0
 
 
+SCRIPTS = {
+    "vi": "Tiếng Việt là ngôn ngữ của người Việt và là ngôn ngữ chính thức tại nước Việt Nam từ lâu đời nay",
+    "ko": "대한민국의 모든 국민은 법 앞에 평등하다 누구든지 성별 종교 또는 사회적 신분에 의하여 차별을 받지 아니한다 그리고",
+    "hi": "सभी मनुष्य जन्म से स्वतंत्र हैं और उनकी गरिमा तथा अधिकार बराबर हैं ज़मीन क़लम फ़सल",
+    "ar": "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا",
+    "ru": "Все люди рождаются свободными и равными в своём достоинстве и правах они наделены разумом и совестью",
+    "el": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα Είναι προικισμένοι με λογική",
+    "de": "Die Straße führt außen um die große Stadt und weiter nach Süden bis an den weißen Fluß im Tal",
+}
+
+
+def test_leaks_in_other_scripts_accents_and_case(spark):
+    """Separate accents and another case do not hide a passage."""
+    texts, want = [], set()
+    for k, t in enumerate(SCRIPTS.values()):
+        for form in (t, unicodedata.normalize("NFD", t), unicodedata.normalize("NFC", t), "x\n" + t.upper(), unicodedata.normalize("NFD", t.lower()) + " x"):
+            want.add((len(texts), k))
+            texts.append(form)
+    d = docs(spark, texts).drop("class_id")
+    e = spark.createDataFrame(list(enumerate(SCRIPTS.values())), "item_id bigint, passage string")
+    assert {tuple(r)[:2] for r in leaks.leaked_items(d, e).collect()} == want
+
+
+def test_look_alikes_of_any_script_and_several_accents(spark):
+    texts = [unicodedata.normalize(f, t) for t in SCRIPTS.values() for f in ("NFC", "NFD")] + ["K;", "\u212a\u037e", "ḯ", "i\u0308\u0301"]
+    assert pairs(spark, texts) == [(i, i + 1) for i in range(0, len(texts), 2) if texts[i] != texts[i + 1]]
+
+
+def test_pairs_of_a_big_class(spark, monkeypatch):
+    monkeypatch.setattr(lookalike, "BLOCK", 2)
+    texts = ["ab c"] + ["аb c", "ab\u00a0c", "аb\u00a0c", "ａb c", "ab\u200b c"] + ["ab c"]
+    want = [(i, j) for i in range(7) for j in range(i + 1, 7) if texts[i] != texts[j]]
+    assert pairs(spark, texts) == want
+
+
+def brute_near(texts, passages, run=13, missing=3, slack=6, least=6):
+    out = {}
+    for d, t in enumerate(texts):
+        w = plain_words(t or "")
+        for k, p in enumerate(passages):
+            q = plain_words(p or "")
+            if len(q) < least:
+                continue
+            n = min(run, len(q))
+            need = -(-n * (run - missing) // run)
+            bins = {}
+            for i, a in enumerate(q):
+                for j, b in enumerate(w):
+                    if a == b:
+                        for at in ((j - i) // slack, (j - i) // slack - 1):
+                            bins.setdefault(at, set()).add(i)
+            best = max((sum(i + x in have for x in range(n)) for have in bins.values() for i in range(len(q) - n + 1)), default=0)
+            if best >= need:
+                out[d, k] = best
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_near_items_against_brute_force(spark, seed):
+    """Every match is found: recall is 1, also of passages in a third of all texts."""
+    rnd = random.Random(seed)
+    words = [f"w{i}" for i in range(60)] + ["the", "of"] * 8
+    passages = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(3, 40))) for _ in range(12)] + [None, ""]
+    texts = [None, ""]
+    for i in range(60):
+        p = (passages[0] if i % 3 == 0 else rnd.choice(passages) or "").split()
+        p = [w for w in p if rnd.random() < 0.85]
+        for _ in range(rnd.randrange(4)):
+            p.insert(rnd.randrange(len(p) + 1), rnd.choice(words))
+        texts.append(" ".join(["x"] * rnd.randrange(9) + p + [rnd.choice(words) for _ in range(rnd.randrange(20))]))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    e = spark.createDataFrame(list(enumerate(passages)), "item_id bigint, passage string")
+    want = brute_near(texts, passages)
+    got = {tuple(r)[:2]: r.terms for r in leaks.near_items(d, e).collect()}
+    assert got == want and want
+    if seed == 0:  # items in several blocks, little memory
+        assert {tuple(r)[:2]: r.terms for r in leaks.near_items(d, e, block_words=60).collect()} == want
+        assert leaks.near_items(d.limit(0), e).count() == leaks.near_items(d, e.limit(0)).count() == 0
+
+
+def test_leaks_in_blocks_and_slices(spark, monkeypatch):
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(9)]
+    passages = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(3, 30))) for _ in range(20)]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(400))) for _ in range(40)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    e = spark.createDataFrame(list(enumerate(passages)), "item_id bigint, passage string")
+    for name in ("SLICE_CHARS", "SLICE_POSTINGS", "SLICE_CANDIDATES"):
+        monkeypatch.setattr(leaks, name, 50)
+    got = [tuple(r)[:2] for r in leaks.leaked_items(d, e, 5, block_words=40).collect()]
+    assert set(got) == brute_leaks(texts, passages, 5) and len(got) == len(set(got))
+    with pytest.raises(ValueError):
+        leaks.leaked_items(d, e, 1)
+
+
+def test_two_passages_of_one_item_stay_apart(spark):
+    a, b = passages_repeat(), passages_repeat().upper().replace("ONE", "zero")
+    d = docs(spark, [a, b, " ".join(a.split()[:7] + b.split()[:7])]).drop("class_id")
+    e = spark.createDataFrame([(1, a), (1, b)], "item_id bigint, passage string")
+    assert {tuple(r)[:2] for r in leaks.leaked_items(d, e).collect()} == {(0, 1), (1, 1)}
+
+
 def test_near_items_bear_insertions(spark):
     p = "alpha bravo charlie delta echo foxtrot golf hotel india juliet"
     d = docs(spark, [p.replace("delta", "delta uh um"), "alpha x y z bravo", "nothing here"] + ["other words"] * 400).drop("class_id")
