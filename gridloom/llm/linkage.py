@@ -3,14 +3,17 @@
 Soft-logic linkage. Every candidate pair has a variable in [0, 1]. Weighted
 rules on the similarity of place, length, name and class pull it up or down by
 squared hinge losses; exclusivity (a link has at most one edge, an edge at most
-one link) and transitivity (records of one link stand for the same edge) tie
-variables together. The sum is convex and is solved by consensus alternating
-directions: each iteration takes one proximal step per rule set and averages,
-with plain aggregations over the pairs. The value of a variable is the
-confidence of the pair.
+one link) and transitivity (two records of one link are the same, so what one is
+the other is: ``same(a, b) & match(b, e) -> match(a, e)``) tie variables together.
+The sum is convex and is solved by consensus alternating directions: each
+iteration takes one proximal step per rule set and averages. It ends when the
+primal and the dual residual of every variable are below a tolerance. The value
+of a variable is the confidence of the pair.
 
 Variables that no other one contends with are solved on their own in closed
-form; only contended ones iterate, which keeps the rounds small.
+form. Contended ones fall into connected components, which are independent
+problems: those of bounded size iterate inside one partition, many at once, and
+only larger ones iterate over the cluster, with plain aggregations over pairs.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import let
 from ..functions.wkb import line_length, line_parts
+from ..operators.graph import components
 from ..operators.packed import packed_values
 from ..runtime import cut, stored
 
@@ -31,8 +35,11 @@ from ..runtime import cut, stored
 RADIUS = 20.0
 #: A pair is a match from this confidence on.
 ACCEPT = 0.5
-#: Penalty of the alternating directions, and their rounds.
-RHO, ROUNDS = 1.0, 15
+#: Penalty of the alternating directions, the residual at which they end, and
+#: the rounds after which not to have ended is an error.
+RHO, SETTLED, MOST_ROUNDS = 1.0, 1e-3, 20_000
+#: Variables of the largest component that iterates inside one partition.
+LOCAL_VARIABLES = 20_000
 #: Weight of the transitivity rule.
 TRANSITIVE = 2.0
 
@@ -179,13 +186,14 @@ def _contended(pairs: DataFrame) -> DataFrame:
     return out.withColumn("tied", (F.col("n_rec") > 1) | (F.col("n_edge") > 1) | (F.col("n_same") > 1)).drop("n_rec", "n_edge")
 
 
-def _alternate(vars: DataFrame, rounds: int) -> DataFrame:
-    """Consensus alternating directions over the contended variables."""
+def _alternate(vars: DataFrame, settled: float = SETTLED, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """Consensus alternating directions over contended variables, with a few
+    aggregations per round, until all residuals are at most ``settled``."""
     zero = F.lit(0.0)
     state = vars.withColumn("z", _least(F.col("rules"), None)).withColumn("share", 1.0 / F.col("n_same"))
     for u in ("uf", "ur", "ue", "ut"):
         state = state.withColumn(u, zero)
-    for _ in range(rounds):
+    for _ in range(most_rounds):
         s = state.select("*", (F.col("z") - F.col("ur")).alias("ar"), (F.col("z") - F.col("ue")).alias("ae"), (F.col("z") - F.col("ut")).alias("at"))
         over = lambda total, mass: F.greatest(total - 1.0, zero) / mass
         rec = s.groupBy("rec").agg(over(F.sum("ar"), F.count(F.lit(1))).alias("or"))
@@ -193,7 +201,7 @@ def _alternate(vars: DataFrame, rounds: int) -> DataFrame:
         same = s.groupBy("link_id", "edge_id").agg(F.avg("at").alias("mt"))
         s = s.join(rec, "rec").join(edge, "edge_id").join(same, ["link_id", "edge_id"])
         s = s.select(
-            *vars.columns, "share", "uf", "ur", "ue", "ut",
+            *vars.columns, "share", F.col("z").alias("was"), "uf", "ur", "ue", "ut",
             _least(F.col("rules"), F.col("z") - F.col("uf")).alias("yf"),
             (F.col("ar") - F.col("or")).alias("yr"),
             (F.col("ae") - F.col("share") * F.col("oe")).alias("ye"),
@@ -201,12 +209,119 @@ def _alternate(vars: DataFrame, rounds: int) -> DataFrame:
         )
         mean = sum((F.col(f"y{k}") + F.col(f"u{k}") for k in "fret"), zero) / 4.0
         s = s.withColumn("z", F.least(F.greatest(mean, zero), F.lit(1.0)))
-        state = s.select(*vars.columns, "share", "z", *((F.col(f"u{k}") + F.col(f"y{k}") - F.col("z")).alias(f"u{k}") for k in "fret"))
+        left = F.greatest(F.abs(F.col("z") - F.col("was")), *(F.abs(F.col(f"y{k}") - F.col("z")) for k in "fret"))
+        state = s.select(*vars.columns, "share", "z", left.alias("left"), *((F.col(f"u{k}") + F.col(f"y{k}") - F.col("z")).alias(f"u{k}") for k in "fret"))
         state = cut(state)  # each round reads its state four times
-    return state
+        if (state.agg(F.max("left")).first()[0] or 0.0) <= settled:
+            return state
+        state = state.drop("left")
+    raise RuntimeError(f"the alternating directions did not settle in {most_rounds} rounds")
+
+
+class _Rules:
+    """Rules of many variables as matrices."""
+
+    def __init__(self, rules: pa.Array):
+        n = np.diff(rules.offsets.to_numpy())
+        owner = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        flat = rules.flatten()
+        shape = (len(n), int(n.max(initial=0)))
+        self.w, self.t, self.up = np.zeros(shape), np.zeros(shape), np.zeros(shape, bool)
+        for i, m in enumerate((self.w, self.t, self.up)):
+            m[owner, at] = flat.field(i).to_numpy(zero_copy_only=False)
+
+    def least(self, v: np.ndarray | None) -> np.ndarray:
+        """As :func:`_least`, of all variables."""
+        pull, mass = (RHO * v, RHO) if v is not None else (0.0, 1e-12)
+        x = np.full(len(self.w), 0.5) if v is None else v
+        for _ in range(8):
+            on = 2 * self.w * np.where(self.up, self.t > x[:, None], x[:, None] > self.t)
+            x = (pull + (on * self.t).sum(axis=1)) / (mass + on.sum(axis=1))
+        return np.clip(x, 0.0, 1.0)
+
+
+def solve(rec: np.ndarray, edge: np.ndarray, pair: np.ndarray, n_same: np.ndarray, rules: _Rules, settled: float = SETTLED) -> np.ndarray:
+    """As :func:`_alternate`, of whole components that are held in arrays."""
+    (rec, edge, pair), share = (np.unique(x, return_inverse=True)[1] for x in (rec, edge, pair)), 1.0 / n_same
+    n_rec, n_pair, mass = np.bincount(rec), np.bincount(pair), np.bincount(edge, share * share)
+    z = rules.least(None)
+    uf, ur, ue, ut = np.zeros((4, len(z)))
+    for _ in range(MOST_ROUNDS):
+        ar, ae, at = z - ur, z - ue, z - ut
+        mt = (np.bincount(pair, at) / n_pair)[pair]
+        y = np.stack(
+            [
+                rules.least(z - uf),
+                ar - (np.maximum(np.bincount(rec, ar) - 1, 0) / n_rec)[rec],
+                ae - share * (np.maximum(np.bincount(edge, share * ae) - 1, 0) / mass)[edge],
+                mt + (at - mt) * (RHO / (RHO + 2 * TRANSITIVE)),
+            ]
+        )
+        u = np.stack([uf, ur, ue, ut])
+        new = np.clip((y + u).mean(axis=0), 0.0, 1.0)
+        left = max(np.abs(y - new).max(initial=0), np.abs(new - z).max(initial=0))
+        z, (uf, ur, ue, ut) = new, u + y - new
+        if left <= settled:
+            return z
+    raise RuntimeError(f"the alternating directions did not settle in {MOST_ROUNDS} rounds")
+
+
+_SOLVED = "link_id bigint, edge_id string, x double"
+
 
+def _solved_locally(tied: DataFrame) -> DataFrame:
+    """Solutions of components ``comp``, each in one partition; a partition's rows
+    come by component, of which a batch may hold a part."""
 
-def linked_edges(network: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def solved(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(rows).combine_chunks()
+            col = lambda c: t.column(c).combine_chunks()
+            edge = np.asarray(col("edge_id").dictionary_encode().indices)
+            rec, link, n_same = (col(c).to_numpy() for c in ("rec", "link_id", "n_same"))
+            pair = np.unique(np.stack([link, edge.astype(np.int64)]), axis=1, return_inverse=True)[1]
+            x = solve(rec, edge, pair.ravel(), n_same, _Rules(col("rules")))
+            return pa.RecordBatch.from_arrays([col("link_id"), col("edge_id"), pa.array(x)], names=["link_id", "edge_id", "x"])
+
+        for b in batches:
+            comp = b.column(0).to_numpy()
+            # the batch's last component may go on in the next one
+            last = int(np.flatnonzero(comp == comp[-1])[0]) if len(comp) else 0
+            if held and len(comp) and (last or held[-1].column(0)[-1].as_py() != comp[0]):
+                if last:
+                    held.append(b.slice(0, last))
+                yield solved(held)
+                held = [b.slice(last)]
+            elif last:
+                yield solved([b.slice(0, last)])
+                held = [b.slice(last)]
+            elif len(comp):
+                held.append(b)
+        if held:
+            yield solved(held)
+
+    cols = tied.select("comp", "rec", "link_id", "edge_id", "rules", F.col("n_same").cast("double").alias("n_same"))
+    return cols.repartition("comp").sortWithinPartitions("comp").mapInArrow(run, _SOLVED)
+
+
+def settle(tied: DataFrame, local_variables: int = LOCAL_VARIABLES) -> DataFrame:
+    """``(link_id, edge_id, x)`` of contended variables."""
+    link, edge = F.xxhash64(F.lit("link"), "link_id"), F.xxhash64(F.lit("edge"), "edge_id")
+    of = components(tied.select(link.alias("u"), edge.alias("v"))).select(F.col("node_id").alias("_l"), F.col("component").alias("comp"))
+    rows = tied.withColumn("_l", link).join(of, "_l").drop("_l")
+    size = rows.groupBy("comp").agg(F.count(F.lit(1)).alias("_n"))
+    rows = stored(rows.join(size, "comp"), "components")
+    out = _solved_locally(rows.where(F.col("_n") <= local_variables))
+    large = rows.where(F.col("_n") > local_variables).drop("comp", "_n")
+    if large.isEmpty():
+        return out
+    return out.unionByName(_alternate(large).select("link_id", "edge_id", F.col("z").alias("x")))
+
+
+def linked_edges(network: DataFrame, edges: DataFrame, local_variables: int = LOCAL_VARIABLES) -> DataFrame:
     """``(edge_id, link_id, confidence)``: the edge each link without a way number
     stands for, in its direction; a link has one edge or none.
 
@@ -219,7 +334,7 @@ def linked_edges(network: DataFrame, edges: DataFrame, rounds: int = ROUNDS) ->
     pairs = stored(_contended(stored(pairs, "pairs")), "contended")
     alone = pairs.where(~F.col("tied")).select("link_id", "edge_id", _least(F.col("rules"), None).alias("x"))
     tied = pairs.where("tied").select("rec", "link_id", "edge_id", "rules", "n_same")
-    solved = _alternate(tied, rounds).select("link_id", "edge_id", F.col("z").alias("x"))
+    solved = settle(tied, local_variables)
     best = (
         alone.unionByName(solved)
         .groupBy("link_id", "edge_id")
