@@ -7,9 +7,10 @@ whose shared border a point lies on, a line is assigned once.
 
 Up to ``broadcast_triangles`` triangles (counted first) every worker holds the
 whole hierarchy and lines are not moved at all. Beyond that the upper part of
-the hierarchy is built from a histogram of bounded size; its leaves are the keys
-by which triangles and the lines that meet their boxes come together, with busy
-leaves salted so that no task holds more than a bounded share of either.
+the hierarchy is cut by planes through a sample of bounded size, so that its
+leaves hold about as many triangles each wherever they are crowded. Leaves are
+the keys by which triangles and the lines that meet their boxes come together;
+leaves with many lines, or with triangles that no plane parts, are salted.
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ from ..runtime import stored
 
 #: Triangles every worker may hold (64 bytes each, and as much again for the tree).
 BROADCAST_TRIANGLES = 400_000
-#: Cells a side of the histogram from which the upper hierarchy is built, and the
-#: triangles and lines one task gets of a leaf, about.
-GRID, LEAF_TRIANGLES, LEAF_LINES = 64, 20_000, 50_000
+#: Triangles of the sample through which the upper hierarchy is cut (it only
+#: evens out the leaves; every triangle is placed), and the triangles and lines
+#: one task gets of a leaf, about.
+SAMPLE, LEAF_TRIANGLES, LEAF_LINES = 200_000, 20_000, 50_000
 
 #: The hierarchy a Python worker holds for the query it works on.
 _held: dict[str, tuple] = {}
@@ -225,47 +227,60 @@ def _met_schema() -> pa.Schema:
     )
 
 
-def upper_leaves(cells: dict[tuple[int, int], int], most: int) -> dict[tuple[int, int], int]:
-    """Leaf of each cell: the hierarchy's upper part, halving the cells along the
-    longer side until a leaf holds at most ``most`` triangles or is one cell."""
-    leaf: dict[tuple[int, int], int] = {}
-    stack, made = [sorted(cells)], 0
-    while stack:
-        part = stack.pop()
-        if not part:
-            continue
-        if sum(cells[c] for c in part) <= most or len(part) == 1:
-            leaf |= dict.fromkeys(part, made)
-            made += 1
-            continue
-        spans = [max(c[k] for c in part) - min(c[k] for c in part) for k in (0, 1)]
-        part.sort(key=lambda c: (c[spans[1] > spans[0]], c))
-        half, run = sum(cells[c] for c in part) / 2, 0
-        for i, c in enumerate(part):
-            run += cells[c]
-            if run >= half:
-                break
-        i = min(max(i + 1, 1), len(part) - 1)
-        stack += [part[:i], part[i:]]
-    return leaf
+class Planes:
+    """The upper hierarchy: planes that halve a sample of points along their longer
+    spread until there are enough leaves, or no plane parts what is left."""
+
+    def __init__(self, points: np.ndarray, leaves: int):
+        self.axis, self.value, self.child = [], [], []  # child: two node numbers, or -1 - leaf
+        self.leaves = 0
+        self.root = self._node(points, max(1, leaves))
+
+    def _node(self, points: np.ndarray, leaves: int) -> int:
+        axis = int(np.argmax(np.ptp(points, axis=0))) if len(points) else 0
+        if leaves > 1 and len(points) > 1:
+            v = np.sort(points[:, axis])
+            value = v[len(v) * ((leaves + 1) // 2) // leaves]
+            value = value if value > v[0] else v[np.searchsorted(v, value, "right") :][:1]
+            if np.size(value):
+                value = float(np.ravel(value)[0])
+                at = len(self.axis)
+                self.axis.append(axis)
+                self.value.append(value)
+                self.child.append((0, 0))
+                low = points[:, axis] < value
+                self.child[at] = (self._node(points[low], (leaves + 1) // 2), self._node(points[~low], leaves // 2))
+                return at
+        self.leaves += 1
+        return -self.leaves
+
+    def leaf_of(self, points: np.ndarray) -> np.ndarray:
+        """The leaf of each point, counted from 0."""
+        at = np.full(len(points), self.root)
+        axis, value, child = np.array(self.axis, int), np.array(self.value), np.array(self.child, int).reshape(-1, 2)
+        while (inner := np.flatnonzero(at >= 0)).size:
+            k = at[inner]
+            at[inner] = child[k, (points[inner, axis[k]] >= value[k]).astype(int)]
+        return -1 - at
 
 
 def _by_leaves(slim: DataFrame, tris: DataFrame, reach: float, most: int | None = None) -> DataFrame:
     """The same through a shuffle by leaves of the upper hierarchy."""
     most = most or LEAF_TRIANGLES
-    spark = slim.sparkSession
     cx, cy = (F.col("x0") + F.col("x1") + F.col("x2")) / 3, (F.col("y0") + F.col("y1") + F.col("y2")) / 3
-    lo = tris.agg(F.min(cx).alias("a"), F.min(cy).alias("b"), F.max(cx).alias("c"), F.max(cy).alias("d")).first()
-    wx, wy = (max((hi - low) / GRID, 1e-9) for low, hi in ((lo.a, lo.c), (lo.b, lo.d)))
-    placed = tris.withColumn("i", F.floor((cx - lo.a) / wx).cast("int")).withColumn("j", F.floor((cy - lo.b) / wy).cast("int"))
-    counts = {(r.i, r.j): r["count"] for r in placed.groupBy("i", "j").count().collect()}  # at most (GRID + 1)^2 rows
-    leaves = upper_leaves(counts, most)
-    leaf_of = spark.createDataFrame([(i, j, k) for (i, j), k in leaves.items()], "i int, j int, leaf int")
-    # a cell that alone holds more than fits one task is split by hash
-    share = {k: 1 + sum(counts[c] for c, m in leaves.items() if m == k) // most for k in set(leaves.values())}
-    pieces = F.create_map(*(F.lit(x) for kv in share.items() for x in kv))
-    side = placed.join(F.broadcast(leaf_of), ["i", "j"]).drop("i", "j")
-    side = side.withColumn("piece", F.pmod(F.xxhash64("zone_id", "x0", "y0", "x1"), pieces[F.col("leaf")]).cast("int"))
+    n = tris.count()
+    some = tris.select(cx, cy).sample(min(1.0, SAMPLE / max(n, 1)), 1).limit(2 * SAMPLE).collect()
+    planes = Planes(np.array(some, "f8").reshape(-1, 2), -(-n // most))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            xy = np.stack([b.column(k).to_numpy() for k in range(2, 8)], axis=1).reshape(-1, 3, 2)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(planes.leaf_of(xy.mean(axis=1)), pa.int32())], names=[*b.schema.names, "leaf"])
+
+    side = stored(tris.mapInArrow(place, f"{_TRI}, leaf int"), "placed")
+    # triangles of one leaf beyond what fits one task, as none of the planes parts them, are split by hash
+    pieces = side.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / (2 * most)).cast("int").alias("pieces"))
+    side = side.join(F.broadcast(pieces), "leaf").withColumn("piece", F.pmod(F.xxhash64("zone_id", "x0", "y0", "x1"), F.col("pieces")).cast("int"))
     box = side.groupBy("leaf").agg(F.min(F.least("x0", "x1", "x2")), F.min(F.least("y0", "y1", "y2")), F.max(F.greatest("x0", "x1", "x2")), F.max(F.greatest("y0", "y1", "y2")))
     found = sorted(tuple(r) for r in box.collect())  # as many rows as leaves
     ids, frames = np.array([r[0] for r in found]), np.array([r[1:] for r in found], "f8")
@@ -282,11 +297,11 @@ def _by_leaves(slim: DataFrame, tris: DataFrame, reach: float, most: int | None
                     yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(ids[hit], pa.int32())], names=["rec_id", "geometry", "leaf"])
 
     routed = stored(slim.mapInArrow(route, "rec_id bigint, geometry binary, leaf int"), "routed")
-    salts = {r.leaf: 1 + r["count"] // LEAF_LINES for r in routed.groupBy("leaf").count().collect()}
-    salt_of = F.create_map(*(F.lit(x) for kv in (salts or {-1: 1}).items() for x in kv))
-    left = routed.withColumn("salt", F.pmod(F.xxhash64("rec_id", "geometry"), salt_of[F.col("leaf")]).cast("int"))
-    left = left.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces[F.col("leaf")] - 1)))
-    right = side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(salt_of[F.col("leaf")], F.lit(1)).cast("int") - 1)))
+    salts = routed.groupBy("leaf").agg((1 + F.floor(F.count(F.lit(1)) / LEAF_LINES)).cast("int").alias("salts"))
+    leaf = F.broadcast(pieces.join(salts, "leaf"))  # as many rows as leaves
+    left = routed.join(leaf, "leaf").withColumn("salt", F.pmod(F.xxhash64("rec_id", "geometry"), F.col("salts")).cast("int"))
+    left = left.select("rec_id", "geometry", "leaf", "salt", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    right = side.drop("pieces").join(F.broadcast(salts), "leaf").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
     def test(a: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         xy = t[["x0", "y0", "x1", "y1", "x2", "y2"]].to_numpy().reshape(-1, 3, 2)

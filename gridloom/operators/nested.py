@@ -14,21 +14,19 @@ a hot feed is no matter, and no group is gathered.
 from __future__ import annotations
 
 import json
-import sys
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A path is a tuple of field names; a repeated step is followed by ``[]``.
-Path = tuple[str, ...]
+#: The step of a path into the entries of a list.
 REPEATED = "[]"
-#: Nesting that a record may have, beyond what any feed has; Python's own stack
-#: bounds it. Deeper ones are taken as unreadable.
-DEEPEST = 1000
 
 Column = list[tuple[int, int, str | None]]
+_LARGEST = 2**63 - 1
 
 
 class _Text(str):
@@ -40,87 +38,228 @@ def read_json(payload: str | None) -> object | None:
     A byte order mark before it is no part of it."""
     if payload is None:
         return None
+    text = payload.lstrip("\ufeff")
     try:
-        return json.loads(payload.lstrip("\ufeff"), parse_int=_Text, parse_float=_Text, parse_constant=_Text)
-    except (ValueError, RecursionError):
+        return json.loads(text, parse_int=_Text, parse_float=_Text, parse_constant=_Text)
+    except RecursionError:
+        try:
+            return _read_deep(text)
+        except (ValueError, LookupError):
+            return None
+    except ValueError:
         return None
 
 
-def shred(record: object) -> dict[Path, Column]:
-    """Level columns of every leaf path of a record.
+_BLANK = re.compile(r"[ \t\n\r]*")
+_SCALAR = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false|null|NaN|-?Infinity")
+_WORDS = {"true": True, "false": False, "null": None}
+
+
+def _read_deep(text: str) -> object:
+    """As the library's reader, for nesting that its recursion cannot take."""
+    skip = lambda i: _BLANK.match(text, i).end()
+
+    def name(i: int) -> tuple[str, int]:
+        if text[i : i + 1] != '"':
+            raise ValueError("a name was expected")
+        k, i = scanstring(text, i + 1, True)
+        i = skip(i)
+        if text[i : i + 1] != ":":
+            raise ValueError("a colon was expected")
+        return k, skip(i + 1)
+
+    opened: list[tuple[dict | list, str | None]] = []
+    key, i = None, skip(0)
+    while True:
+        c = text[i : i + 1]
+        if c in ("{", "["):
+            box: dict | list = {} if c == "{" else []
+            i = skip(i + 1)
+            if text[i : i + 1] != ("}" if c == "{" else "]"):
+                opened.append((box, key))
+                if c == "{":
+                    key, i = name(i)
+                continue
+            value, i = box, i + 1
+        elif c == '"':
+            value, i = scanstring(text, i + 1, True)
+        else:
+            m = _SCALAR.match(text, i)
+            if m is None:
+                raise ValueError("a value was expected")
+            value, i = _WORDS.get(m[0], _Text(m[0])), m.end()
+        while True:  # put the value where it belongs, close what ends here
+            i = skip(i)
+            if not opened:
+                if i != len(text):
+                    raise ValueError("more text after the record")
+                return value
+            box, outer = opened[-1]
+            if isinstance(box, dict):
+                box[key] = value
+            else:
+                box.append(value)
+            c = text[i : i + 1]
+            if c == ",":
+                i = skip(i + 1)
+                if isinstance(box, dict):
+                    key, i = name(i)
+                break
+            if c != ("}" if isinstance(box, dict) else "]"):
+                raise ValueError("a container does not end")
+            opened.pop()
+            value, key, i = box, outer, i + 1
+
+
+class Step:
+    """A step of the paths of a record: a field name or ``REPEATED``. Steps are
+    shared by all paths through them, so depth costs no more than its steps."""
+
+    __slots__ = ("above", "name", "below", "depth", "repeats", "leaf")
+
+    def __init__(self, above: Step | None, name: str):
+        self.above, self.name, self.leaf = above, name, False
+        self.below: dict[str, Step] = {}
+        self.depth = above.depth + 1 if above else 0
+        self.repeats = (above.repeats if above else 0) + (name == REPEATED)
+
+    def to(self, name: str) -> Step:
+        return self.below.get(name) or self.below.setdefault(name, Step(self, name))
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        out, s = [], self
+        while s.above:
+            out.append(s.name)
+            s = s.above
+        return tuple(reversed(out))
+
+    def columns(self) -> Iterator[Step]:
+        """The leaf steps at and under this one."""
+        stack = [self]
+        while stack:
+            s = stack.pop()
+            if s.leaf:
+                yield s
+            stack.extend(s.below.values())
+
+
+def _fields(node: dict) -> dict[str, object]:
+    """An object's fields; one that is named like ``REPEATED`` is told apart."""
+    return {(f"{k} " if k == REPEATED else k): v for k, v in node.items()} if REPEATED in node else node
+
+
+def _paths(record: object) -> Step:
+    """All paths of a record."""
+    root = Step(None, "")
+    stack = [(record, root)]
+    while stack:
+        node, step = stack.pop()
+        if isinstance(node, dict) and node:
+            stack.extend((v, step.to(k)) for k, v in _fields(node).items())
+        elif isinstance(node, list) and node:
+            entry = step.to(REPEATED)
+            stack.extend((v, entry) for v in node)
+        else:
+            step.leaf = True
+    return root
+
+
+def shred(record: object) -> dict[Step, Column]:
+    """Level columns of every leaf path of a record, of any depth.
 
     A list repeats; an object defines its fields; a scalar is a leaf; null, an
     empty list and an empty object are leaves without a value, whose definition
-    level tells how far the path existed. Fields absent from one element and
-    present in another of the same list are filled with undefined entries, so
-    that each column has an entry for every instance of its nearest ancestor.
+    level tells how far the path existed. Where a path is absent each of its
+    columns gets an undefined entry, so that every column has an entry for every
+    instance of its nearest ancestor.
     """
-    columns: dict[Path, Column] = {}
-
-    def leaves(node: object, path: Path, r: int, d: int, depth: int) -> dict[Path, Column]:
-        if depth > DEEPEST:
-            raise RecursionError
-        if isinstance(node, dict) and node:
-            out: dict[Path, Column] = {}
-            for k, v in node.items():
-                out |= leaves(v, (*path, k), r, d + 1, depth + 1)
-            return out
+    root = _paths(record)
+    out: dict[Step, Column] = {s: [] for s in root.columns()}
+    stack = [(record, root, 0, 0)]
+    while stack:
+        node, step, r, d = stack.pop()
+        has: dict[str, object] = _fields(node) if isinstance(node, dict) else {}
         if isinstance(node, list) and node:
-            here = (*path, REPEATED)
-            level = here.count(REPEATED)
-            out, done = {}, 0
-            for i, v in enumerate(node):
-                start = r if i == 0 else level
-                new = leaves(v, here, start, d + 1, depth + 1)
-                for p, col in new.items():
-                    if p not in out:  # undefined for the elements before
-                        out[p] = [(r if j == 0 else level, d, None) for j in range(done)]
-                    out[p] += col
-                for p, col in out.items():
-                    if p not in new:
-                        col.append((start, d, None))
-                done += 1
-            return out
-        if node is None or isinstance(node, (dict, list)):
-            return {path: [(r, d, None)]}
-        value = node if isinstance(node, str) else ("true" if node is True else "false" if node is False else str(node))
-        return {path: [(r, d + 1, value)]}
-
-    columns.update(leaves(record, (), 0, 0, 0))
-    return columns
-
-
-def ordinals(path: Path, column: Column) -> Iterator[tuple[tuple[int, ...], int, str | None]]:
-    """``(ordinals of the repeated ancestors, definition level, value)`` of each
-    entry, from the repetition levels: level k counts up ancestor k and starts
-    those within it anew."""
-    depth = path.count(REPEATED)
-    at = [0] * depth
-    first = True
-    for r, d, v in column:
-        if not first:
-            at[r - 1] += 1
-            at[r:] = [0] * (depth - r)
-        first = False
-        yield tuple(at), d, v
-
-
-def by_ancestor(columns: dict[Path, Column], defined_only: bool = True) -> dict[Path, dict[tuple[int, ...], dict[Path, str]]]:
-    """Tables per repeated ancestor: ancestor path -> ordinals -> the values of
-    the leaves between it and the next repeated step, keyed by relative path."""
-    tables: dict[Path, dict[tuple[int, ...], dict[Path, str]]] = {}
-    for path, col in columns.items():
-        last = max((i for i, s in enumerate(path) if s == REPEATED), default=-1)
-        anc, rest = path[: last + 1], path[last + 1 :]
-        need = len(path)  # every step, the value included, raises the level by one
-        rows = tables.setdefault(anc, {})
-        for at, d, v in ordinals(path, col):
-            # an entry above the ancestor stands for an absent list
-            if v is not None and d == need + 1:
-                rows.setdefault(at, {})[rest] = v
-            elif not defined_only and d >= len(anc):
-                rows.setdefault(at, {})
-    return tables
+            entry = step.below[REPEATED]
+            stack.extend((v, entry, entry.repeats, d + 1) for v in reversed(node[1:]))
+            stack.append((node[0], entry, r, d + 1))
+            gone = [s for s in step.below.values() if s is not entry]
+        else:
+            stack.extend((v, step.below[k], r, d + 1) for k, v in has.items())
+            gone = [s for k, s in step.below.items() if k not in has]
+        if step.leaf:
+            text = node if isinstance(node, str) else "true" if node is True else "false" if node is False else None
+            out[step].append((r, d + 1, str(text)) if text is not None else (r, d, None))
+        undefined = (r, d, None)
+        for s in gone:
+            for c in s.columns():
+                out[c].append(undefined)
+    return out
+
+
+class Instances:
+    """Every instance of a repeated ancestor: its own ancestor's and its ordinal."""
+
+    def __init__(self):
+        self.of: dict[tuple[Step, int, int], int] = {}
+        self.up: list[tuple[int, int]] = []
+
+    def get(self, step: Step, above: int, ordinal: int) -> int:
+        key = (step, above, ordinal)
+        at = self.of.get(key)
+        if at is None:
+            at = self.of[key] = len(self.up)
+            self.up.append((above, ordinal))
+        return at
+
+    def ordinals(self, at: int) -> tuple[int, ...]:
+        out = []
+        while at >= 0:
+            at, ordinal = self.up[at]
+            out.append(ordinal)
+        return tuple(reversed(out))
+
+
+def by_ancestor(columns: dict[Step, Column]) -> tuple[dict[Step | None, dict[int, dict[tuple[str, ...], str]]], Instances]:
+    """Tables per repeated ancestor: ancestor -> instance -> the values of the
+    leaves between it and the next repeated step, by relative path. None and -1
+    stand for the record itself.
+
+    Instances come from the levels alone: repetition level k counts up the k-th
+    ancestor and starts those within it anew; the definition level says how many
+    of them there are.
+    """
+    tables: dict[Step | None, dict[int, dict[tuple[str, ...], str]]] = {}
+    made = Instances()
+    for leaf, column in columns.items():
+        chain: list[Step] = []
+        rest: list[str] = []
+        s = leaf
+        while s.above:
+            if s.name == REPEATED:
+                chain.append(s)
+            elif not chain:
+                rest.append(s.name)
+            s = s.above
+        chain.reverse()
+        relative = tuple(reversed(rest))
+        rows = tables.setdefault(chain[-1] if chain else None, {})
+        count: list[int] = []
+        at: list[int] = []
+        for r, d, v in column:
+            if r:
+                del count[r:], at[r - 1 :]
+                count[r - 1] += 1
+                at.append(made.get(chain[r - 1], at[r - 2] if r > 1 else -1, count[r - 1]))
+            else:
+                count, at = [], []
+            while len(at) < len(chain) and chain[len(at)].depth <= d:
+                at.append(made.get(chain[len(at)], at[-1] if at else -1, 0))
+                count.append(0)
+            if v is not None:
+                rows.setdefault(at[-1] if at else -1, {})[relative] = v
+    return tables, made
 
 
 # -- elements of the feeds -----------------------------------------------------
@@ -128,28 +267,35 @@ def by_ancestor(columns: dict[Path, Column], defined_only: bool = True) -> dict[
 KINDS = ("node", "way", "relation")
 
 
-def _objects_as_lists(node: object, key: str = "") -> object:
-    """One shape for the feeds' variants, before shredding.
+def _listed(v: object) -> list:
+    return v if isinstance(v, list) else [v]
+
+
+def _as_lists(element: dict) -> dict:
+    """One shape for the feeds' variants, before shredding, of an element and of
+    the members that are elements again.
 
     Single objects and scalars where a list belongs become lists of one; tags
-    become lists of ``{k, v}``; node entries become ``{ref}``; containers named
-    after a kind give their elements that type.
+    become lists of ``{k, v}``; node entries become ``{ref}``.
     """
-    if isinstance(node, list):
-        return [_objects_as_lists(x) for x in node]
-    if not isinstance(node, dict):
-        return node
-    out: dict[str, object] = {}
-    for k, v in node.items():
-        if k == "tags":
-            out[k] = _tag_list(v)
-        elif k == "nodes" and v is not None:
-            out[k] = [x if isinstance(x, dict) else {"ref": x} for x in (v if isinstance(v, list) else [v])]
-        elif k == "members" and v is not None:
-            out[k] = [_objects_as_lists(x) for x in (v if isinstance(v, list) else [v])]
-        else:
-            out[k] = v
-    return out
+    top: list = [element]
+    stack: list[tuple[list, int]] = [(top, 0)]
+    while stack:
+        home, i = stack.pop()
+        node = home[i]
+        if isinstance(node, list):
+            home[i] = list(node)
+            stack.extend((home[i], k) for k in range(len(node)))
+        elif isinstance(node, dict):
+            out = home[i] = dict(node)
+            if "tags" in out:
+                out["tags"] = _tag_list(out["tags"])
+            if out.get("nodes") is not None:
+                out["nodes"] = [x if isinstance(x, dict) else {"ref": x} for x in _listed(out["nodes"])]
+            if out.get("members") is not None:
+                out["members"] = list(_listed(out["members"]))
+                stack.extend((out["members"], k) for k in range(len(out["members"])))
+    return top[0]
 
 
 def _tag_list(v: object) -> object:
@@ -160,54 +306,55 @@ def _tag_list(v: object) -> object:
     return v
 
 
-def _elements(record: object) -> list[object]:
-    """The top elements of a record, wherever its wrappers hold them."""
-    out: list[object] = []
-    if isinstance(record, list):
-        for x in record:
-            out += _elements(x)
-    elif isinstance(record, dict):
-        if str(record.get("type")) in KINDS and ("id" in record or "ref" in record):
-            return [_objects_as_lists(record)]
-        for k, v in record.items():
-            if k in KINDS:
-                for x in v if isinstance(v, list) else [v]:
-                    if isinstance(x, dict):
-                        out.append(_objects_as_lists({"type": k, **x}))
-            elif isinstance(v, (dict, list)):
-                out += _elements(v)
+def _elements(record: object) -> list[dict]:
+    """The top elements of a record, wherever its wrappers hold them; containers
+    named after a kind give their elements that type."""
+    out: list[dict] = []
+    stack: list[tuple[object, str | None]] = [(record, None)]
+    while stack:
+        node, kind = stack.pop()
+        if kind is not None:
+            if isinstance(node, dict):
+                out.append(_as_lists({"type": kind, **node}))
+        elif isinstance(node, list):
+            stack.extend((x, None) for x in reversed(node))
+        elif isinstance(node, dict):
+            if str(node.get("type")) in KINDS and ("id" in node or "ref" in node):
+                out.append(_as_lists(node))
+            else:
+                parts = [(x, k) for k, v in node.items() for x in (_listed(v) if k in KINDS else [v])]
+                stack.extend((x, k if k in KINDS else None) for x, k in reversed(parts))
     return out
 
 
 def element_children(payload: str | None) -> list[tuple]:
     """``(parent_type, parent_id, kind, pos, name, item)`` of each tag, node and
-    member of each element of a payload, at any depth, distinct, in order."""
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * DEEPEST))
+    member of each element of a payload, at any depth, distinct, in order.
+    Children of a parent whose id is no whole number of 64 bits are left out."""
     record = read_json(payload)
     if record is None:
         return []
-    try:
-        columns = shred(_elements(record))
-    except RecursionError:
-        return []
-    tables = by_ancestor(columns)
+    tables, made = by_ancestor(shred(_elements(record)))
     rows: dict[tuple, None] = {}
 
-    def parent(anc: Path, at: tuple[int, ...]) -> tuple[str, int] | None:
-        own = tables.get(anc, {}).get(at, {})
+    def parent(element: Step | None, at: int) -> tuple[str, int] | None:
+        own = tables.get(element, {}).get(at, {})
         kind = own.get(("type",))
         ref = own.get(("id",)) if own.get(("id",)) is not None else own.get(("ref",))
         try:
-            return (kind, int(str(ref).removesuffix(".0"))) if kind is not None and ref is not None else None
+            number = int(str(ref).removesuffix(".0"))
         except ValueError:
             return None
+        return (kind, number) if kind is not None and -_LARGEST - 1 <= number <= _LARGEST else None
 
-    for anc, entries in tables.items():
-        if len(anc) < 3 or anc[-1] != REPEATED or anc[-2] not in ("tags", "nodes", "members"):
+    for step, entries in tables.items():
+        what = step.above.name if step and step.above else None
+        element = step.above.above if what in ("tags", "nodes", "members") else None
+        if element is None or element.name != REPEATED:
             continue
-        what, above = anc[-2], anc[:-2]
         for at, leaf in entries.items():
-            p = parent(above, at[:-1])
+            above, pos = made.up[at]
+            p = parent(element, above)
             if p is None:
                 continue
             if what == "tags":
@@ -216,11 +363,11 @@ def element_children(payload: str | None) -> list[tuple]:
             elif what == "nodes":
                 item = leaf.get(("ref",), leaf.get(("id",)))
                 if item is not None:
-                    rows[(*p, "node", at[-1], "", item)] = None
+                    rows[(*p, "node", pos, "", item)] = None
             elif ("type",) in leaf:
                 ref = leaf.get(("ref",), leaf.get(("id",)))
                 if ref is not None:
-                    rows[(*p, "member", at[-1], leaf.get(("role",), ""), f"{leaf[('type',)]}/{ref}")] = None
+                    rows[(*p, "member", pos, leaf.get(("role",), ""), f"{leaf[('type',)]}/{ref}")] = None
     return list(rows)
 
 

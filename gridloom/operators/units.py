@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import let
-from ..runtime import few, literal_table
+from ..runtime import literal_table, small_side
 
 # Conversions (from, to, a, b). Those between non-target units
 # close cycles and so are checked against the others.
@@ -213,40 +213,32 @@ def common_units(df: DataFrame, notes: DataFrame, id_col: str = "rec_id", conver
     quantity, rounded to a whole number. A unit in the cell goes before the note
     of the row's ``source``; a figure alone of a source without a note, words
     without a number, zero, negative numbers and fillers (all nines) have none.
-    Notes and conversions are tables of constants, checked to be small.
+    A width becomes lanes by the lane width in the note: it is converted to the
+    note's unit and divided by it. Conversions are constants; the notes, one per
+    source and field, are broadcast only if they are counted to be few.
     """
-    if not few(notes, 10_000):
-        raise ValueError("more than 10,000 notes; they are meant to be one per source and field")
-    told = read_notes(notes).collect()
     steps = list(CONVERSIONS if conversions is None else conversions)
-    plain, scoped = [], []
-    for r in told:
-        plain.append((r.source, r.field, r.plain_unit))
-        if r.field == "lanes" and r.lane_width and r.width_unit:
-            # a width is turned into lanes as this source's note says
-            steps.append((f"{r.width_unit} @ {r.source}", "lane", 1 / r.lane_width, 0.0))
-            other = "m" if r.width_unit == "ft" else "ft"
-            f = 1 / 0.3048 if other == "m" else 0.3048
-            steps.append((f"{other} @ {r.source}", f"{r.width_unit} @ {r.source}", f, 0.0))
-            scoped.append(r.source)
-    spark = df.sparkSession
-    table = literal_table(spark, UnitGraph(steps).rows(list(TARGETS.values())), "unit string, target string, a double, b double")
-    plain_units = literal_table(spark, plain, "n_source string, n_field string, plain_unit string")
+    widths = [u for u in ("ft", "m") if any(u in s[:2] for s in steps)]
+    table = literal_table(df.sparkSession, UnitGraph(steps).rows([*TARGETS.values(), *widths]), "unit string, target string, a double, b double")
+    told = small_side(read_notes(notes).withColumnsRenamed({"source": "n_source", "field": "n_field"}))
 
     cell = lambda field, parse: let(
         _tidy(F.col(field).cast("string")),
-        lambda t: F.struct(F.lit(field).alias("field"), F.lit(TARGETS[field]).alias("target"), parse(t).alias("said")),
+        lambda t: F.struct(F.lit(field).alias("field"), F.lit(TARGETS[field]).alias("goal"), parse(t).alias("said")),
     )
     cells = df.select(
         F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.inline(F.array(cell("maxspeed", _speed), cell("lanes", _lane_count)))
     ).where(F.col("said.value") > 0)
-    cells = cells.join(
-        F.broadcast(plain_units), (F.col("_source") == F.col("n_source")) & (F.col("field") == F.col("n_field")), "left"
-    ).select("_id", "field", "target", F.col("said.value").alias("x"), F.coalesce("said.unit", "plain_unit").alias("u"), "_source")
-    unit = F.when(F.col("u").isin("ft", "m"), F.concat_ws(" @ ", "u", "_source")).otherwise(F.col("u"))
+    cells = cells.join(told, (F.col("_source") == F.col("n_source")) & (F.col("field") == F.col("n_field")), "left")
+    unit = F.coalesce("said.unit", "plain_unit")
+    wide = (F.col("field") == "lanes") & unit.isin("ft", "m")
+    per_lane = F.when(~wide, 1.0).when(F.col("lane_width") > 0, F.col("lane_width"))
     return (
-        cells.select("_id", "field", "target", "x", unit.alias("unit"))
-        .join(F.broadcast(table), ["unit", "target"])
-        .select(F.col("_id").alias(id_col), "field", F.round(F.col("a") * F.col("x") + F.col("b")).try_cast("bigint").alias("quantity"))
+        cells.select(
+            "_id", "field", F.col("said.value").alias("x"), unit.alias("unit"), per_lane.alias("per_lane"),
+            F.when(wide, F.col("width_unit")).otherwise(F.col("goal")).alias("target"),
+        )
+        .join(F.broadcast(table), ["unit", "target"])  # constants
+        .select(F.col("_id").alias(id_col), "field", F.round((F.col("a") * F.col("x") + F.col("b")) / F.col("per_lane")).try_cast("bigint").alias("quantity"))
         .where("quantity > 0")
     )

@@ -42,10 +42,12 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_current(spark: SparkSession, d: str) -> DataFrame:
     """Keys that are referred to and do not exist now."""
-    refs, states, ways = _references(spark, d)
+    _, _, ways = _references(spark, d)
     given = ways.select("type", "id", F.lit(0).cast("bigint").alias("refs"), F.lit(1).cast("bigint").alias("existence"))
-    counts = references.add_deltas(references.reference_deltas(refs), references.existence_deltas(states), given)
-    return references.orphans(counts)
+    elements = references.latest_records(table(spark, d, "osm_elements"))
+    changes = references.change_deltas(references.newer_records(elements, spark.createDataFrame([], references.LATEST)))
+    links = references.reference_deltas(references.network_references(table(spark, d, "network")))
+    return references.orphans(references.add_deltas(changes, links, given))
 
 
 _REFS = """
@@ -55,7 +57,7 @@ refs AS (
   UNION ALL
   SELECT DISTINCT 'osm_elements.members', rec_id, m.type, m.ref, ts FROM (SELECT rec_id, ts, unnest(members) m FROM el) WHERE m.ref IS NOT NULL
   UNION ALL
-  SELECT 'network.attributeOrigId', rec_id, 'way', CAST(regexp_extract(attributeOrigId, '([0-9]+)', 1) AS BIGINT), loaded_at AS tt
+  SELECT 'network.attributeOrigId', rec_id, 'way', TRY_CAST(regexp_extract(attributeOrigId, '([0-9]+)', 1) AS BIGINT), loaded_at AS tt
   FROM network WHERE regexp_matches(attributeOrigId, '[0-9]')
 ),
 st AS (SELECT type ty, id, ts AS tt, arg_max(CASE WHEN coalesce(visible, true) THEN 1 ELSE 0 END, coalesce(version, -1) * 1e12 + rec_id) AS state FROM el GROUP BY ALL),
@@ -116,8 +118,11 @@ SQL = {
     "p6_report": f"""WITH {_REFS}, found AS ({_FOUND})
 SELECT src, period, status, count(*) AS n_references, count(DISTINCT (ref_type, ref)) AS n_keys FROM found GROUP BY ALL""",
     "p6_current": f"""WITH {_REFS},
-n AS (SELECT ty, id, count(*) refs FROM refs GROUP BY ALL),
-e AS (SELECT ty, id, arg_max(state, tt) AS ex FROM st GROUP BY ALL)
+lat AS (SELECT * FROM el QUALIFY row_number() OVER (PARTITION BY type, id ORDER BY ts DESC, coalesce(version, -1) DESC, rec_id DESC) = 1),
+now AS (SELECT rec_id, 'node' ty, unnest(nodes) id FROM lat UNION SELECT rec_id, m.type, m.ref FROM (SELECT rec_id, unnest(members) m FROM lat)
+ UNION ALL SELECT rec_id, ty, id FROM refs WHERE src = 'network.attributeOrigId'),
+n AS (SELECT ty, id, count(*) refs FROM now WHERE id IS NOT NULL GROUP BY ALL),
+e AS (SELECT type AS ty, id, CASE WHEN coalesce(visible, true) THEN 1 ELSE 0 END AS ex FROM lat)
 SELECT n.ty AS type, n.id, n.refs FROM n LEFT JOIN e USING (ty, id)
 WHERE coalesce(ex, 0) = 0 AND NOT (n.ty = 'way' AND n.id IN (SELECT osm_id FROM backbone_ways))""",
 }

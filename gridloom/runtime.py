@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,7 @@ def session(name: str = "gridloom", cpus: int | str = "*", **conf: str) -> Spark
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "6g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
@@ -39,34 +42,85 @@ def session(name: str = "gridloom", cpus: int | str = "*", **conf: str) -> Spark
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, a laptop) a folder of
-    this machine is made and set, since there the driver is the only executor.
+    Only where ``spark.checkpoint.dir`` is unset and the master is local (tests, a
+    laptop) a folder of this machine is made and set, since there the driver is
+    the only executor; a cluster without one is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     sc = spark.sparkContext
     if not named:
         held = sc._jsc.sc().getCheckpointDir()
-        named = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="gridloom-")
+        if held.isDefined():
+            named = held.get()
+        elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+            named = tempfile.mkdtemp(prefix="gridloom-")
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(named)
+        files(spark, sc._jsc.sc().getCheckpointDir().get()).at_end()
     return named
 
 
+class files:  # noqa: N801
+    """A path of whatever file system Spark reads it from."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+        self.path = self._hadoop.Path(path)
+        self.fs = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def names(self) -> list[str]:
+        return [s.getPath().getName() for s in self.fs.listStatus(self.path)] if self.fs.exists(self.path) else []
+
+    def has(self, name: str) -> bool:
+        return self.fs.exists(self._hadoop.Path(self.path, name))
+
+    def delete(self) -> None:
+        self.fs.delete(self.path, True)
+
+    def at_end(self) -> None:
+        """Deletes the path when the application ends."""
+        self.fs.deleteOnExit(self.path)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint (survives lost executors)."""
+    """Cut the lineage with a reliable checkpoint (survives lost executors). Those
+    of an application go with it."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+_scopes: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Used where a result is read several times: columns stay prunable, the data
-    is compressed, and no lineage or executor memory is kept.
+    is compressed, and no lineage or executor memory is kept. The table is
+    deleted at the end of the scope it is written in, or of the application.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/gridloom/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    own = f"{shared_dir(spark).rstrip('/')}/gridloom-{spark.sparkContext.applicationId}"
+    path = f"{own}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    files(spark, own).at_end()
+    if _scopes:
+        _scopes[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables stored within are deleted at its end; results that read them must
+    have been written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            files(spark, path).delete()
 
 
 def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:

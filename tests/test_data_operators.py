@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gridloom.functions.planar import BoxTree, boxes_of, polygon_area, signed_area, triangulate
+from gridloom.functions.planar import BoxTree, boxes_of, points_in_triangles, polygon_area, signed_area, triangulate
 from gridloom.functions.wkb import dumps, from_line, from_rings
 from gridloom.operators import near_regions, nested, packed, references, units
 
@@ -100,6 +100,14 @@ def test_lanes(spark):
     assert quantities(spark, list(rows), "lanes") == list(rows.values())
 
 
+def test_units_with_more_notes_than_are_broadcast(spark, monkeypatch):
+    n = spark.createDataFrame(NOTES, "source string, field string, note string")
+    df = spark.createDataFrame([(i, s, "50", c) for i, (s, c) in enumerate([("a", "2"), ("c", "24"), ("c", "7.3 m"), ("b", "2.0"), ("z", "24 ft"), (None, "2")])], "rec_id bigint, source string, maxspeed string, lanes string")
+    want = sorted(map(tuple, units.common_units(df, n).collect()))
+    monkeypatch.setattr(units, "small_side", lambda x: x)
+    assert want and sorted(map(tuple, units.common_units(df, n).collect())) == want
+
+
 def test_unit_graph_checks_cycles():
     g = units.UnitGraph([("c", "k", 1.0, 273.15), ("f", "c", 5 / 9, -160 / 9), ("f", "k", 5 / 9, 273.15 - 160 / 9)])
     f = g.to("k")["f"]
@@ -121,12 +129,17 @@ def test_units_repeats_and_empty(spark):
 # -- nested -------------------------------------------------------------------
 
 
+def by_path(cols):
+    tables, made = nested.by_ancestor(cols)
+    return {s.path if s else (): {made.ordinals(i): leaves for i, leaves in rows.items()} for s, rows in tables.items()}
+
+
 def test_levels_and_reconstruction():
     record = [{"id": "1", "tags": [{"k": "a"}, {"k": "b"}]}, {"id": "2"}, {"id": "3", "tags": [{"k": "c"}]}]
     cols = nested.shred(record)
     path = ("[]", "tags", "[]", "k")
-    assert [(r, v) for r, _, v in cols[path]] == [(0, "a"), (2, "b"), (1, None), (1, "c")]
-    tables = nested.by_ancestor(cols)
+    assert [(r, v) for r, _, v in {s.path: c for s, c in cols.items()}[path]] == [(0, "a"), (2, "b"), (1, None), (1, "c")]
+    tables = by_path(cols)
     assert tables[("[]",)] == {(0,): {("id",): "1"}, (1,): {("id",): "2"}, (2,): {("id",): "3"}}
     assert tables[("[]", "tags", "[]")] == {(0, 0): {("k",): "a"}, (0, 1): {("k",): "b"}, (2, 0): {("k",): "c"}}
 
@@ -155,7 +168,7 @@ def test_every_leaf_keeps_its_place(tree):
 
     walk(tree, (), ())
     got = {}
-    for anc, rows in nested.by_ancestor(nested.shred(tree)).items():
+    for anc, rows in by_path(nested.shred(tree)).items():
         for at, leaves in rows.items():
             for rest, v in leaves.items():
                 got[((*anc, *rest), at)] = v
@@ -185,6 +198,38 @@ def test_payload_shapes(spark):
     assert nested.flat_children(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("depth", [3, 520, 2000])
+def test_members_of_any_depth(depth):
+    inner = '{"type":"node","id":0}'
+    for i in range(1, depth):
+        inner = f'{{"type":"relation","id":{i},"tags":{{"n":"{i}"}},"members":[{{"type":"node","ref":7}},{inner}]}}'
+    rows = set(nested.element_children(f"[{inner}]"))
+    want = {("relation", i, "tag", 0, "n", str(i)) for i in range(1, depth)} | {("relation", i, "member", 0, "", "node/7") for i in range(1, depth)}
+    want |= {("relation", i, "member", 1, "", f"{'relation' if i > 1 else 'node'}/{i - 1}") for i in range(1, depth)}
+    assert rows == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(TREE | st.dictionaries(st.text(max_size=3), st.integers() | st.floats(allow_nan=False) | st.booleans() | TREE, max_size=3))
+def test_deep_reader_reads_as_the_library_does(tree):
+    text = json.dumps(tree, indent=1)
+    assert nested._read_deep(text) == nested.read_json(text)
+    for broken in (text[:-1], text + "]", text.replace(":", "", 1), "[1,]", "{a:1}", "[01]", ""):
+        try:
+            want = json.loads(broken, parse_int=nested._Text, parse_float=nested._Text)
+        except ValueError:
+            with pytest.raises((ValueError, LookupError)):
+                nested._read_deep(broken)
+        else:
+            assert nested._read_deep(broken) == want
+
+
+def test_ids_beyond_64_bits_lose_only_their_own_rows(spark):
+    p = json.dumps([{"type": "way", "id": 10**30, "nodes": [1]}, {"type": "way", "id": 4, "nodes": [10**30]}])
+    df = spark.createDataFrame([(1, p), (2, '[{"type":"way","id":5,"nodes":[1]}]')], "rec_id bigint, payload string")
+    assert {(r.rec_id, r.parent_id, r["item"]) for r in nested.flat_children(df).collect()} == {(1, 4, str(10**30)), (2, 5, "1")}
+
+
 # -- references ---------------------------------------------------------------
 
 
@@ -252,6 +297,25 @@ def test_reference_texts_and_always(spark):
     assert [tuple(r) for r in rep] == [("network.attributeOrigId", "2031-05", "missing", 5, 1)]
 
 
+def test_batches_of_changes_equal_one(spark):
+    """Create, update and delete one by one leave no existence, in any order."""
+    import datetime as dt
+    import itertools
+
+    day = lambda n: dt.datetime(2031, 1, n)
+    rows = [(1, "way", 1, 1, day(1), None, [4], None), (2, "way", 1, 2, day(2), True, [4, 5], None), (3, "way", 1, 3, day(3), False, None, None), (4, "relation", 2, 1, day(1), None, None, [("way", 1, "")])]
+    none = spark.createDataFrame([], references.LATEST)
+    for order in itertools.permutations(range(4), 4):
+        known, counts = none, spark.createDataFrame([], references.COUNTS)
+        for k in order[:3]:
+            newer = references.newer_records(references.latest_records(_elements(spark, [rows[k]])), known)
+            counts, known = references.add_deltas(counts, references.change_deltas(newer)), references.latest_of(newer, known)
+        rest = references.change_deltas(references.newer_records(references.latest_records(_elements(spark, [rows[order[3]]])), known))
+        assert {tuple(r) for r in references.add_deltas(counts, rest).collect()} == {("way", 1, 1, 0), ("relation", 2, 0, 1)}
+        if order[0] == 1:
+            break
+
+
 def test_counts_add_up(spark):
     c = lambda rows: spark.createDataFrame(rows, "type string, id bigint, refs bigint, existence bigint")
     old = c([("way", 1, 2, 1), ("way", 2, 1, 0), ("node", 3, 0, 1)])
@@ -295,6 +359,44 @@ def test_triangulate_odd_rings():
     assert sum(signed_area(x) for x in triangulate(two)) == pytest.approx(100 - 0.5 - 1)
 
 
+def test_holes_that_touch():
+    """Areas of valid polygons whose holes touch the shell or each other."""
+    sq = lambda x, y, s: np.array([[x, y], [x + s, y], [x + s, y + s], [x, y + s], [x, y]], "f8")
+    side = np.array([[0, 5], [4, 3], [4, 7], [0, 5]], "f8")
+    corner = np.array([[0, 0], [3, 1], [1, 3], [0, 0]], "f8")
+    pair = [np.array([[2, 2], [5, 5], [5, 3], [2, 2]], "f8"), np.array([[5, 5], [8, 8], [8, 6], [5, 5]], "f8")]
+    chain = [np.array([[x, 5], [x + 1, 4], [x + 2, 5], [x + 1, 6], [x, 5]], "f8") for x in (0, 2, 4, 6, 8)]  # parts the square
+    for holes in ([side], [corner], pair, [corner, *pair], chain, [sq(0, 2, 2)], [sq(2, 2, 2), sq(4, 2, 2)]):
+        for flip in (False, True):
+            rings = [sq(0, 0, 10), *(h[::-1] if flip else h for h in holes)]
+            t = triangulate(rings)
+            assert sum(signed_area(x) for x in t) == pytest.approx(polygon_area(rings)), holes
+            middle = np.array([h[:-1].mean(axis=0) for h in holes])
+            assert all(points_in_triangles(np.repeat(p[None], len(t), 0), t).max() < 2 for p in middle)
+
+
+def test_long_rings_take_little_time():
+    import time
+
+    rnd, n = np.random.default_rng(4), 20_000
+    r = 100 + np.cumsum(rnd.normal(0, 0.02, n))
+    r += (r[0] - r[-1]) * np.linspace(0, 1, n)
+    a = np.linspace(0, 2 * np.pi, n, endpoint=False)
+    ring = np.stack([r * np.cos(a), r * np.sin(a)], axis=1)
+    began = time.time()
+    t = triangulate([ring])
+    assert sum(signed_area(x) for x in t) == pytest.approx(abs(signed_area(ring))) and time.time() - began < 10
+
+
+def test_planes_part_crowded_places():
+    rnd = np.random.default_rng(2)
+    crowd = np.concatenate([rnd.normal(0, 0.001, (5000, 2)), rnd.uniform(-1e6, 1e6, (500, 2)), np.zeros((300, 2))])
+    p = near_regions.Planes(crowd, 40)
+    size = np.bincount(p.leaf_of(crowd), minlength=p.leaves)
+    assert 35 <= p.leaves == len(size) <= 40 and 300 <= size.max() < 450 and size.min() > 0  # the 300 are one place
+    assert near_regions.Planes(np.zeros((9, 2)), 5).leaves == 1 and near_regions.Planes(np.empty((0, 2)), 1).leaf_of(crowd).max() == 0
+
+
 def test_tree_finds_what_meets():
     rnd = np.random.default_rng(1)
     for n in (0, 1, 7, 8, 9, 100, 1000):

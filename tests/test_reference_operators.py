@@ -277,21 +277,32 @@ def test_joins_and_reports(spark):
 
 
 def test_streamed_counts(spark, tmp_path):
+    """A stream of element records keeps the counts that all of them in one give."""
+    import datetime as dt
+
     from gridloom.streaming import maintain
 
     src = tmp_path / "in"
-    rows = [("way", 1, 1, 0), ("way", 1, 0, 1), ("way", 2, 1, 0)]
-    kind = "type string, id bigint, refs bigint, existence bigint"
-    spark.createDataFrame(rows, kind).coalesce(1).write.parquet(str(src))
-    run = lambda: maintain.maintain_references(spark.readStream.schema(kind).parquet(str(src)), str(tmp_path / "c"), str(tmp_path / "p")).awaitTermination(60)
-    run()
+    kind = "rec_id bigint, type string, id bigint, version int, ts timestamp, visible boolean, nodes array<bigint>, members array<struct<type:string,ref:bigint,role:string>>"
+    day = lambda n: dt.datetime(2031, 1, n)
+    batches = [
+        [(1, "way", 1, 1, day(1), None, [5, 6], None), (2, "node", 5, 1, day(1), True, None, None)],
+        [(3, "way", 1, 2, day(3), None, [5, 7, 7], None), (4, "node", 5, 2, day(3), False, None, None), (5, "relation", 9, 1, day(2), None, None, [("way", 1, None), (None, 1, None)])],
+        [(6, "way", 1, 3, day(4), False, None, None), (7, "node", 7, 1, day(1), None, None, None), (8, "way", 1, 1, day(1), None, [5, 6], None)],
+    ]
     counts = maintain.Counts(spark, str(tmp_path / "c"))
-    assert [tuple(r) for r in counts.orphans().collect()] == [("way", 2, 1)]
-    spark.createDataFrame([("way", 2, 0, 1), ("way", 1, 0, -1)], kind).coalesce(1).write.mode("append").parquet(str(src))
-    run()
-    assert [tuple(r) for r in counts.orphans().collect()] == [("way", 1, 1)]
-    counts.add(spark.createDataFrame([("way", 1, 5, 0)], kind), 0)  # an old batch again
-    assert [tuple(r) for r in counts.orphans().collect()] == [("way", 1, 1)]
+    want = [{("node", 6, 1)}, {("node", 5, 1), }, {("way", 1, 1)}]
+    for rows, orphans in zip(batches, want):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(src))
+        maintain.maintain_references(spark.readStream.schema(kind).parquet(str(src)), str(tmp_path / "c"), str(tmp_path / "p")).awaitTermination(60)
+        assert {tuple(r) for r in counts.orphans().collect()} == orphans | ({("node", 7, 1)} if rows is batches[1] else set())
+    every = spark.createDataFrame([r for rows in batches for r in rows], kind)
+    once = maintain.Counts(spark, str(tmp_path / "once"))
+    once.add(every, 0)
+    assert sorted(map(tuple, once.read().collect())) == sorted(map(tuple, counts.read().collect()))
+    counts.add(spark.createDataFrame([(99, "node", 1, 1, day(9), None, None, None)], kind), 0)  # an old batch again
+    assert sorted(map(tuple, once.read().collect())) == sorted(map(tuple, counts.read().collect()))
+    assert counts.versions() == [1, 2]  # the newest two
 
 
 def test_command_line_parses():
