@@ -71,12 +71,13 @@ def merge_edges(edges: DataFrame, by: str, seq: str = "seq") -> DataFrame:
     """Edges of one chain as one: lengths add up, flags and tags combine. Columns
     that are missing are left out."""
     s = F.col(seq)
+    # Which columns are merged by which rule.
     rules = {
         "length": F.sum, "travel_time": F.sum, "speed_kph": F.avg, "maxspeed": mean_maxspeed,
         "hgv": bool_all, "mdv": bool_all, "reversed": bool_all, "protected_backbone": bool_any,
         **{c: yes_no_all for c in ("oneway", "access", "foot", "bicycle", "motor_vehicle")},
         **{c: (lambda v: min_number_or_text(v, s)) for c in ("maxweight", "maxheight", "maxwidth")},
-        **{c: (lambda v: first_valid(v, s)) for c in ("bridge", "tunnel", "sidewalk", "cycleway", "source_layer", "layer_role")},
+        **{c: (lambda v: first_valid(v, s)) for c in ("bridge", "tunnel", "sidewalk", "cycleway", "source_layer", "layer_role", "highway", "name")},
     }
     aggs = [f(F.col(c)).alias(c) for c, f in rules.items() if c in edges.columns]
     out = edges.groupBy(by).agg(F.count(F.lit(1)).alias("n_edges"), *aggs)

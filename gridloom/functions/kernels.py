@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-from .planar import _turn, open_ring, polygon_area, signed_area, triangulate
-from .wkb import EMPTY, Geometry
+from .planar import BoxTree, _turn, open_ring, polygon_area, signed_area, triangulate
+from .wkb import EMPTY, Geometry, dumps, loads
 
 
 def inside_rings(p: np.ndarray, rings: list[np.ndarray]) -> np.ndarray:
@@ -219,60 +219,314 @@ def buffer_convex(ring: np.ndarray, by: float, steps: int = 16) -> np.ndarray:
     return hull((ring[:, None] + circle).reshape(-1, 2))
 
 
+def boundary(g: Geometry) -> Geometry:
+    """The rings of polygons as lines, the ends of open lines as points."""
+    if g[0] == "polygon":
+        return ("line", [r for p in g[1] for r in p])
+    if g[0] == "line":
+        ends = [p[[k]] for p in g[1] if (p[0] != p[-1]).any() for k in (0, -1)]
+        return ("point", ends) if ends else EMPTY
+    return EMPTY
+
+
+def representative_point(g: Geometry) -> tuple[float, float] | None:
+    """A point that lies in the geometry: of polygons the middle of the widest
+    stretch at half their height, of lines their middle corner."""
+    if g[0] == "mixed":
+        return representative_point(g[1][0])
+    if g[0] == "polygon":
+        part = max(g[1], key=polygon_area)
+        y = np.sort(np.unique(part[0][:, 1]))
+        at = (y[(len(y) - 1) // 2] + y[len(y) // 2]) / 2 if len(y) % 2 == 0 else (y[len(y) // 2 - 1] + y[len(y) // 2]) / 2 if len(y) > 1 else y[0]
+        a, b = np.concatenate([r[:-1] for r in part]), np.concatenate([r[1:] for r in part])
+        on = (a[:, 1] > at) != (b[:, 1] > at)
+        x = np.sort(a[on, 0] + (at - a[on, 1]) / (b[on, 1] - a[on, 1]) * (b[on, 0] - a[on, 0]))
+        if len(x) < 2:
+            return float(part[0][0, 0]), float(part[0][0, 1])
+        k = 2 * int(np.argmax(x[1::2] - x[: len(x) // 2 * 2 : 2]))
+        return float((x[k] + x[k + 1]) / 2), float(at)
+    if g[0] in ("line", "point"):
+        p = max(g[1], key=len)
+        return float(p[len(p) // 2][0]), float(p[len(p) // 2][1])
+    return None
+
+
+# -- union --------------------------------------------------------------------------
+
+
+def _elementary(seg: np.ndarray, tol: float) -> np.ndarray:
+    """The different parts of segments (n, 4) between the points where they meet."""
+    boxes = np.concatenate([np.minimum(seg[:, :2], seg[:, 2:]) - tol, np.maximum(seg[:, :2], seg[:, 2:]) + tol], axis=1)
+    i, j = BoxTree(boxes).query(boxes)
+    i, j = i[i < j], j[i < j]
+    p, d = seg[:, :2], seg[:, 2:] - seg[:, :2]
+    size = np.hypot(*d.T)
+    who, at = [np.arange(len(seg)), np.arange(len(seg))], [np.zeros(len(seg)), np.ones(len(seg))]
+    det = d[i, 0] * d[j, 1] - d[i, 1] * d[j, 0]
+    w = p[j] - p[i]
+    across = np.abs(det) > 1e-12 * size[i] * size[j]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t, s = (w[:, 0] * d[j, 1] - w[:, 1] * d[j, 0]) / det, (w[:, 0] * d[i, 1] - w[:, 1] * d[i, 0]) / det
+    ok = across & (t > -tol / size[i]) & (t < 1 + tol / size[i]) & (s > -tol / size[j]) & (s < 1 + tol / size[j])
+    who += [i[ok], j[ok]]
+    at += [t[ok], s[ok]]
+    for a, b in ((i, j), (j, i)):  # ends of one on the other
+        for end in (seg[b, :2], seg[b, 2:]):
+            v = end - p[a]
+            along = (v * d[a]).sum(axis=1) / size[a] ** 2
+            off = np.abs(v[:, 0] * d[a, 1] - v[:, 1] * d[a, 0]) / size[a]
+            on = (off <= tol) & (along > 0) & (along < 1)
+            who.append(a[on])
+            at.append(along[on])
+    who, at = np.concatenate(who), np.clip(np.concatenate(at), 0.0, 1.0)
+    order = np.lexsort((at, who))
+    who, at = who[order], at[order]
+    pts = np.round((p[who] + at[:, None] * d[who]) / tol) * tol
+    one = (who[1:] == who[:-1]) & (pts[1:] != pts[:-1]).any(axis=1)
+    a, b = pts[:-1][one], pts[1:][one]
+    back = (a[:, 0] > b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1]))
+    return np.unique(np.concatenate([np.where(back[:, None], b, a), np.where(back[:, None], a, b)], axis=1), axis=0)
+
+
+def union(polygons: list[Geometry]) -> Geometry:
+    """The union of polygons, without overlaps and inner borders.
+
+    All sides are cut where they meet; those with the union on one side only are
+    its border and are chained into rings with the union on their left. Points
+    closer than a thousand millionth of the extent are one.
+    """
+    parts = [[r for r in (open_ring(np.asarray(r, "f8")) for r in part) if len(r)] for g in polygons if g and g[0] == "polygon" for part in g[1]]
+    parts = [p for p in parts if p]
+    if not parts:
+        return EMPTY
+    points = np.concatenate([r for part in parts for r in part])
+    extent = float(max(np.ptp(points, axis=0).max(), np.abs(points).max() * 1e-3, 1e-12))
+    tol = 2.0 ** np.ceil(np.log2(extent * 1e-9))
+    closed = [[np.vstack([r, r[:1]]) for r in part] for part in parts]
+    e = _elementary(np.concatenate([np.concatenate([r[:-1], r[1:]], axis=1) for part in closed for r in part]), tol)
+    a, b = e[:, :2], e[:, 2:]
+    d = b - a
+    side = 8 * tol * np.stack([-d[:, 1], d[:, 0]], axis=1) / np.hypot(*d.T)[:, None]
+    middle = (a + b) / 2
+    covered = np.zeros((2, len(e)), bool)
+    for part in closed:
+        lo, hi = part[0].min(axis=0) - 16 * tol, part[0].max(axis=0) + 16 * tol
+        near = np.flatnonzero(((middle >= lo) & (middle <= hi)).all(axis=1) & ~covered.all(axis=0))
+        for k, sign in enumerate((1, -1)):
+            for c in range(0, len(near), 2000):
+                m = near[c : c + 2000]
+                covered[k, m] |= inside_rings(middle[m] + sign * side[m], part)
+    border = covered[0] != covered[1]
+    flip = covered[1][border]
+    a, b = np.where(flip[:, None], b[border], a[border]), np.where(flip[:, None], a[border], b[border])
+    return _chained(a, b)
+
+
+def _chained(a: np.ndarray, b: np.ndarray) -> Geometry:
+    """Polygons of directed sides with the inside on their left. Where several
+    leave a point, the first one clockwise of the way back is taken, so rings that
+    touch in a point stay apart."""
+    out: dict[tuple, list[int]] = {}
+    for k, q in enumerate(a.tolist()):
+        out.setdefault(tuple(q), []).append(k)
+    angle = np.arctan2(b[:, 1] - a[:, 1], b[:, 0] - a[:, 0])
+    left, rings = set(range(len(a))), []
+    ends = [tuple(q) for q in b.tolist()]
+    while left:
+        k = first = min(left)
+        ring = []
+        while True:
+            left.discard(k)
+            ring.append(k)
+            onward = [m for m in out.get(ends[k], ()) if m in left or m == first]
+            if not onward:
+                break
+            back = angle[k] + np.pi
+            k = min(onward, key=lambda m: (back - angle[m]) % (2 * np.pi) or 2 * np.pi)
+            if k == first:
+                break
+        p = a[ring]
+        keep = np.abs(_turn(np.roll(p, 1, axis=0), p, np.roll(p, -1, axis=0))) > 1e-12 * np.abs(np.ptp(p, axis=0)).max() ** 2
+        p = p[keep]
+        if len(p) > 2:
+            rings.append(p)
+    shells = [r for r in rings if signed_area(r) > 0]
+    out_parts = [[np.vstack([r, r[:1]])] for r in shells]
+    for h in (r for r in rings if signed_area(r) < 0):
+        inside = [i for i, s in enumerate(out_parts) if (s[0].min(axis=0) <= h.min(axis=0)).all() and (s[0].max(axis=0) >= h.max(axis=0)).all() and inside_rings((h + np.roll(h, -1, axis=0)) / 2, s[:1]).mean() > 0.5]
+        if inside:
+            out_parts[min(inside, key=lambda i: signed_area(shells[i]))].append(np.vstack([h, h[:1]]))
+    return ("polygon", out_parts) if out_parts else EMPTY
+
+
+def buffer(g: Geometry, by: float, steps: int = 16) -> Geometry:
+    """A polygon or line widened by ``by``, with round corners: the union of the
+    polygon and of its widened sides."""
+    if g[0] == "empty" or by <= 0:
+        return g
+    if g[0] == "mixed":
+        return union([buffer(x, by, steps) for x in g[1]])
+    if g[0] == "polygon" and len(g[1]) == 1 and len(g[1][0]) == 1 and is_convex(g[1][0][0]):
+        r = buffer_convex(open_ring(g[1][0][0]), by, steps)
+        return ("polygon", [[np.vstack([r, r[:1]])]])
+    sides = _segments(g) if g[0] != "point" else np.concatenate([np.concatenate(g[1]), np.concatenate(g[1])], axis=1)
+    wide = [buffer_convex(s.reshape(2, 2), by, steps) for s in sides]
+    return union([("polygon", [[np.vstack([r, r[:1]])] for r in wide]), *([g] if g[0] == "polygon" else [])])
+
+
 # -- whole batches ---------------------------------------------------------------
 
+_LINE = b"\x01\x02\x00\x00\x00"
+_POLYGON = b"\x01\x03\x00\x00\x00\x01\x00\x00\x00"
+
 
 def _simple_line(w: bytes) -> np.ndarray | None:
     """Points of a little-endian two-dimensional line, the common case."""
-    if w and w[:5] == b"\x01\x02\x00\x00\x00" and len(w) > 9:
+    if w and w[:5] == _LINE and len(w) > 9:
         return np.frombuffer(w, "<f8", offset=9).reshape(-1, 2)
     return None
 
 
-def lines_in_polygons(lines: list[bytes | None], polygons: list[bytes | None]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-    """For pairs of WKB: which have a piece, the pieces, the lengths of the lines
-    and of the pieces. Lines that meet one convex polygon are clipped together;
-    only other polygons and multi-lines go one by one."""
-    from .wkb import dumps, loads
+def bounds(g: Geometry | None) -> tuple[float, float, float, float] | None:
+    if g is None or g[0] == "empty":
+        return None
+    if g[0] == "mixed":
+        b = np.array([bounds(x) for x in g[1]])
+        return (*b[:, :2].min(axis=0), *b[:, 2:].max(axis=0))
+    p = np.concatenate([r for x in g[1] for r in (x if g[0] == "polygon" else [x])])
+    return (*p.min(axis=0), *p.max(axis=0))
+
+
+def wkb_boxes(wkb: list[bytes | None]) -> np.ndarray:
+    """Boxes (n, 4) of geometries, NaN for those without a point. Plain lines and
+    polygons of one ring are measured together."""
+    out = np.full((len(wkb), 4), np.nan)
+    at, size, flat, rest = [], [], [], []
+    for i, w in enumerate(wkb):
+        if w:
+            if w[:5] == _LINE and len(w) > 9:
+                at.append(i), size.append((len(w) - 9) // 16), flat.append(w[9:])
+            elif w[:9] == _POLYGON and len(w) > 13 and len(w) == 13 + 16 * int.from_bytes(w[9:13], "little"):
+                at.append(i), size.append((len(w) - 13) // 16), flat.append(w[13:])
+            else:
+                rest.append(i)
+    if at:
+        p = np.frombuffer(b"".join(flat), "<f8").reshape(-1, 2)
+        cut = np.cumsum(size) - size
+        box = np.concatenate([np.minimum.reduceat(p, cut), np.maximum.reduceat(p, cut)], axis=1)
+        box[~np.isfinite(box).all(axis=1)] = np.nan
+        out[at] = box
+    for i in rest:
+        got = bounds(loads(wkb[i]))
+        if got is not None:
+            out[i] = got
+    return out
+
+
+class Area:
+    """A polygon made ready for many others: its convex ring if it is one, and a
+    tree over its border."""
+
+    def __init__(self, wkb: bytes):
+        self.geometry = loads(wkb)
+        self.ok = self.geometry is not None and self.geometry[0] == "polygon"
+        only = self.geometry[1][0][0] if self.ok and len(self.geometry[1]) == 1 and len(self.geometry[1][0]) == 1 else None
+        self.ring = open_ring(only) if only is not None and is_convex(only) else None
+        self._border: BoxTree | None = None
+
+    def crossed(self, boxes: np.ndarray) -> np.ndarray:
+        """Which boxes meet the box of a side; others lie whole inside or outside."""
+        if self._border is None:
+            s = _segments(self.geometry)
+            self._border = BoxTree(np.concatenate([np.minimum(s[:, :2], s[:, 2:]), np.maximum(s[:, :2], s[:, 2:])], axis=1))
+        out = np.zeros(len(boxes), bool)
+        for k in range(0, len(boxes), 1000):
+            out[k + np.unique(self._border.query(boxes[k : k + 1000])[0])] = True
+        return out
+
+    def holds(self, points: np.ndarray) -> np.ndarray:
+        odd = np.zeros(len(points), bool)
+        for rings in self.geometry[1]:
+            odd |= inside_rings(points, rings)
+        return odd
+
+
+class Areas:
+    """Polygons by number; each is read when it is first met."""
+
+    def __init__(self, wkb: list[bytes | None]):
+        self.wkb = wkb
+        self._read: dict[int, Area] = {}
+        self.box, self.upright = _rectangles(wkb)
+
+    def __getitem__(self, k: int) -> Area:
+        return self._read.get(k) or self._read.setdefault(k, Area(self.wkb[k]))
 
+    @classmethod
+    def of(cls, wkb: list[bytes | None]) -> tuple[Areas, np.ndarray]:
+        """The different ones, and the number of each."""
+        seen: dict[bytes | None, int] = {}
+        which = np.array([seen.setdefault(w, len(seen)) for w in wkb], np.int64)
+        return cls(list(seen)), which
+
+
+def _by_area(which: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    order = np.argsort(which, kind="stable")
+    at = np.flatnonzero(np.diff(which[order])) + 1
+    return [(int(which[m[0]]), m) for m in np.split(order, at)] if len(order) else []
+
+
+Pieces = tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]
+
+
+def lines_in_areas(lines: list[bytes | None], areas: Areas, which: np.ndarray) -> Pieces:
+    """For pairs of a line and the number of an area: which have a piece, the
+    pieces, the lengths of the lines and of the pieces. Lines that meet one convex
+    polygon are clipped together; of other polygons the lines that come near no
+    side are in or out as their first point is, and only the rest goes one by one.
+    """
     n = len(lines)
     whole, part = np.zeros(n), np.zeros(n)
     piece: list[bytes | None] = [None] * n
-    groups: dict[bytes, list[int]] = {}
-    for i, w in enumerate(polygons):
-        if w and lines[i]:
-            groups.setdefault(w, []).append(i)
-    for w, members in groups.items():
-        poly = loads(w)
-        if poly is None or poly[0] != "polygon":
+    for k, members in _by_area(which):
+        poly = areas[k]
+        if not poly.ok:
             continue
-        convex = len(poly[1]) == 1 and len(poly[1][0]) == 1 and is_convex(poly[1][0][0])
-        slow = members
-        if convex:
-            pts = [_simple_line(lines[i]) for i in members]
-            slow = [i for i, p in zip(members, pts) if p is None or len(p) < 2]
-            fast = [(i, p) for i, p in zip(members, pts) if p is not None and len(p) > 1]
-            if fast:
-                size = np.array([len(p) - 1 for _, p in fast])
-                a = np.concatenate([p[:-1] for _, p in fast])
-                b = np.concatenate([p[1:] for _, p in fast])
-                t0, t1 = _clip_convex_segments(a, b, open_ring(poly[1][0][0]))
-                seg = np.hypot(*(b - a).T)
-                at = np.cumsum(size) - size
-                inner = np.add.reduceat(np.maximum(t1 - t0, 0) * seg, at)
-                total = np.add.reduceat(seg, at)
-                s, e = a + t0[:, None] * (b - a), a + t1[:, None] * (b - a)
-                s[t0 == 0], e[t1 == 1] = a[t0 == 0], b[t1 == 1]
-                for k, (i, _) in enumerate(fast):
-                    whole[i] = total[k]
-                    if inner[k] > 0:
-                        part[i] = inner[k]
-                        lo, hi = at[k], at[k] + size[k]
+        pts = {i: p for i in members.tolist() if (p := _simple_line(lines[i])) is not None and len(p) > 1}
+        if poly.ring is not None and pts:
+            size = np.array([len(p) - 1 for p in pts.values()])
+            a, b = np.concatenate([p[:-1] for p in pts.values()]), np.concatenate([p[1:] for p in pts.values()])
+            t0, t1 = _clip_convex_segments(a, b, poly.ring)
+            seg = np.hypot(*(b - a).T)
+            at = np.cumsum(size) - size
+            inner = np.add.reduceat(np.maximum(t1 - t0, 0) * seg, at)
+            total = np.add.reduceat(seg, at)
+            s, e = a + t0[:, None] * (b - a), a + t1[:, None] * (b - a)
+            s[t0 == 0], e[t1 == 1] = a[t0 == 0], b[t1 == 1]
+            for j, i in enumerate(pts):
+                whole[i] = total[j]
+                if inner[j] > 0:
+                    part[i] = inner[j]
+                    lo, hi = at[j], at[j] + size[j]
+                    if hi - lo == 1:
+                        piece[i] = _TWO + np.array([s[lo], e[lo]]).tobytes()
+                    else:
                         piece[i] = dumps(("line", _joined(s[lo:hi], e[lo:hi], (t1 - t0)[lo:hi] > 0)))
-        for i in slow:
+            members = np.array([i for i in members.tolist() if i not in pts], np.int64)
+        elif poly.ring is None and pts:
+            own = np.array(list(pts))
+            clear = ~poly.crossed(wkb_boxes([lines[i] for i in own])) & np.array([bool(np.isfinite(p).all()) for p in pts.values()])
+            held = np.zeros(len(own), bool)
+            held[clear] = poly.holds(np.array([pts[i][0] for i in own[clear].tolist()]).reshape(-1, 2))
+            for i in own[held].tolist():
+                total = float(np.hypot(*np.diff(pts[i], axis=0).T).sum())
+                if total > 0:
+                    whole[i], part[i], piece[i] = total, total, bytes(lines[i])
+            members = np.setdiff1d(members, own[clear])
+        for i in members.tolist():
             line = loads(lines[i])
             if line is not None and line[0] == "line":
-                got = line_in_polygon(line, poly)
+                got = line_in_polygon(line, poly.geometry)
                 whole[i] = length(line)
                 if got[0] != "empty":
                     part[i], piece[i] = length(got), dumps(got)
@@ -280,10 +534,13 @@ def lines_in_polygons(lines: list[bytes | None], polygons: list[bytes | None]) -
     return keep, [p for p in piece if p is not None], whole[keep], part[keep]
 
 
+_TWO = _LINE + b"\x02\x00\x00\x00"
+_RECTANGLE = _POLYGON + b"\x05\x00\x00\x00"
+
+
 def _rectangles(wkb: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Boxes of upright rectangles among WKB polygons, and which those are."""
-    head = b"\x01\x03\x00\x00\x00\x01\x00\x00\x00\x05\x00\x00\x00"
-    ok = np.array([w is not None and len(w) == 93 and w[:13] == head for w in wkb], bool)
+    ok = np.array([w is not None and len(w) == 93 and w[:13] == _RECTANGLE for w in wkb], bool)
     box = np.zeros((len(wkb), 4))
     if ok.any():
         ring = np.frombuffer(b"".join(w[13:] for w, o in zip(wkb, ok) if o), "<f8").reshape(-1, 5, 2)
@@ -297,14 +554,13 @@ def _rectangles(wkb: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return box, ok
 
 
-def polygons_in_polygons(left: list[bytes | None], right: list[bytes | None]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-    """As :func:`lines_in_polygons`, by area. Pairs of upright rectangles, as
-    grids are, are cut together; others one by one."""
-    from .wkb import dumps, loads
-
+def polygons_in_areas(left: list[bytes | None], areas: Areas, which: np.ndarray) -> Pieces:
+    """As :func:`lines_in_areas`, by area. Pairs of upright rectangles, as grids
+    are, are cut together; polygons that come near no side of the other are whole
+    inside or outside; only the rest is cut one by one."""
     n = len(left)
     a, oka = _rectangles(left)
-    b, okb = _rectangles(right)
+    b, okb = areas.box[which], areas.upright[which]
     both = oka & okb
     lo, hi = np.maximum(a[:, :2], b[:, :2]), np.minimum(a[:, 2:], b[:, 2:])
     whole = (a[:, 2] - a[:, 0]) * (a[:, 3] - a[:, 1])
@@ -313,53 +569,69 @@ def polygons_in_polygons(left: list[bytes | None], right: list[bytes | None]) ->
     at = np.flatnonzero(part > 0)
     x0, y0, x1, y1 = lo[at, 0], lo[at, 1], hi[at, 0], hi[at, 1]
     rings = np.ascontiguousarray(np.stack([x0, y0, x1, y0, x1, y1, x0, y1, x0, y0], axis=1), "<f8")
-    head = b"\x01\x03\x00\x00\x00\x01\x00\x00\x00\x05\x00\x00\x00"
     for k, i in enumerate(at):
-        piece[i] = head + rings[k].tobytes()
-    read: dict[bytes, Geometry | None] = {}
-    for i in np.flatnonzero(~both):
-        ga = loads(left[i])
-        if right[i] not in read:
-            read[right[i]] = loads(right[i])
-        gb = read[right[i]]
-        got = polygon_overlap(ga, gb) if ga and gb else EMPTY
-        if got[0] != "empty":
-            whole[i], part[i], piece[i] = area(ga), area(got), dumps(got)
+        piece[i] = _RECTANGLE + rings[k].tobytes()
+    slow = np.flatnonzero(~both)
+    for k, m in _by_area(which[slow]):
+        poly, members = areas[k], slow[m]
+        if not poly.ok:
+            continue
+        box = wkb_boxes([left[i] for i in members])
+        clear = ~np.isnan(box[:, 0])
+        clear[clear] = ~poly.crossed(box[clear])
+        for i, free in zip(members.tolist(), clear):
+            ga = loads(left[i])
+            if ga is None or ga[0] != "polygon":
+                continue
+            if free:
+                if poly.holds(ga[1][0][0][:1])[0] and area(ga) > 0:
+                    whole[i] = part[i] = area(ga)
+                    piece[i] = bytes(left[i])
+                continue
+            got = polygon_overlap(ga, poly.geometry)
+            if got[0] != "empty":
+                whole[i], part[i], piece[i] = area(ga), area(got), dumps(got)
     keep = np.array([p is not None for p in piece], bool)
     return keep, [p for p in piece if p is not None], whole[keep], part[keep]
 
 
-def meeting(left: list[bytes | None], right: list[bytes | None]) -> np.ndarray:
-    """Which pairs share a point, borders included. Plain lines against one
-    convex polygon are tested together."""
-    from .wkb import loads
-
+def meeting_areas(left: list[bytes | None], areas: Areas, which: np.ndarray) -> np.ndarray:
+    """Which pairs share a point, borders included. Plain lines against one convex
+    polygon are tested together. The areas may also be lines or points."""
     hit = np.zeros(len(left), bool)
-    groups: dict[bytes, list[int]] = {}
-    for i, w in enumerate(right):
-        if w and left[i]:
-            groups.setdefault(w, []).append(i)
-    for w, members in groups.items():
-        g = loads(w)
-        if g is None:
+    for k, members in _by_area(which):
+        if areas.wkb[k] is None:
             continue
-        convex = g[0] == "polygon" and len(g[1]) == 1 and len(g[1][0]) == 1 and is_convex(g[1][0][0])
-        pts = [_simple_line(left[i]) if convex else None for i in members]
-        fast = [(i, p) for i, p in zip(members, pts) if p is not None and len(p) > 1 and np.isfinite(p).all()]
+        g = areas[k]
+        if g.geometry is None:
+            continue
+        pts = [_simple_line(left[i]) if g.ring is not None else None for i in members]
+        fast = [(i, p) for i, p in zip(members.tolist(), pts) if p is not None and len(p) > 1 and np.isfinite(p).all()]
         if fast:
             size = np.array([len(p) - 1 for _, p in fast])
             a, b = np.concatenate([p[:-1] for _, p in fast]), np.concatenate([p[1:] for _, p in fast])
-            t0, t1 = _range_in_convex(a, b, open_ring(g[1][0][0]))
-            ok = np.logical_or.reduceat(t1 >= t0, np.cumsum(size) - size)
-            hit[[i for i, _ in fast]] = ok
+            t0, t1 = _range_in_convex(a, b, g.ring)
+            hit[[i for i, _ in fast]] = np.logical_or.reduceat(t1 >= t0, np.cumsum(size) - size)
         done = {i for i, _ in fast}
-        for i in members:
-            if i not in done:
+        for i in members.tolist():
+            if i not in done and left[i]:
                 other = loads(left[i])
-                hit[i] = other is not None and intersects(other, g)
+                hit[i] = other is not None and intersects(other, g.geometry)
     return hit
 
 
+def lines_in_polygons(lines: list[bytes | None], polygons: list[bytes | None]) -> Pieces:
+    return lines_in_areas(lines, *Areas.of(polygons))
+
+
+def polygons_in_polygons(left: list[bytes | None], right: list[bytes | None]) -> Pieces:
+    return polygons_in_areas(left, *Areas.of(right))
+
+
+def meeting(left: list[bytes | None], right: list[bytes | None]) -> np.ndarray:
+    return meeting_areas(left, *Areas.of(right))
+
+
 def _clip_convex_segments(p: np.ndarray, q: np.ndarray, ring: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Range of the parameter of each segment within a closed convex ring, empty
     for touches, which have no length."""

@@ -168,6 +168,21 @@ def process_tags(edges: DataFrame, unit: str = "lbs", mdv_max: float = 26000.0,
     return out.withColumn("hgv", F.col("_truck") & F.col("mdv") & ~F.coalesce(F.col("maxweight") <= hdv_max, F.lit(False))).drop("_truck")
 
 
+def speed_kph(maxspeed: Column) -> Column:
+    """Kilometres per hour of a standard speed in miles per hour."""
+    return F.regexp_extract(F.lower(F.trim(maxspeed)), r"^(\d+(?:\.\d+)?)\s*mph$", 1).try_cast("double") * 1.60934
+
+
+def highway_set(highway: Column) -> Column:
+    """The different road classes of an array or of one text, without nulls."""
+    return F.array_distinct(F.filter(highway, lambda h: h.isNotNull()))
+
+
+def first_class(highway: Column) -> Column:
+    """The first road class of an array, ``unknown`` without one."""
+    return F.coalesce(F.trim(F.get(highway, F.lit(0))), F.lit("unknown"))
+
+
 def highway_filter(types: list[str]) -> str:
     """The filter text that asks a map service for these road classes."""
     return f'["highway"~"{"|".join(types)}"]'

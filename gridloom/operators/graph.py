@@ -6,10 +6,14 @@ Closures iterate over DataFrames; each round is cut with a reliable checkpoint.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import merge_edges
+from ..functions.tags import MAJOR_ROADS, first_class, protected_edge, truthy
+from ..functions.wkb import dumps, line_parts
 from ..runtime import cut, stored
 
 
@@ -38,7 +42,9 @@ def used_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def unique_edge_ids(edges: DataFrame, order: list[str], column: str = "edge_id") -> DataFrame:
     """Repeated ids get ``_1``, ``_2``, ... in the given order; the first keeps its
     name, null ids stay null."""
-    n = F.row_number().over(Window.partitionBy(column).orderBy(*order)) - 1
+    # null ids need no number, so they are spread over as many groups as there are rows
+    own = F.when(F.col(column).isNull(), F.xxhash64(*order))
+    n = F.row_number().over(Window.partitionBy(column, own).orderBy(*order)) - 1
     name = F.col(column).cast("string")
     return edges.withColumn("_n", n).withColumn(column, F.when(F.col("_n") > 0, F.concat_ws("_", name, "_n")).otherwise(name)).drop("_n")
 
@@ -160,6 +166,60 @@ def fragment_report(edges: DataFrame, members: DataFrame, length: str = "length"
     return n.join(e, "component", "left").fillna(0, ["n_edges"])
 
 
+def infrastructure_report(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> DataFrame:
+    """Per component what a fragment is worth: nodes, edges, length, edges per road
+    class, edges of major roads, bridges and tunnels, and its box. Missing columns
+    count nothing; edges without a class are ``unknown``."""
+    has = set(edges.columns)
+    col = lambda c, kind: F.col(c).cast(kind) if c in has else F.lit(None).cast(kind)
+    classes = F.col("highway") if "highway" in has and edges.schema["highway"].dataType.typeName() == "array" else F.array(col("highway", "string"))
+    at = edges.join(members.withColumnRenamed("node_id", "u"), "u").select(
+        "component", first_class(classes).alias("class"), col("length", "double").alias("length"), (truthy(col("bridge", "string")) | truthy(col("tunnel", "string"))).alias("marked")
+    )
+    per = at.groupBy("component", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("length"), F.count_if("marked").alias("marked"))
+    e = per.groupBy("component").agg(
+        F.sum("n").alias("n_edges"), F.coalesce(F.sum("length"), F.lit(0.0)).alias("length"), F.sum("marked").alias("bridge_tunnel"),
+        F.coalesce(F.sum(F.when(F.col("class").isin(*MAJOR_ROADS), F.col("n"))), F.lit(0)).alias("major"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("class", "n")))).alias("classes"),  # one entry per road class
+    )
+    n = nodes.join(members, "node_id").groupBy("component").agg(
+        F.count(F.lit(1)).alias("n_nodes"), F.min("x").alias("west"), F.min("y").alias("south"), F.max("x").alias("east"), F.max("y").alias("north")
+    )
+    return n.join(e, "component", "left").fillna(0, ["n_edges", "length", "bridge_tunnel", "major"])
+
+
+def lost_infrastructure(report: DataFrame) -> DataFrame:
+    """Fragments besides the largest component that hold major roads, bridges or
+    tunnels, the largest first."""
+    best = report.agg(F.max_by("component", F.struct("n_nodes", -F.col("component"))).alias("_kept"))
+    return report.join(F.broadcast(best)).where((F.col("component") != F.col("_kept")) & ((F.col("major") > 0) | (F.col("bridge_tunnel") > 0))).drop("_kept").orderBy(F.desc("n_nodes"), "component")
+
+
+def bridge_tunnel_counts(edges: DataFrame) -> DataFrame:
+    """One row: edges marked as bridge and as tunnel."""
+    mark = lambda c: F.count_if(truthy(F.col(c))) if c in edges.columns else F.count_if(F.lit(False))
+    return edges.agg(mark("bridge").alias("bridges"), mark("tunnel").alias("tunnels"))
+
+
+def protected(edges: DataFrame) -> Column:
+    """Whether cleaning must keep an edge, by the columns there are."""
+    col = lambda c, kind="string": F.col(c).cast(kind) if c in edges.columns else F.lit(None).cast(kind)
+    classes = F.col("highway") if "highway" in edges.columns and edges.schema["highway"].dataType.typeName() == "array" else F.array(col("highway"))
+    return protected_edge(classes, col("layer_role"), col("protected_backbone", "boolean"), col("bridge"), col("tunnel"))
+
+
+def clean_topology(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Loops that are not protected and then nodes without an edge go; repeated
+    edge ids get suffixes. A network of which nothing is left is an error."""
+    kept = without_self_loops(edges, protected(edges))
+    used = used_nodes(nodes, kept)
+    if used.isEmpty():
+        raise ValueError("the network is empty once loops and lone nodes are removed")
+    if "edge_id" in kept.columns:
+        kept = unique_edge_ids(kept, [c for c in ("u", "v", "key") if c in kept.columns])
+    return used, kept
+
+
 # -- nodes by place -----------------------------------------------------------------
 
 
@@ -255,7 +315,42 @@ def simplify(edges: DataFrame, same: list[str] | None = None) -> DataFrame:
     stop = member.join(passed.withColumnRenamed("node_id", "v"), "v", "left_anti").select("chain", "v")
     ring = member.groupBy("chain").agg(F.min("u").alias("r"))
     merged = merge_edges(member.drop("u", "v"), "chain").join(start, "chain", "left").join(stop, "chain", "left").join(ring, "chain")
-    return merged.withColumns({"u": F.coalesce("u", "r"), "v": F.coalesce("v", "r")}).drop("r")
+    merged = merged.withColumns({"u": F.coalesce("u", "r"), "v": F.coalesce("v", "r")}).drop("r")
+    for c in ("osmid", "geometry"):
+        if c not in e.columns:
+            continue
+        if c == "osmid":
+            ids = member.groupBy("chain").agg(F.array_sort(F.collect_set(F.col("osmid").cast("string"))).alias("osmid"))  # a chain's own
+            merged = merged.join(ids, "chain", "left")
+        else:
+            sides = member.groupBy("chain").agg(F.collect_list(F.struct("u", "v", "geometry")).alias("_sides"))  # a chain's own
+            merged = merged.join(sides, "chain", "left").withColumn("geometry", _chain_line("u", "_sides")).drop("_sides")
+    return merged
+
+
+def _chain_line(start: str, sides: str) -> Column:
+    """The line of a chain from its first node along its edges; null if one of them
+    has none."""
+
+    @F.pandas_udf("binary")
+    def line(at, chains):
+        out = []
+        for u, chain in zip(at, chains):
+            onward = {s["u"]: s for s in chain}
+            points = []
+            for _ in range(len(chain)):
+                s = onward.get(u)
+                parts = line_parts(s["geometry"]) if s is not None else []
+                if not parts:
+                    points = None
+                    break
+                for p in parts:
+                    points += p.tolist()[1 if points and points[-1] == p[0].tolist() else 0 :]
+                u = s["v"]
+            out.append(dumps(("line", [np.array(points)])) if points else None)
+        return pd.Series(out)
+
+    return line(F.col(start), F.col(sides))
 
 
 def consolidate(nodes: DataFrame, edges: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame]:
@@ -273,31 +368,44 @@ def consolidate(nodes: DataFrame, edges: DataFrame, tolerance: float) -> tuple[D
     return merged, led
 
 
-def validate(nodes: DataFrame, edges: DataFrame, within: float = 0.5) -> DataFrame:
-    """One row of counts by which a built network is judged."""
-    from .diagnose import edge_quality
+def validate(nodes: DataFrame, edges: DataFrame, within: float = 0.5, extract: DataFrame | None = None) -> DataFrame:
+    """One row of counts by which a built network is judged; with the elements of
+    its ``extract`` also its repeated places and dangling references."""
+    from .diagnose import dangling_way_nodes, edge_quality
 
     n = nodes.agg(F.count(F.lit(1)).alias("nodes"))
-    loops = self_loops(edges).agg(F.count(F.lit(1)).alias("self_loops"))
+    loop, kept = F.coalesce(F.col("u") == F.col("v"), F.lit(False)), protected(edges)
+    loops = edges.agg(
+        F.count(F.lit(1)).alias("edges"), F.count_if(loop).alias("self_loops"), F.count_if(loop & kept).alias("protected_self_loops"), F.count_if(loop & ~kept).alias("unprotected_self_loops")
+    )
     alone = isolates(nodes, edges).agg(F.count(F.lit(1)).alias("isolates"))
     twins = duplicate_coordinates(nodes).agg(F.count(F.lit(1)).alias("duplicate_coordinates"))
     near = close_nodes(nodes, within).agg(F.count(F.lit(1)).alias("close_pairs"))
     parts = components(edges, nodes).agg(F.count_distinct("component").alias("components"))
     out = edge_quality(edges)
-    for one in (n, loops, alone, twins, near, parts):
+    more = [n, loops, alone, twins, near, parts]
+    if extract is not None:
+        at = extract.where("type = 'node'")
+        more.append(at.agg((F.count(F.lit(1)) - F.count_distinct("lat", "lon")).alias("xml_duplicate_coordinates")))
+        more.append(dangling_way_nodes(extract).agg(F.count(F.lit(1)).alias("xml_dangling_refs")))
+    for one in more:
         out = out.join(F.broadcast(one))  # one row each
     return out
 
 
+#: Counts that must be zero in a valid network.
+FAULTS = (
+    "unprotected_self_loops", "isolates", "duplicate_coordinates", "close_pairs", "missing_edge_id", "missing_length", "nonpositive_length",
+    "missing_speed_kph", "invalid_oneway_values", "missing_geometry", "xml_duplicate_coordinates", "xml_dangling_refs",
+)
+
+
 def assert_valid(summary: DataFrame) -> None:
     """Raises one error that names every count that must be zero and is not, and
-    a network in several parts."""
+    a network that is not one part."""
     row = summary.first().asDict()
-    must = ("missing_edge_id", "missing_length", "nonpositive_length", "missing_geometry", "invalid_oneway_values", "self_loops", "isolates", "duplicate_coordinates", "close_pairs")
-    wrong = [f"{k} = {row[k]}" for k in must if row.get(k)]
-    if row.get("components", 1) != 1:
-        wrong.append(f"components = {row['components']}")
-    if not row.get("nodes"):
-        wrong.append("no nodes")
+    wrong = [f"{k} = {row[k]}" for k in FAULTS if row.get(k)]
+    if row.get("components") != 1:
+        wrong.append(f"components = {row.get('components')}")
     if wrong:
         raise RuntimeError("the network is not valid: " + ", ".join(wrong))

@@ -80,6 +80,7 @@ def zone_name(column: str, taken: set[str], prefix: str | None = None) -> str:
     return name
 
 
+# Columns that hold lengths, and endings of those of earlier overlays.
 LENGTH_COLUMNS = ("edge_link_length_m", "edge_length_m", "edge_length", "length")
 PIECE_SUFFIXES = ("_zone_piece_length_m", "_piece_link_length_m", "_zone_link_length_m", "_edge_link_length_m")
 

@@ -57,45 +57,85 @@ def convex_hull(layer: Layer) -> np.ndarray:
     return kernels.hull(np.array([(r.x, r.y) for r in rows]).reshape(-1, 2))
 
 
+#: Geometries that are put together at once.
+FOLD = 256
+
+
+def _united(rows: Iterator[tuple[tuple, bytes | None]]) -> dict[tuple, list]:
+    """The geometries of each key, folded to one whenever there are FOLD of them."""
+    held: dict[tuple, list] = {}
+    for key, w in rows:
+        g = loads(w)
+        if g is not None and g[0] != "empty":
+            own = held.setdefault(key, [])
+            own.append(g)
+            if len(own) >= FOLD:
+                held[key] = [kernels.union(own)]
+    return {k: [kernels.union(v)] for k, v in held.items()}
+
+
+def dissolve(layer: Layer, by: list[str] | None = None) -> Layer:
+    """The union of the polygons of each value of ``by``, of all without it, in one
+    row ``(by, geometry)``. Null, empty and unreadable geometries, lines and points
+    add nothing; a group without a polygon has no row.
+
+    Each partition puts its own polygons together first, so what meets in one task
+    is one outline of a group per partition.
+    """
+    by = by or []
+    rows = layer.df.select(*(F.col(f"`{c}`") for c in by), "geometry")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple[tuple, bytes | None]]:
+            for b in batches:
+                keys = zip(*(c.to_pylist() for c in b.columns[:-1])) if by else iter(lambda: (), None)
+                yield from zip(keys, b.column(len(by)).to_pylist())
+
+        got = [(k, g[0]) for k, g in _united(each()).items() if g[0][0] != "empty"]
+        cols = [pa.array([k[i] for k, _ in got], rows_schema[i]) for i in range(len(by))]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array([dumps(g) for _, g in got], pa.binary())], names=[*by, "geometry"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    rows_schema = [to_arrow_type(f.dataType) for f in rows.schema.fields]
+    part = rows.mapInArrow(run, rows.schema)
+    whole = part.repartition(*(F.col(f"`{c}`") for c in by)) if by else part.repartition(1)
+    return Layer(whole.mapInArrow(run, rows.schema), layer.epsg)
+
+
+def widened(layer: Layer, by: float) -> Layer:
+    """Each geometry widened by so many units of the layer's plane system."""
+    if layer.geographic:
+        raise ValueError("a buffer in metres needs a projected system")
+    at = layer.df.columns.index("geometry")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            wide = [dumps(kernels.buffer(g, by)) if (g := loads(w)) is not None else None for w in b.column(at).to_pylist()]
+            yield b.set_column(at, b.schema.field(at).name, pa.array(wide, pa.binary()))
+
+    return Layer(layer.df.mapInArrow(run, layer.df.schema), layer.epsg)
+
+
 def area_mask(layer: Layer, include_water: bool = False, buffer_m: float = 0.0, name: str = "study_area", utm: int | None = None, output_epsg: int | None = None) -> Layer:
     """One row ``mask_name, include_water, buffer_m, geometry``. With water the
-    hull of all areas, which fills bays, else the areas themselves; widened by
-    ``buffer_m`` metres. A buffer in degrees is refused: give a ``utm`` system."""
+    hull of all areas, which fills bays, else their union; widened by ``buffer_m``
+    metres. A buffer in degrees is refused: give a ``utm`` system."""
     if buffer_m < 0:
         raise ValueError("the buffer must not be negative")
     if buffer_m and layer.geographic and utm is None:
         raise ValueError("a buffer in metres needs a projected system; pass utm")
     work = reproject(layer, utm) if utm and layer.geographic else layer
-    spark = layer.df.sparkSession
-    if include_water or buffer_m:
-        if not include_water:
-            # widened areas are covered by the widened hulls of their convex parts
-            parts = [kernels.buffer_convex(r, buffer_m) for r in _convex_rings(work)]
-        else:
-            ring = convex_hull(work)
-            parts = [kernels.buffer_convex(ring, buffer_m) if buffer_m else ring] if len(ring) > 2 else []
+    if include_water:
+        ring = convex_hull(work)
+        ring = kernels.buffer_convex(ring, buffer_m) if buffer_m and len(ring) > 2 else ring
+        geom = ("polygon", [[np.vstack([ring, ring[:1]])]]) if len(ring) > 2 else ("empty", [])
     else:
-        parts = _convex_rings(work, whole=True)
-    geom = ("polygon", [p if isinstance(p, list) else [np.vstack([p, p[:1]])] for p in parts]) if parts else ("empty", [])
+        one = dissolve(widened(work, buffer_m) if buffer_m else work).df.first()
+        geom = loads(one.geometry) if one else ("empty", [])
     out = crs.transform_geometry(geom, work.epsg, output_epsg or layer.epsg)
     row = [(name, include_water, float(buffer_m), bytearray(dumps(out)))]
-    return Layer(spark.createDataFrame(row, "mask_name string, include_water boolean, buffer_m double, geometry binary"), output_epsg or layer.epsg)
-
-
-#: A mask is one value, so the areas it is made of must fit the driver.
-MASK_AREAS = 20_000
-
-
-def _convex_rings(layer: Layer, whole: bool = False) -> list:
-    rows = layer.df.select("geometry").where("geometry IS NOT NULL").distinct().limit(MASK_AREAS + 1).collect()
-    if len(rows) > MASK_AREAS:
-        raise ValueError(f"a mask of more than {MASK_AREAS} areas; use include_water or dissolve them first")
-    out = []
-    for r in rows:
-        g = loads(r.geometry)
-        for part in g[1] if g and g[0] == "polygon" else []:
-            out += [part] if whole else kernels._convex_parts(part)
-    return out
+    return Layer(layer.df.sparkSession.createDataFrame(row, "mask_name string, include_water boolean, buffer_m double, geometry binary"), output_epsg or layer.epsg)
 
 
 def hull_in_metres(layer: Layer, utm: int, metres: float) -> np.ndarray:

@@ -1,12 +1,15 @@
 """Overlays of lines and polygons with zones, with proportional measures.
 
-Candidate pairs come from the grid join; attributes travel with the pairs so no
-second join is needed; the exact pieces are computed in Arrow batches. Names of
-both sides are made unique before the join, so equal names never collide.
+Zones that are counted to be few are held by every worker in a tree of boxes:
+the other side is then read once and never moved. Beyond that slim rows of ids and
+boxes meet by the grid join, geometries are joined to the pairs for the exact
+test, and attributes to what is left of them. Pieces are computed in Arrow
+batches. Names of both sides are made unique first, so equal names never collide.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions import crs, kernels
 from ..functions.core import half_even
+from ..functions.planar import BoxTree
 from ..functions.wkb import EMPTY_WKB, dumps, loads
 from ..runtime import stored
 from .layer import Layer, edge_name, label_prefix, length_column, metric_names, need_projected, zone_name
@@ -37,10 +41,6 @@ def _own(side: str, column: str) -> str:
     return f"`{side}·{column.replace('.', '·')}`"
 
 
-def _boxed(layer: Layer, p: str) -> DataFrame:
-    return with_box(_prefixed(layer, p), f"{p}geometry", p)
-
-
 def prefilter_to_bounds(zones: Layer, network: Layer) -> Layer:
     """Zones that meet the box of the whole network, exactly; none if either is
     empty. The box is one row, so it is a literal in the plan."""
@@ -59,22 +59,99 @@ def prefilter_to_bounds(zones: Layer, network: Layer) -> Layer:
     return Layer(near.mapInArrow(run, near.schema).select(zones.df.columns), zones.epsg)
 
 
-def _pieces(pairs: DataFrame, kernel: Callable, a: str, b: str) -> DataFrame:
-    """Adds ``_geometry, _of_a, _of_both`` (piece, measure of a and of the piece);
-    pairs without a piece go."""
-    ia, ib = pairs.columns.index(a), pairs.columns.index(b)
-    extra = [T.StructField("_geometry", T.BinaryType()), T.StructField("_of_a", T.DoubleType()), T.StructField("_of_both", T.DoubleType())]
+#: Zones every worker may hold: how many, and bytes of all their columns.
+HELD_ZONES, HELD_BYTES = 50_000, 64_000_000
+#: Rows looked up in the tree at once.
+ROWS_AT_ONCE = 4_000
+
+_trees: dict[str, tuple[pa.Table, kernels.Areas, BoxTree, np.ndarray]] = {}
+
+_PIECE = [T.StructField("_geometry", T.BinaryType()), T.StructField("_of_a", T.DoubleType()), T.StructField("_of_both", T.DoubleType())]
+
+
+def _held(zones: DataFrame, geometry: str) -> pa.Table | None:
+    """The zones if they are counted to be few and small."""
+    rest = [F.col(f"`{c}`") for c in zones.columns if c != geometry]
+    size = F.coalesce(F.octet_length(f"`{geometry}`"), F.lit(0)) + F.octet_length(F.to_json(F.struct(*rest))) if rest else F.octet_length(f"`{geometry}`")
+    n = zones.select(size.cast("bigint").alias("size")).limit(HELD_ZONES + 1).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).first()
+    return zones.toArrow() if n.n <= HELD_ZONES and (n.size or 0) <= HELD_BYTES else None
+
+
+def _tree_of(mark: str, table: pa.Table, geometry: str) -> tuple[pa.Table, kernels.Areas, BoxTree, np.ndarray]:
+    """What a worker holds of the zones; of a few overlays at a time."""
+    if mark not in _trees:
+        wkb = table.column(geometry).to_pylist()
+        box = kernels.wkb_boxes(wkb)
+        some = np.flatnonzero(~np.isnan(box[:, 0]))
+        while len(_trees) > 3:
+            _trees.pop(next(iter(_trees)))
+        _trees[mark] = table.combine_chunks(), kernels.Areas(wkb), BoxTree(box[some]), some
+    return _trees[mark]
+
+
+def _pairs_in_place(left: DataFrame, a: str, zones: DataFrame, table: pa.Table, b: str, test: Callable, outer: bool, extra: list[T.StructField]) -> DataFrame:
+    """Rows of the left with each zone whose box theirs meets and that passes the
+    test, and what the test measures; with ``outer`` also rows without any."""
+    shared, mark, at = left.sparkSession.sparkContext.broadcast(table), uuid.uuid4().hex, left.columns.index(a)
+    fields = left.schema.fields + zones.schema.fields + extra
+    names = [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, areas, tree, some = _tree_of(mark, shared.value, b)
+        for whole in batches:
+            for k in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(k, ROWS_AT_ONCE)
+                wkb = batch.column(at).to_pylist()
+                box = kernels.wkb_boxes(wkb)
+                known = np.flatnonzero(~np.isnan(box[:, 0]))
+                ask, hit = tree.query(box[known])
+                ask, hit = known[ask], some[hit]
+                keep, *measures = test([wkb[i] for i in ask], areas, hit)
+                ask, zone = ask[keep], hit[keep]
+                if outer:
+                    alone = np.setdiff1d(np.arange(batch.num_rows), ask)
+                    ask, zone = np.concatenate([ask, alone]), np.concatenate([zone, np.full(len(alone), -1)])
+                pick = pa.array(zone, pa.int64(), mask=zone < 0)
+                theirs = [c.combine_chunks().take(pick) if isinstance(c, pa.ChunkedArray) else c.take(pick) for c in held.columns]
+                made = [pa.array(m, pa.binary() if isinstance(m, list) else pa.float64()) for m in measures]
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(ask, pa.int64())).columns, *theirs, *made], names=names)
+
+    return left.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in fields]))
+
+
+def _pairs_by_cells(left: DataFrame, a: str, zones: DataFrame, b: str, test: Callable, outer: bool, extra: list[T.StructField]) -> DataFrame:
+    """The same through the grid join of slim rows."""
+    sides, slim = [], []
+    for df, column, p in ((left, a, "a·"), (zones, b, "b·")):
+        df = stored(with_box(df.withColumn(f"{p}_id", F.monotonically_increasing_id()), column, f"{p}_"), "boxed")  # ids stay, as they are stored
+        sides.append(df.drop(*(f"{p}_{c}" for c in ("xmin", "ymin", "xmax", "ymax"))))
+        slim.append(df.select(f"{p}_id", *(f"{p}_{c}" for c in ("xmin", "ymin", "xmax", "ymax"))))
+    pairs = box_pairs(*slim, "a·_", "b·_").select("a·_id", "b·_id")
+    shapes = pairs.join(sides[0].select("a·_id", F.col(f"`{a}`").alias("_a")), "a·_id").join(sides[1].select("b·_id", F.col(f"`{b}`").alias("_b")), "b·_id")
+    shapes = shapes.select("a·_id", "b·_id", "_a", "_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, geo, whole, part = kernel(batch.column(ia).to_pylist(), batch.column(ib).to_pylist())
+            keep, *measures = test(batch.column(2).to_pylist(), *kernels.Areas.of(batch.column(3).to_pylist()))
             kept = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays(
-                [*kept.columns, pa.array(geo, pa.binary()), pa.array(whole, pa.float64()), pa.array(part, pa.float64())],
-                names=[*kept.schema.names, "_geometry", "_of_a", "_of_both"],
-            )
+            made = [pa.array(m, pa.binary() if isinstance(m, list) else pa.float64()) for m in measures]
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), *made], names=["a·_id", "b·_id", *(f.name for f in extra)])
+
+    ids = [T.StructField(c, T.LongType()) for c in ("a·_id", "b·_id")]
+    met = shapes.mapInArrow(run, T.StructType(ids + extra))
+    out = sides[0].join(met, "a·_id", "left" if outer else "inner").join(sides[1], "b·_id", "left" if outer else "inner")
+    return out.select(*(F.col(f"`{c}`") for c in [*left.columns, *zones.columns, *(f.name for f in extra)]))
 
-    return pairs.mapInArrow(run, T.StructType(pairs.schema.fields + extra))
+
+def _pairs(left: DataFrame, a: str, zones: DataFrame, b: str, test: Callable, outer: bool = False, extra: list[T.StructField] = _PIECE) -> DataFrame:
+    table = _held(zones, b)
+    if table is not None:
+        return _pairs_in_place(left, a, zones, table, b, test, outer, extra)
+    return _pairs_by_cells(left, a, zones, b, test, outer, extra)
+
+
+def _meets(wkb: list, areas: kernels.Areas, which: np.ndarray) -> tuple[np.ndarray]:
+    return (kernels.meeting_areas(wkb, areas, which),)
 
 
 def _ratio(part: Column, whole: Column) -> Column:
@@ -110,11 +187,10 @@ def _overlay(
     zones = reproject(zones, left.epsg)
     if prefilter:
         zones = prefilter_to_bounds(zones, left)
-    b = _boxed(zones, "b·")
+    b = _prefixed(zones, "b·")
     if prefilter:
-        b = b.withColumn("b·_z", F.xxhash64(*[F.col(f"`b·{c}`") for c in zones.df.columns]))
-    pairs = box_pairs(_boxed(left, "a·"), b, "a·", "b·")
-    met = _pieces(pairs, kernel, "a·geometry", "b·geometry")
+        b = b.withColumn("b·_z", F.xxhash64(*[F.col(f"`{c}`") for c in b.columns]))
+    met = _pairs(_prefixed(left, "a·"), "a·geometry", b, "b·geometry", kernel)
     cols, named = outputs()
     if prefilter:
         met = stored(met, "pieces")
@@ -147,7 +223,7 @@ def intersect_lines_with_zones(
         ]
         return cols, named
 
-    return _overlay(network, zones, kernels.lines_in_polygons, prefilter, output_epsg, outputs)
+    return _overlay(network, zones, kernels.lines_in_areas, prefilter, output_epsg, outputs)
 
 
 def intersect_polygons_of_roads_with_zones(
@@ -172,7 +248,7 @@ def intersect_polygons_of_roads_with_zones(
         ]
         return cols, named
 
-    return _overlay(network, zones, kernels.polygons_in_polygons, prefilter, output_epsg, outputs)
+    return _overlay(network, zones, kernels.polygons_in_areas, prefilter, output_epsg, outputs)
 
 
 def cascade_polygons_with_zones(
@@ -197,32 +273,17 @@ def cascade_polygons_with_zones(
         ]
         return cols, named
 
-    return _overlay(polygons, zones, kernels.polygons_in_polygons, prefilter, output_epsg, outputs)
+    return _overlay(polygons, zones, kernels.polygons_in_areas, prefilter, output_epsg, outputs)
 
 
-def spatial_left_join(
-    layer: Layer, zones: Layer, zone_label: str | None = None, output_epsg: int | None = None, key: str | None = None
-) -> Layer:
+def spatial_left_join(layer: Layer, zones: Layer, zone_label: str | None = None, output_epsg: int | None = None) -> Layer:
     """Every row of the layer with the attributes of each zone it meets (borders
-    count), null where it meets none; geometries stay whole. ``key``: a column
-    that is unique; without one the layer is written once with row ids."""
+    count), null where it meets none; geometries stay whole."""
     zones = reproject(zones, layer.epsg)
-    if key:
-        left = layer.df.withColumn("_row", F.col(key))
-    else:
-        left = stored(layer.df.withColumn("_row", F.expr("uuid()")), "left-rows")  # ids stay the same when read again
-    pairs = box_pairs(_boxed(Layer(left.select("_row", "geometry"), layer.epsg), "a·"), _boxed(zones, "b·"), "a·", "b·")
-    ia, ib = pairs.columns.index("a·geometry"), pairs.columns.index("b·geometry")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(kernels.meeting(b.column(ia).to_pylist(), b.column(ib).to_pylist())))
-
-    met = pairs.mapInArrow(run, pairs.schema)
     named = _named_zones(zones.attributes, layer.df.columns, zone_label)
-    right = met.select(F.col("a·_row").alias("_row"), *(F.col(_own("b", c)).alias(n) for c, n in named))
-    out = left.join(right, "_row", "left").drop("_row")
-    return reproject(Layer(out, layer.epsg), output_epsg or layer.epsg)
+    out = _pairs(_prefixed(layer, "a·"), "a·geometry", _prefixed(zones, "b·"), "b·geometry", _meets, outer=True, extra=[])
+    cols = [F.col(_own("a", c)).alias(c) for c in layer.df.columns] + [F.col(_own("b", c)).alias(n) for c, n in named]
+    return reproject(Layer(out.select(cols), layer.epsg), output_epsg or layer.epsg)
 
 
 def intersect_zones_with_zones(a: Layer, b: Layer, output_epsg: int | None = None) -> Layer:
@@ -235,7 +296,7 @@ def intersect_zones_with_zones(a: Layer, b: Layer, output_epsg: int | None = Non
         cols = [F.col(_own("a", c)).alias(f"zone_a_{c}") for c in a.attributes] + [F.col(_own("b", c)).alias(f"zone_b_{c}") for c in b.attributes]
         return [*cols, F.col("_geometry").alias("geometry")], []
 
-    return _overlay(a, b, kernels.polygons_in_polygons, False, epsg, outputs)
+    return _overlay(a, b, kernels.polygons_in_areas, False, epsg, outputs)
 
 
 def crossing_boundaries(layer: Layer, zones: Layer) -> Layer:
@@ -252,14 +313,9 @@ def crossing_boundaries(layer: Layer, zones: Layer) -> Layer:
                 out.append(dumps(("line", [r for p in g[1] for r in p])) if g and g[0] == "polygon" else None)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["geometry"])
 
-    borders = Layer(zones.df.mapInArrow(rings, "geometry binary").where("geometry IS NOT NULL"), zones.epsg)
-    left = stored(layer.df.withColumn("_row", F.expr("uuid()")), "left-rows")
-    pairs = box_pairs(_boxed(Layer(left.select("_row", "geometry"), layer.epsg), "a·"), _boxed(borders, "b·"), "a·", "b·")
-    ia, ib = pairs.columns.index("a·geometry"), pairs.columns.index("b·geometry")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(kernels.meeting(b.column(ia).to_pylist(), b.column(ib).to_pylist())))
-
-    hit = pairs.mapInArrow(run, pairs.schema).select(F.col("a·_row").alias("_row")).distinct()
+    borders = zones.df.mapInArrow(rings, "geometry binary").where("geometry IS NOT NULL").withColumnRenamed("geometry", "b·geometry")
+    left = layer.df.withColumn("_row", F.expr("uuid()"))
+    left = stored(left, "left-rows")  # ids stay the same when read again
+    slim = left.select(F.col("_row").alias("a·_row"), F.col("geometry").alias("a·geometry"))
+    hit = _pairs(slim, "a·geometry", borders, "b·geometry", _meets, extra=[]).select(F.col("a·_row").alias("_row")).distinct()
     return Layer(left.join(hit, "_row", "left_semi").drop("_row"), layer.epsg)

@@ -17,21 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.wkb import Geometry, loads
+from ..functions.kernels import wkb_boxes
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
 
 
-def bounds(g: Geometry | None) -> tuple[float, float, float, float] | None:
-    if g is None or g[0] == "empty":
-        return None
-    if g[0] == "mixed":
-        b = np.array([bounds(x) for x in g[1]])
-        return (*b[:, :2].min(axis=0), *b[:, 2:].max(axis=0))
-    p = np.concatenate([r for x in g[1] for r in (x if g[0] == "polygon" else [x])])
-    return (*p.min(axis=0), *p.max(axis=0))
-
-
 def with_box(df: DataFrame, column: str = "geometry", prefix: str = "") -> DataFrame:
     """Adds ``xmin, ymin, xmax, ymax`` of a WKB column; null if it has no points."""
     names = [prefix + c for c in BOX]
@@ -42,11 +32,7 @@ def with_box(df: DataFrame, column: str = "geometry", prefix: str = "") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            box = np.full((b.num_rows, 4), np.nan)
-            for i, w in enumerate(b.column(at).to_pylist()):
-                got = bounds(loads(w))
-                if got is not None:
-                    box[i] = got
+            box = wkb_boxes(b.column(at).to_pylist())
             cols = [pa.array(box[:, k], mask=np.isnan(box[:, k])) for k in range(4)]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *names])
 
@@ -71,7 +57,9 @@ def _cells(df: DataFrame, prefix: str, levels: list[int]) -> DataFrame:
 
 def box_pairs(left: DataFrame, right: DataFrame, left_prefix: str, right_prefix: str, reach: float = 0.0) -> DataFrame:
     """Inner join of rows whose boxes meet (closed) or lie within ``reach``.
-    Both sides have box columns under their prefix and no other name in common."""
+    Both sides have box columns under their prefix and no other name in common.
+    They are read twice, as the levels in use are looked up first: give stored
+    tables of ids and boxes, to which the rest is joined back afterwards."""
     if reach:
         for m, sign in (("min", -reach), ("max", reach)):
             for axis in "xy":

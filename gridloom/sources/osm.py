@@ -7,7 +7,7 @@ import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -205,8 +205,9 @@ def read_pbf(spark: SparkSession, path: str) -> DataFrame:
 
 
 def road_lines(elements: DataFrame) -> DataFrame:
-    """Tagged ways as lines: ``(osm_id, highway, name, tags, geometry)``, points in
-    way order. Nodes that are missing are left out; ways of one point have none."""
+    """Tagged ways as lines: ``(osm_id, highway, name, tags, other_tags, geometry)``,
+    points in way order; ``other_tags`` is the bag of the tags without a column.
+    Nodes that are missing are left out; ways of one point have none."""
     import pyarrow as pa
 
     from ..functions.wkb import from_line
@@ -226,7 +227,67 @@ def road_lines(elements: DataFrame) -> DataFrame:
             geo = [from_line(list(zip(x, y))) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(geo, pa.binary())], names=["osm_id", "highway", "name", "tags", "geometry"])
 
-    return flat.mapInArrow(run, "osm_id bigint, highway string, name string, tags map<string,string>, geometry binary")
+    lines = flat.mapInArrow(run, "osm_id bigint, highway string, name string, tags map<string,string>, geometry binary")
+    return lines.select("osm_id", "highway", "name", "tags", tag_bag(F.col("tags"), ("highway", "name")).alias("other_tags"), "geometry")
+
+
+def tag_bag(tags: Column, without: tuple[str, ...] = ()) -> Column:
+    """Tags as one text of ``"key"=>"value"`` pairs by key; null without any."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    rest = F.array_sort(F.map_entries(F.map_filter(tags, lambda k, v: ~k.isin(*without) & v.isNotNull())))
+    pairs = F.transform(rest, lambda e: F.concat(quoted(e["key"]), F.lit("=>"), quoted(e["value"])))
+    return F.when(F.size(pairs) > 0, F.array_join(pairs, ","))
+
+
+# Tags of ways that become columns of a road graph.
+GRAPH_TAGS = (
+    "highway", "name", "oneway", "maxspeed", "lanes", "access", "motor_vehicle", "motorcar", "hgv", "maxweight", "maxweight:hgv", "maxlength",
+    "maxheight", "maxwidth", "bridge", "tunnel", "foot", "bicycle", "sidewalk", "cycleway", "junction", "route",
+)
+
+
+def road_graph(elements: DataFrame, tags: tuple[str, ...] = GRAPH_TAGS) -> tuple[DataFrame, DataFrame]:
+    """Nodes ``(node_id, x, y)`` in degrees and directed edges between consecutive
+    nodes of ways with a road class or a route: ``(edge_id, u, v, osmid, key,
+    reversed, tags..., length, geometry)``. Ways that are not one-way are led both
+    ways; edges to nodes that are missing are left out; lengths are on the globe."""
+    import numpy as np
+    import pyarrow as pa
+
+    place = elements.where("type = 'node' AND lat IS NOT NULL AND lon IS NOT NULL").select(F.col("id").alias("node_id"), F.col("lon").alias("x"), F.col("lat").alias("y")).dropDuplicates(["node_id"])
+    ways = elements.where("type = 'way'").where("tags['highway'] IS NOT NULL OR tags['route'] = 'ferry'")
+    steps = F.arrays_zip(F.slice("nodes", F.lit(1), F.greatest(F.size("nodes") - 1, F.lit(0))).alias("u"), F.slice("nodes", F.lit(2), F.greatest(F.size("nodes") - 1, F.lit(0))).alias("v"))
+    cols = [F.try_element_at("tags", F.lit(t)).alias(t) for t in tags]
+    sides = ways.select(F.col("id").alias("osmid"), F.posexplode(steps).alias("seq", "s"), *cols).select("osmid", "seq", F.col("s.u").alias("u"), F.col("s.v").alias("v"), *(F.col(f"`{t}`") for t in tags))
+    from ..functions.tags import standard_oneway
+
+    way = standard_oneway(F.coalesce("oneway", F.when(F.col("junction") == "roundabout", "yes"))) if "oneway" in tags and "junction" in tags else F.lit("no")
+    both = F.when(way == "no", F.array(F.lit(False), F.lit(True))).when(way == "-1", F.array(F.lit(True))).otherwise(F.array(F.lit(False)))
+    led = sides.withColumn("reversed", F.explode(both))
+    led = led.withColumns({"u": F.when(F.col("reversed"), F.col("v")).otherwise(F.col("u")), "v": F.when(F.col("reversed"), F.col("u")).otherwise(F.col("v"))})
+    at = lambda c: place.select(F.col("node_id").alias(c), F.col("x").alias(f"{c}x"), F.col("y").alias(f"{c}y"))
+    led = led.join(at("u"), "u").join(at("v"), "v")
+    rad = lambda c: F.radians(F.col(c))
+    half = F.pow(F.sin((rad("vy") - rad("uy")) / 2), 2) + F.cos(rad("uy")) * F.cos(rad("vy")) * F.pow(F.sin((rad("vx") - rad("ux")) / 2), 2)
+    out = led.select(
+        F.xxhash64("osmid", "seq", "reversed").alias("edge_id"), "u", "v", "osmid", F.lit(0).alias("key"), "reversed", *(F.col(f"`{t}`") for t in tags),
+        (F.lit(2 * 6_371_009.0) * F.asin(F.sqrt(half))).alias("length"), "ux", "uy", "vx", "vy",
+    )
+    names = [c for c in out.columns if c not in ("ux", "uy", "vx", "vy")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = b"\x01\x02\x00\x00\x00\x02\x00\x00\x00"
+        for b in batches:
+            xy = np.stack([b.column(k).to_numpy() for k in range(b.num_columns - 4, b.num_columns)], axis=1).astype("<f8")
+            geo = pa.array([head + r.tobytes() for r in np.ascontiguousarray(xy)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-4], geo], names=[*names, "geometry"])
+
+    from pyspark.sql import types as T
+
+    schema = T.StructType([f for f in out.schema.fields if f.name in names] + [T.StructField("geometry", T.BinaryType())])
+    edges = out.mapInArrow(run, schema)
+    used = sides.select(F.explode(F.array("u", "v")).alias("node_id")).distinct()
+    return place.join(used, "node_id", "left_semi"), edges
 
 
 def sidecars(pbf: str) -> dict[str, str | None]:
@@ -251,3 +312,22 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     nodes = read("node", f"_id bigint, {inner}").select(F.col("_id").alias("node_id"), data.alias("data"))
     edges = read("edge", f"_source bigint, _target bigint, {inner}").select(F.col("_source").alias("u"), F.col("_target").alias("v"), data.alias("data"))
     return nodes, edges
+
+
+# Attributes of graphs that are numbers.
+_GRAPH_NUMBERS = {"x": "double", "y": "double", "length": "double", "speed_kph": "double", "key": "bigint", "n_edges": "bigint"}
+
+
+def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a built network: ``NAME.parquet`` with its nodes beside it
+    in ``NAME.nodes.parquet``, or GraphML, whose attributes become columns."""
+    if path.endswith(".parquet"):
+        return spark.read.parquet(path.removesuffix(".parquet") + ".nodes.parquet"), spark.read.parquet(path)
+    if not path.endswith(".graphml"):
+        raise ValueError(f"a graph is read from .parquet or .graphml, not {path}")
+    out = []
+    for df in read_graphml(spark, path):
+        names = sorted(r.k for r in df.select(F.explode(F.map_keys("data")).alias("k")).distinct().collect())  # one per attribute
+        cols = [F.try_element_at("data", F.lit(n)).try_cast(_GRAPH_NUMBERS.get(n, "string")).alias(n) for n in names]
+        out.append(df.select(*(c for c in df.columns if c != "data"), *cols))
+    return out[0], out[1]

@@ -1,8 +1,9 @@
 """Writers: tables and layers by file ending, map extracts, result caches.
 
-Parquet, CSV and JSON are written by the executors. Formats that are one file by
-definition (GeoPackage, GeoJSON, XML, PBF, GraphML) are streamed through the
-driver row by row, so their size is bounded by the disk only.
+Parquet, CSV and JSON are written by the executors. Of formats that are one file
+by definition, executors make the blocks of GeoJSON, XML and PBF and the driver
+puts them together; GeoPackage and GraphML are streamed through the driver row by
+row. Their size is bounded by the disk only.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import sqlite3
 import struct
 import warnings
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from xml.sax.saxutils import quoteattr
 
@@ -59,13 +60,32 @@ def _geojson(g) -> dict | None:
     return {"type": name, "coordinates": c[0]} if len(c) == 1 else {"type": f"Multi{name}", "coordinates": c}
 
 
+def _lines_of(df: DataFrame, text: Callable[[dict], str]) -> Iterator[str]:
+    """Lines that the executors make of the rows, block by block and in order."""
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = [c.to_pylist(maps_as_pydicts="lossy") for c in b.columns]
+            made = "\n".join(text(dict(zip(names, r))) for r in zip(*cols))
+            yield pa.RecordBatch.from_arrays([pa.array([made] if b.num_rows else [], pa.string())], names=["t"])
+
+    for r in df.mapInArrow(run, "t string").toLocalIterator(prefetchPartitions=True):
+        yield r.t
+
+
+def _feature(r: dict) -> str:
+    geo = _geojson(loads(r.pop("geometry")))
+    return json.dumps({"type": "Feature", "properties": r, "geometry": geo}, default=str)
+
+
 def write_geojson(layer: Layer, path: str) -> None:
+    """One file; features are made by the executors, the driver only puts their
+    blocks together."""
     with open(_made(path), "w", encoding="utf-8") as f:
         f.write('{"type": "FeatureCollection", "features": [')
-        for i, row in enumerate(layer.df.toLocalIterator(prefetchPartitions=True)):
-            r = row.asDict(recursive=True)
-            geo = _geojson(loads(r.pop("geometry")))
-            f.write(("," if i else "") + "\n" + json.dumps({"type": "Feature", "properties": r, "geometry": geo}, default=str))
+        for i, block in enumerate(_lines_of(layer.df, _feature)):
+            f.write(("," if i else "") + "\n" + block.replace("\n", ",\n"))
         f.write("\n]}\n")
 
 
@@ -141,46 +161,95 @@ def oneway_text(v: Column) -> Column:
     return F.when(v.isNull(), "no").when(t == "true", "yes").when(t == "false", "no").otherwise(v.cast("string"))
 
 
-def as_ways(edges: DataFrame, way_tags: list[str], merge_by: str | None = None) -> DataFrame:
+def _largest_part(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The pairs of the connected part with the most nodes, the first of equals."""
+    root: dict[int, int] = {}
+
+    def find(n: int) -> int:
+        while root.setdefault(n, n) != n:
+            root[n] = root[root[n]]
+            n = root[n]
+        return n
+
+    for u, v in pairs:
+        root[find(v)] = find(u)
+    size: dict[int, int] = {}
+    for n in list(root):
+        size[find(n)] = size.get(find(n), 0) + 1
+    best = max(size, key=lambda r: size[r])
+    return [p for p in pairs if find(p[0]) == best]
+
+
+def _in_order(pairs: list[tuple[int, int]]) -> list[int] | None:
+    """The nodes so that every pair goes forward; None if they go in a circle."""
+    onward: dict[int, list[int]] = {}
+    due: dict[int, int] = {}
+    for u, v in pairs:
+        onward.setdefault(u, []).append(v)
+        due.setdefault(u, 0)
+        due[v] = due.get(v, 0) + 1
+    ready, out = [n for n, k in due.items() if not k], []
+    for n in ready:
+        out.append(n)
+        for m in onward.get(n, ()):
+            due[m] -= 1
+            if not due[m]:
+                ready.append(m)
+    return out if len(out) == len(due) else None
+
+
+def way_nodes(pairs: list[tuple[int, int]]) -> list[int]:
+    """Nodes of a way from its edges in their order: all of its largest connected
+    part, so that every edge goes forward. Of a circle the first edge's start comes
+    before the order of the rest; if there is none, only the first edge is left."""
+    if len(pairs) > 1:
+        line = _in_order(_largest_part(pairs))
+        if line is None:
+            rest = _in_order(_largest_part(pairs[1:]))
+            line = None if rest is None else [pairs[0][0], *rest]
+        if line is not None:
+            return line
+    return list(pairs[0])
+
+
+def as_ways(edges: DataFrame, way_tags: list[str], merge_by: str | None = None, aggregates: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """``(id, nodes, tags)`` of edges ``u, v`` to be written as ways. By default
     each edge is its own way; with ``merge_by`` edges of one id become one way,
-    whose first edge gives the tags and whose lengths add up."""
+    whose first edge gives the tags; ``aggregates`` say how others come from all
+    its edges, by default that lengths add up."""
+    aggregates = {"length": F.sum} if aggregates is None else aggregates
     e = edges.withColumn("oneway", oneway_text(F.col("oneway"))) if "oneway" in edges.columns else edges.withColumn("oneway", F.lit("no"))
     number = lambda c: F.regexp_replace(F.regexp_replace(F.format_string("%.6f", c.cast("double")), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    text = lambda c: number(F.col(c)) if c == "length" else F.col(c).cast("string")
+    plain = lambda c, kind: number(c) if isinstance(kind, T.FractionalType) else c.cast("string")
     have = [c for c in way_tags if c in e.columns]
+    kind = {c: e.schema[c].dataType for c in have}
     if merge_by is None:
-        tags = F.map_filter(F.create_map(*(x for c in have for x in (F.lit(c), text(c)))), lambda k, v: v.isNotNull())
+        tags = F.map_filter(F.create_map(*(x for c in have for x in (F.lit(c), plain(F.col(c), kind[c])))), lambda k, v: v.isNotNull())
         return e.select(F.xxhash64("u", "v", *[c for c in ("key", "edge_id") if c in e.columns]).alias("id"), F.array("u", "v").alias("nodes"), tags.alias("tags"))
     seq = F.struct("u", "v")
-    agg = [(number(F.sum("length")) if c == "length" else F.min_by(text(c), seq)).alias(c) for c in have]
-    g = e.groupBy(F.col(merge_by).alias("id")).agg(F.collect_list(F.struct("u", "v")).alias("_e"), *agg)  # edges of one way
-
-    def path(edges_of_way):
-        out = []
-        for way in edges_of_way:
-            nxt = {}
-            for p in way:
-                nxt.setdefault(p["u"], []).append(p["v"])
-            heads = set(nxt) - {v for vs in nxt.values() for v in vs}
-            at = min(heads) if heads else min(nxt)
-            line = [at]
-            while nxt.get(at):
-                at = nxt[at].pop(0)
-                line.append(at)
-            out.append(line)
-        return out
+    agg = [(aggregates[c](F.col(c)) if c in aggregates else F.min_by(F.col(c), seq)).alias(c) for c in have]
+    g = e.groupBy(F.col(merge_by).alias("id")).agg(F.array_sort(F.collect_list(seq)).alias("_e"), *agg)  # a way's own edges
 
     @F.pandas_udf("array<bigint>")
     def ordered(s):
-        import pandas as pd
+        return s.map(lambda way: way_nodes([(p["u"], p["v"]) for p in way]))
 
-        return pd.Series(path(s))
-
-    tags = F.map_filter(F.create_map(*(x for c in have for x in (F.lit(c), F.col(c)))), lambda k, v: v.isNotNull())
+    made = {f.name: f.dataType for f in g.schema.fields}
+    tags = F.map_filter(F.create_map(*(x for c in have for x in (F.lit(c), plain(F.col(c), made[c])))), lambda k, v: v.isNotNull())
     return g.select("id", ordered("_e").alias("nodes"), tags.alias("tags"))
 
 
+def _xml_node(r: dict) -> str:
+    tag = f"<tag k=\"highway\" v={quoteattr(str(r['highway']))}/>" if r.get("highway") is not None else ""
+    return f'<node id="{r["node_id"]}" {_EDIT} lat="{round(r["y"], 7)}" lon="{round(r["x"], 7)}">{tag}</node>'
+
+
+def _xml_way(r: dict) -> str:
+    nds = "".join(f'<nd ref="{n}"/>' for n in r["nodes"])
+    tags = "".join(f"<tag k={quoteattr(t['key'])} v={quoteattr(t['value'])}/>" for t in r["tags"])
+    return f'<way id="{r["id"]}" {_EDIT}>{nds}{tags}</way>'
+
+
 def write_osm_xml(nodes: DataFrame, ways: DataFrame, path: str) -> None:
     """An extract of ``nodes (node_id, x, y[, highway])`` and ``ways``; places are
     rounded to seven decimals, null tags are left out."""
@@ -188,13 +257,10 @@ def write_osm_xml(nodes: DataFrame, ways: DataFrame, path: str) -> None:
         warnings.warn("ways should be made by as_ways", stacklevel=2)
     with open(_made(path), "w", encoding="utf-8") as f:
         f.write('<?xml version="1.0" encoding="UTF-8"?>\n<osm version="0.6" generator="gridloom">\n')
-        for r in nodes.toLocalIterator(prefetchPartitions=True):
-            tag = f"<tag k=\"highway\" v={quoteattr(str(r['highway']))}/>" if "highway" in nodes.columns and r["highway"] is not None else ""
-            f.write(f'<node id="{r["node_id"]}" {_EDIT} lat="{round(r["y"], 7)}" lon="{round(r["x"], 7)}">{tag}</node>\n')
-        for r in ways.toLocalIterator(prefetchPartitions=True):
-            nds = "".join(f'<nd ref="{n}"/>' for n in r["nodes"])
-            tags = "".join(f"<tag k={quoteattr(k)} v={quoteattr(v)}/>" for k, v in sorted(r["tags"].items()))
-            f.write(f'<way id="{r["id"]}" {_EDIT}>{nds}{tags}</way>\n')
+        for block in _lines_of(nodes, _xml_node):
+            f.write(block + "\n")
+        for block in _lines_of(ways.select("id", "nodes", F.array_sort(F.map_entries("tags")).alias("tags")), _xml_way):
+            f.write(block + "\n")
         f.write("</osm>\n")
 
 
@@ -216,7 +282,8 @@ def _f(field: int, v: int | bytes) -> bytes:
 
 
 def write_pbf(elements: DataFrame, path: str, per_block: int = 8000) -> None:
-    """An extract in blocks of at most ``per_block`` elements."""
+    """An extract in blocks of at most ``per_block`` elements, made and compressed
+    by the executors."""
 
     def blob(kind: bytes, data: bytes) -> bytes:
         body = _f(2, len(data)) + _f(3, zlib.compress(data))
@@ -246,16 +313,16 @@ def write_pbf(elements: DataFrame, path: str, per_block: int = 8000) -> None:
         table = b"".join(_f(1, s.encode()) for s in strings)
         return blob(b"OSMData", _f(1, table) + _f(2, group))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, per_block):
+                rows = b.slice(k, per_block).to_pylist(maps_as_pydicts="lossy")
+                yield pa.RecordBatch.from_arrays([pa.array([block(rows)], pa.binary())], names=["b"])
+
     with open(_made(path), "wb") as f:
         f.write(blob(b"OSMHeader", _f(4, b"OsmSchema-V0.6") + _f(16, b"gridloom")))
-        rows: list = []
-        for r in elements.toLocalIterator(prefetchPartitions=True):
-            rows.append(r)
-            if len(rows) == per_block:
-                f.write(block(rows))
-                rows = []
-        if rows:
-            f.write(block(rows))
+        for r in elements.select("type", "id", "tags", "lat", "lon", "nodes", "members").mapInArrow(run, "b binary").toLocalIterator(prefetchPartitions=True):
+            f.write(r.b)
 
 
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
@@ -287,14 +354,18 @@ def least_of_lists(df: DataFrame) -> DataFrame:
 FORMATS = ("parquet", "graphml", "gpkg", "osm", "pbf", "geojson")
 
 
-def export_network(nodes: DataFrame, edges: Layer, folder: str, name: str, tags: list[str], formats: tuple[str, ...] = FORMATS) -> dict[str, str]:
-    """The network in each format; gives format -> path. PBF brings XML along."""
+def export_network(
+    nodes: DataFrame, edges: Layer, folder: str, name: str, tags: list[str], formats: tuple[str, ...] = FORMATS,
+    aggregates: dict[str, Callable[[Column], Column]] | None = None, way: str | None = None,
+) -> dict[str, str]:
+    """The network in each format; gives format -> path. PBF and GeoJSON bring XML
+    along. ``way``: a column whose equal values are one way in XML and PBF."""
     unknown = set(formats) - set(FORMATS)
     if unknown:
         raise ValueError(f"unknown formats: {', '.join(sorted(unknown))}")
     flat = Layer(least_of_lists(edges.df), edges.epsg)
     base, out = f"{folder}/{name}", {}
-    ways = as_ways(flat.df, tags)
+    ways = as_ways(flat.df, tags, way, aggregates)
     if "parquet" in formats:
         nodes.write.mode("overwrite").parquet(f"{base}.nodes.parquet")
         out["parquet"] = save_layer(edges, f"{base}.parquet")
@@ -302,7 +373,7 @@ def export_network(nodes: DataFrame, edges: Layer, folder: str, name: str, tags:
         write_graphml(nodes, flat.df, out.setdefault("graphml", f"{base}.graphml"))
     if "gpkg" in formats:
         write_gpkg(flat, out.setdefault("gpkg", f"{base}.gpkg"), "edges")
-    if {"osm", "pbf"} & set(formats):
+    if {"osm", "pbf", "geojson"} & set(formats):
         write_osm_xml(nodes, ways, out.setdefault("osm", f"{base}.osm"))
     if "pbf" in formats:
         n = nodes.select(F.lit("node").alias("type"), F.col("node_id").alias("id"), F.col("y").alias("lat"), F.col("x").alias("lon"))

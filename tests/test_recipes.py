@@ -90,8 +90,97 @@ def test_reports(spark, tmp_path):
     for f in ("one", "archive"):
         sinks.write_pbf(full, str(tmp_path / f / "a.osm.pbf"))
     csv = str(tmp_path / "list.csv")
-    assert [r[:2] for r in recipes.scan_folders(spark, str(tmp_path), csv)] == [("one", 3)]
-    assert recipes.scan_folders(spark, str(tmp_path), csv) == []
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.osm.pbf").write_bytes(b"junk")
+    counts = recipes.way_counts(spark, str(tmp_path), recipes.known_counts(spark, csv))
+    assert [tuple(r)[:2] for r in counts.orderBy("name").collect()] == [("bad", 0), ("one", 3)]
+    assert recipes.append_counts(counts, csv).count() == 2
+    assert recipes.way_counts(spark, str(tmp_path), recipes.known_counts(spark, csv)).count() == 0
+
+
+def test_boundary_rules(spark):
+    assert recipes.boundary_file("6", "cbg", 2018) == "cb_2018_06_bg_500k.zip" and recipes.boundary_file(6, "county", 2018) == "tl_2018_us_county.zip"
+    with pytest.raises(ValueError):
+        recipes.boundary_file("06", "city", 2018)
+    areas = Layer(spark.createDataFrame([("001", square(0, 0))], "COUNTYFP10 string, geometry binary"), 3857)
+    assert recipes.boundaries(areas, 1, 3857).df.count() == 1
+    with pytest.raises(ValueError):
+        recipes.boundaries(areas, 1, 3857, "city")
+
+
+def test_corridor_traces(spark):
+    nodes, edges = _net(spark)
+    e = edges.where("geometry IS NOT NULL")
+    t = recipes.trace_approach(nodes, e, (100.0, 0.0), (400.0, 0.0), (250.0, -1.0, 350.0, 1.0), 20.0)
+    assert t == {"approach_nodes": 3, "corridor_nodes": 1, "reached": 1, "reaching": 1, "nearest": [1, 2, 3]}
+    assert [(r.u, r.v, r.u_x, r.bridge) for r in recipes.corridor_edges(nodes, e, (210.0, -1.0, 290.0, 1.0)).collect()] == [(2, 3, 200.0, "yes")]
+    short, long = recipes.extreme_links(edges, "length")
+    assert [r.edge_id for r in short.collect()] == [9] and long.count() == 0
+
+
+def test_build_and_diagnose_from_files(spark, tmp_path, capsys):
+    """From an extract to a network in all formats, its judgement, a comparison and
+    a mapped table, through the command line's own calls."""
+    import json
+
+    from gridloom import api
+
+    kind = "type string, id bigint, version int, ts timestamp, visible boolean, lat double, lon double, tags map<string,string>, nodes array<bigint>, members array<struct<type:string,ref:bigint,role:string>>"
+    node = lambda i, x, y: ("node", i, 1, None, None, 37.0 + y / 1000, -122.0 + x / 1000, None, None, None)
+    way = lambda i, nodes, **t: ("way", i, 1, None, None, None, None, t, nodes, None)
+    rows = [node(i, i, 0) for i in range(1, 7)] + [node(7, 3, 1), node(8, 3, 2), node(20, 40, 40), node(21, 41, 40)]
+    rows += [way(100, [1, 2, 3], highway="primary", maxspeed="50 mph", lanes="2"), way(101, [3, 4, 5, 6], highway="primary", oneway="yes", maxspeed="80"), way(102, [3, 7, 8], highway="residential")]
+    rows += [way(103, [20, 21], highway="primary"), way(104, [1, 99], building="yes")]
+    extract = str(tmp_path / "in.osm.pbf")
+    sinks.write_pbf(spark.createDataFrame(rows, kind), extract)
+    plan = tmp_path / "plan.json"
+    plan.write_text(json.dumps({"area": "t", "utm": 32610, "layers": [{"role": "backbone", "highways": ["primary"]}, {"role": "residential", "highways": ["residential"], "geo_level": "cbg", "least_per_km2": 10}]}))
+    out = api.build_network_from_extract(extract, str(plan), str(tmp_path))
+    assert set(out) == set(sinks.FORMATS) and "t-cbg10-weakConn-network" in out["pbf"]
+    edges = spark.read.parquet(out["parquet"])
+    got = {(r.u, r.v): r for r in edges.collect()}
+    nodes = {r.node_id: (round(r.x, 4), round(r.y, 4)) for r in spark.read.parquet(out["parquet"].replace(".parquet", ".nodes.parquet")).collect()}
+    assert set(got) == {(1, 3), (3, 1), (3, 6), (3, 8), (8, 3)} and nodes[6] == (-121.994, 37.0)
+    assert got[1, 3].osmid == ["100"] and got[1, 3].maxspeed == "50 mph" and got[1, 3].n_edges == 2 and got[3, 8].speed_kph == pytest.approx(80.467)
+    assert got[3, 6].length == pytest.approx(3 * 88.8, rel=0.01) and got[3, 6].geometry is not None and len({r.edge_id for r in got.values()}) == 5
+    assert api.compare_osm_pbf_artifacts(out["pbf"], out["pbf"], 32610) == "no differences\nno differences"
+    api.diagnose_built_osm_pbf(out["pbf"], 32610)
+    assert "retrieved_edges: 5" in capsys.readouterr().out
+    with pytest.raises(ValueError):
+        recipes.NetworkPlan.read(str(_written(tmp_path, {"area": "t", "layers": [], "colour": 1})))
+    (tmp_path / "n.csv").write_text("linkId,attributeOrigId\n1,100\n2,101\n3,555\n")
+    mapped = api.map_network_csv_to_osm_pbf(str(tmp_path / "n.csv"), extract, str(tmp_path / "mapped.parquet"))
+    assert sorted((r.linkId, r.osm_id) for r in mapped.collect()) == [(1, 100), (2, 101)] and spark.read.parquet(str(tmp_path / "mapped.parquet")).count() == 2
+    for args in ((str(tmp_path / "n.csv"), "x.gpkg", "o.parquet"), (str(tmp_path / "n.csv"), extract, "o.csv")):
+        with pytest.raises(ValueError):
+            api.map_network_csv_to_osm_pbf(*args)
+
+
+def _written(folder, what):
+    import json
+
+    (folder / "w.json").write_text(json.dumps(what))
+    return folder / "w.json"
+
+
+def test_results_of_paths_are_made_once(spark, tmp_path):
+    import gridloom
+
+    z = Layer(spark.createDataFrame([("z", square(0, 0, 10.0))], "zone_id string, geometry binary"), 3857)
+    net = spark.createDataFrame([(1, bytearray(from_line([[5, 5], [15, 5]])))], "edge_id bigint, geometry binary")
+    path = str(tmp_path / "o.parquet")
+    one = gridloom.intersect_road_network_with_zones(net, 3857, z, path)
+    assert [r.zone_edge_proportion for r in one.collect()] == [0.5] and sinks.cached(path, sinks.cache_key()) is False
+    import os
+
+    at = os.path.getmtime(path)
+    assert gridloom.intersect_road_network_with_zones(net, 3857, z, path).count() == 1 and os.path.getmtime(path) == at
+    assert gridloom.intersect_road_network_with_zones(net.where("edge_id > 5"), 3857, z, str(tmp_path / "e.parquet")).count() == 0 and not (tmp_path / "e.parquet").exists()
+    assert callable(gridloom.create_osm_highway_filter) and set(dir(gridloom)) and len(set(gridloom.__all__)) == 16
+    with pytest.raises(NotImplementedError):
+        gridloom.match_road_network_geometries(1, 2)
+    with pytest.raises(AttributeError):
+        gridloom.nothing  # noqa: B018
 
 
 def test_borders_crossed(spark):

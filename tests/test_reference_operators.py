@@ -8,6 +8,7 @@ from gridloom.functions import aggregates as ag
 from gridloom.functions import crs, kernels
 from gridloom.functions import tags as tg
 from gridloom.functions.wkb import EMPTY_WKB, dumps, from_line, from_rings, loads, to_wkt
+from gridloom.functions.planar import signed_area, triangulate
 from gridloom.operators import diagnose, graph, masks, overlay
 from gridloom.operators.layer import Layer, edge_name, length_column, metric_names, zone_name
 
@@ -151,6 +152,69 @@ def test_masks(spark):
     with pytest.raises(ValueError, match="projected"):
         masks.area_mask(Layer(apart.df, 4326), buffer_m=5)
     assert [r.area_m2 for r in masks.areas(apart).collect()] == [1.0, 1.0]
+    near = zones(spark, [("a", box(0, 0, 1000, 1000)), ("b", box(1000, 0, 2000, 1000)), ("c", None)])
+    mask = masks.area_mask(near, buffer_m=100.0)
+    assert kernels.area(loads(mask.df.first().geometry)) == pytest.approx(2e6 + 2 * 100 * 3000 + np.pi * 1e4, rel=1e-3)
+    own = zones(spark, [("z", box(0, 1050, 1000, 2050))])
+    piece = overlay.intersect_zones_with_zones(mask, own).df.first().geometry
+    assert kernels.area(loads(piece)) == pytest.approx(50 * 1000, rel=0.01)  # no more than the zone's own ground
+    assert loads(masks.area_mask(Layer(near.df.limit(0), 3857)).df.first().geometry)[0] == "empty"
+
+
+def test_dissolve(spark):
+    rows = [(k, i, box(x, y, x + 1, y + 1)) for k in "pq" for i, (x, y) in enumerate((x, y) for x in range(3) for y in range(3) if (x, y) != (1, 1))]
+    rows += [("r", 1, box(0, 0, 2, 2)), ("r", 2, box(1, 1, 3, 3)), ("r", 2, None), (None, 3, box(5, 5, 6, 6)), ("s", 1, None)]
+    df = spark.createDataFrame([(k, i, bytearray(g) if g else None) for k, i, g in rows], "kind string, n bigint, geometry binary").repartition(5)
+    got = {r.kind: loads(r.geometry) for r in masks.dissolve(Layer(df, 3857), ["kind"]).df.collect()}
+    assert {k: round(kernels.area(g), 6) for k, g in got.items()} == {"p": 8.0, "q": 8.0, "r": 7.0, None: 1.0}
+    assert [len(p) for p in got["p"][1]] == [2] and len(got["r"][1][0][0]) == 9
+    one = masks.dissolve(Layer(df, 3857)).df.collect()
+    assert len(one) == 1 and kernels.area(loads(one[0].geometry)) == pytest.approx(10.0)
+    assert masks.dissolve(Layer(df.limit(0), 3857)).df.count() == 0
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_union_covers_what_its_parts_cover(seed):
+    rnd = np.random.default_rng(seed)
+    parts = []
+    for _ in range(10):
+        a = np.sort(rnd.uniform(0, 2 * np.pi, rnd.integers(3, 9)))
+        r = np.stack([np.cos(a), np.sin(a)], axis=1) * rnd.uniform(1, 5, (len(a), 1)) + rnd.uniform(0, 15, 2)
+        parts.append(("polygon", [[np.vstack([r, r[:1]])]]))
+    whole, p = kernels.union(parts), rnd.uniform(-6, 21, (20_000, 2))
+    want, got = np.zeros(len(p), bool), np.zeros(len(p), bool)
+    for g in parts:
+        want |= kernels.inside_rings(p, g[1][0])
+    for rings in whole[1]:
+        got ^= kernels.inside_rings(p, rings)
+    assert (want == got).all() and kernels.area(whole) == pytest.approx(sum(abs(signed_area(t)) for part in whole[1] for t in triangulate(part)))
+    x = kernels.representative_point(whole)
+    assert any(kernels.inside_rings(np.array([x]), rings)[0] for rings in whole[1])
+
+
+@pytest.mark.parametrize("far", [False, True])
+def test_slanted_lines_holes_and_hollows(spark, far, monkeypatch):
+    """General clipping in place and through the grid join, against fine steps."""
+    if far:
+        monkeypatch.setattr(overlay, "HELD_ZONES", 0)
+    rnd = np.random.default_rng(5)
+    hollow = from_rings([[0, 0], [10, 0], [10, 10], [5, 3], [0, 10]], [[4, 1], [6, 1], [5, 2]])
+    z = zones(spark, [("hollow", hollow), ("slant", from_rings([[3, -2], [14, 4], [9, 12]])), ("none", None), ("far", box(100, 100, 101, 101))])
+    paths = {i: rnd.uniform(-3, 15, (rnd.integers(2, 5), 2)) for i in range(40)}
+    df = spark.createDataFrame([(i, bytearray(from_line(p))) for i, p in paths.items()] + [(99, None)], "id bigint, geometry binary")
+    out = overlay.intersect_lines_with_zones(Layer(df, 3857), z).df
+    got = {(r.edge_id, r.zone_zone_id): r.zone_link_length_m for r in out.collect()}
+    for i, p in paths.items():
+        for name, w in (("hollow", hollow), ("slant", from_rings([[3, -2], [14, 4], [9, 12]]))):
+            rings = loads(w)[1][0]
+            length = 0.0
+            for a, b in zip(p[:-1], p[1:]):
+                t = (np.arange(4000) + 0.5) / 4000
+                length += kernels.inside_rings(a + t[:, None] * (b - a), rings).mean() * np.hypot(*(b - a))
+            assert got.get((i, name), 0.0) == pytest.approx(length, abs=0.03)
+    joined = overlay.spatial_left_join(Layer(df, 3857), z).df.collect()
+    met = {(r.id, r.zone_zone_id) for r in joined}
+    assert {k for k in got} <= met and (99, None) in met and len(joined) == len(met) and {r.id for r in joined} == {*paths, 99}
 
 
 @pytest.mark.parametrize(
@@ -250,11 +314,43 @@ def test_compose_and_speeds(spark):
 def test_validation_gate(spark):
     n = spark.createDataFrame([(1, 0.0, 0.0), (2, 5.0, 0.0)], "node_id bigint, x double, y double")
     g = bytearray(from_line([[0, 0], [5, 0]]))
-    ok = spark.createDataFrame([("a", 1, 2, 5.0, "no", g)], "edge_id string, u bigint, v bigint, length double, oneway string, geometry binary")
-    graph.assert_valid(graph.validate(n, ok))
-    bad = spark.createDataFrame([(None, 1, 1, -5.0, "maybe", None)], ok.schema)
-    with pytest.raises(RuntimeError, match="missing_edge_id = 1.*self_loops = 1.*isolates = 1"):
+    schema = "edge_id string, u bigint, v bigint, length double, oneway string, geometry binary, speed_kph double, bridge string"
+    ok = spark.createDataFrame([("a", 1, 2, 5.0, "no", g, 30.0, None), ("b", 2, 2, 5.0, "no", g, 30.0, "yes")], schema)
+    graph.assert_valid(graph.validate(n, ok))  # the loop is protected
+    bad = spark.createDataFrame([(None, 1, 1, -5.0, "maybe", None, None, None)], schema)
+    with pytest.raises(RuntimeError) as e:
         graph.assert_valid(graph.validate(n, bad))
+    for fault in ("unprotected_self_loops = 1", "isolates = 1", "missing_edge_id = 1", "nonpositive_length = 1", "missing_speed_kph = 1", "invalid_oneway_values = 1", "missing_geometry = 1", "components = 2"):
+        assert fault in str(e.value)
+    with pytest.raises(RuntimeError, match="missing_speed_kph = 2"):
+        graph.assert_valid(graph.validate(n, ok.drop("speed_kph")))
+    kind = "type string, id bigint, lat double, lon double, nodes array<bigint>"
+    el = spark.createDataFrame([("node", 1, 0.0, 0.0, None), ("node", 2, 0.0, 0.0, None), ("way", 3, None, None, [1, 9])], kind)
+    with pytest.raises(RuntimeError, match="xml_duplicate_coordinates = 1, xml_dangling_refs = 1"):
+        graph.assert_valid(graph.validate(n, ok, extract=el))
+
+
+def test_fragments_and_topology(spark):
+    n = spark.createDataFrame([(i, float(i), 0.0) for i in (1, 2, 3, 7, 8, 9)], "node_id bigint, x double, y double")
+    rows = [("a", 1, 2, "service", None, 1.0), ("a", 2, 3, "primary", "yes", 2.0), (None, 3, 3, "service", None, 1.0), (None, 7, 8, "trunk", None, 5.0), ("b", 9, 9, "service", None, 1.0)]
+    e = spark.createDataFrame(rows, "edge_id string, u bigint, v bigint, highway string, tunnel string, length double")
+    members = graph.components(e, n)
+    rep = {r.component: r for r in graph.infrastructure_report(n, e, members).collect()}
+    assert (rep[1].n_nodes, rep[1].n_edges, rep[1].length, rep[1].major, rep[1].bridge_tunnel, rep[1].classes, rep[1].east) == (3, 3, 4.0, 1, 1, {"service": 2, "primary": 1}, 3.0)
+    assert [r.component for r in graph.lost_infrastructure(graph.infrastructure_report(n, e, members)).collect()] == [7]
+    assert tuple(graph.bridge_tunnel_counts(e).first()) == (0, 1)
+    nodes, edges = graph.clean_topology(n, e)
+    assert {r.node_id for r in nodes.collect()} == {1, 2, 3, 7, 8} and sorted(r.edge_id or "" for r in edges.collect()) == ["", "a", "a_1"]
+    with pytest.raises(ValueError, match="empty"):
+        graph.clean_topology(n, e.where("u = v"))
+
+
+def test_chains_keep_ways_and_lines(spark):
+    g = lambda *p: bytearray(from_line(p))
+    rows = [(1, 10, 11, 7, g([0, 0], [1, 0])), (2, 11, 12, 8, g([1, 0], [2, 5], [3, 0])), (3, 20, 21, 9, None), (4, 21, 22, 9, g([0, 0], [1, 0]))]
+    e = spark.createDataFrame(rows, "edge_id bigint, u bigint, v bigint, osmid bigint, geometry binary")
+    got = {r.u: (r.v, r.osmid, r.geometry and bytes(r.geometry)) for r in graph.simplify(e).collect()}
+    assert got == {10: (12, ["7", "8"], from_line([[0, 0], [1, 0], [2, 5], [3, 0]])), 20: (22, ["9"], None)}
 
 
 def test_joins_and_reports(spark):

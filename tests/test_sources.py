@@ -131,6 +131,46 @@ def test_merged_ways(spark):
     assert got == {5: ([1, 2, 3], {"name": "a", "length": "3.25"}), 6: ([8, 9], {"length": "1"})}
 
 
+def test_order_of_way_nodes():
+    w = sinks.way_nodes
+    assert w([(1, 2)]) == [1, 2] and w([(1, 2), (2, 3), (2, 4)]) == [1, 2, 3, 4] and w([(2, 3), (1, 2)]) == [1, 2, 3]
+    assert w([(1, 2), (10, 11), (11, 12)]) == [10, 11, 12]  # the largest part
+    assert w([(1, 2), (2, 3), (3, 1)]) == [1, 2, 3, 1]  # a ring, from its first edge
+    assert w([(1, 2), (2, 1), (2, 3), (3, 2)]) == [1, 2]  # circles all over
+    assert w([(5, 5)]) == [5, 5]
+
+
+def test_ways_with_branches_and_aggregates(spark):
+    edges = spark.createDataFrame([(1, 2, 5, 1.0, 3), (2, 3, 5, 2.0, 9), (2, 4, 5, 4.5, 1)], "u bigint, v bigint, way bigint, length double, lanes int")
+    got = sinks.as_ways(edges, ["length", "lanes"], "way", {"length": F.max, "lanes": F.sum}).first()
+    assert got.nodes == [1, 2, 3, 4] and got.tags == {"length": "4.5", "lanes": "13", "oneway": "no"} or got.tags == {"length": "4.5", "lanes": "13"}
+
+
+def test_one_file_formats_of_many_partitions(spark, tmp_path):
+    rows = [(i, f'n "{i}"\n<&>', float(i), from_line([[i, 0], [i, 1]])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id bigint, name string, x double, geometry binary").repartition(7)
+    sinks.write_geojson(Layer(df, 3857), str(tmp_path / "m.geojson"))
+    back = vector.read_geojson(spark, str(tmp_path / "m.geojson"), 3857).df
+    assert {(r.id, r.name, bytes(r.geometry)) for r in back.collect()} == {(i, n, g) for i, n, _, g in rows}
+    nodes = df.selectExpr("id AS node_id", "x / 10 AS x", "x / 20 AS y", "name AS highway")
+    ways = df.selectExpr("id + 1000 AS id", "array(id, id) AS nodes", "map('name', name) AS tags")
+    sinks.write_osm_xml(nodes, ways, str(tmp_path / "m.osm"))
+    el = osm.read_xml(spark, str(tmp_path / "m.osm"))
+    assert {r.id: r.tags["name"] for r in el.where("type = 'way'").collect()} == {i + 1000: n for i, n, _, _ in rows}
+    assert {(r.id, r.lat, r.tags["highway"]) for r in el.where("type = 'node'").collect()} == {(i, round(x / 20, 7), n) for i, n, x, _ in rows}
+    sinks.write_pbf(el, str(tmp_path / "m.osm.pbf"), 50)
+    pbf = osm.read_pbf(spark, str(tmp_path / "m.osm.pbf"))
+    key = lambda d: sorted((r.type, r.id, r.lat and round(r.lat, 7), sorted(r.tags.items()), r.nodes or []) for r in d.collect())
+    assert key(pbf) == key(el)
+
+
+def test_road_lines_keep_their_other_tags(spark):
+    schema = "type string, id bigint, lat double, lon double, tags map<string,string>, nodes array<bigint>, members array<struct<type:string,ref:bigint,role:string>>"
+    rows = [("node", i, float(i), 0.0, None, None, None) for i in (1, 2)] + [("way", 7, None, None, {"highway": "primary", "edge_id": 'e"1', "length": "12.5"}, [1, 2, 5], None), ("way", 8, None, None, {"highway": "x"}, [2, 1], None)]
+    lines = {r.osm_id: r for r in osm.road_lines(spark.createDataFrame(rows, schema)).collect()}
+    assert lines[7].other_tags == '"edge_id"=>"e\\"1","length"=>"12.5"' and lines[8].other_tags is None and lines[7].highway == "primary"
+
+
 def test_cache_sidecar(spark, tmp_path):
     path = str(tmp_path / "r.parquet")
     df = spark.range(5).withColumn("x", F.col("id") * 2)
