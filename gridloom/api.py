@@ -160,7 +160,7 @@ def diagnose_osm(pbf_path: str, epsg_utm: int) -> DataFrame:
     return out
 
 
-def _built(pbf_path: str, graph_path: str | None, osm_xml: str | None) -> DataFrame | None:
+def _built(pbf_path: str, utm: int, graph_path: str | None, osm_xml: str | None) -> DataFrame | None:
     """The judgement of the network beside an extract, if there is one."""
     beside = osm.sidecars(pbf_path)
     at, xml = graph_path or beside["graph"], osm_xml or beside["osm"]
@@ -168,13 +168,14 @@ def _built(pbf_path: str, graph_path: str | None, osm_xml: str | None) -> DataFr
         print("no built network is beside the extract")
         return None
     nodes, edges = osm.load_graph(_spark(), at)
-    return graph.validate(nodes, edges, extract=read_extract(xml) if xml and os.path.exists(xml) else None)
+    plane, _ = recipes.project(nodes, edges.drop("geometry"), 4326, utm)
+    return graph.validate(nodes, edges, extract=read_extract(xml) if xml and os.path.exists(xml) else None, plane=plane)
 
 
 def diagnose_built_osm_pbf(pbf_path: str, epsg_utm: int, graph_path: str | None = None, osm_xml_path: str | None = None, skip_pbf_diagnostics: bool = False) -> None:
     """Judges the network beside an extract, raising what is wrong, and diagnoses
     the extract."""
-    summary = _built(pbf_path, graph_path, osm_xml_path)
+    summary = _built(pbf_path, epsg_utm, graph_path, osm_xml_path)
     if summary is not None:
         print(recipes.text_report([summary.first().asDict()]))
         graph.assert_valid(summary)
@@ -186,7 +187,7 @@ def compare_osm_pbf_artifacts(
     pbf_a: str, pbf_b: str, epsg_utm_a: int, epsg_utm_b: int | None = None, graph_a: str | None = None, graph_b: str | None = None, osm_xml_a: str | None = None, osm_xml_b: str | None = None
 ) -> str:
     """Metrics in which two extracts and the networks beside them differ."""
-    a, b = _built(pbf_a, graph_a, osm_xml_a), _built(pbf_b, graph_b, osm_xml_b)
+    a, b = _built(pbf_a, epsg_utm_a, graph_a, osm_xml_a), _built(pbf_b, epsg_utm_b or epsg_utm_a, graph_b, osm_xml_b)
     parts = [recipes.delta_report(diagnose.summary_delta(recipes.long_summary(a), recipes.long_summary(b)))] if a is not None and b is not None else []
     sides = [recipes.extract_diagnosis(read_extract(p), e).drop("top_component_sizes") for p, e in ((pbf_a, epsg_utm_a), (pbf_b, epsg_utm_b or epsg_utm_a))]
     parts.append(recipes.delta_report(diagnose.summary_delta(*map(recipes.long_summary, sides))))

@@ -368,9 +368,12 @@ def consolidate(nodes: DataFrame, edges: DataFrame, tolerance: float) -> tuple[D
     return merged, led
 
 
-def validate(nodes: DataFrame, edges: DataFrame, within: float = 0.5, extract: DataFrame | None = None) -> DataFrame:
+def validate(
+    nodes: DataFrame, edges: DataFrame, within: float = 0.5, extract: DataFrame | None = None, plane: DataFrame | None = None
+) -> DataFrame:
     """One row of counts by which a built network is judged; with the elements of
-    its ``extract`` also its repeated places and dangling references."""
+    its ``extract`` also its repeated places and dangling references. ``plane``: the
+    nodes in metres, where they are given in degrees."""
     from .diagnose import dangling_way_nodes, edge_quality
 
     n = nodes.agg(F.count(F.lit(1)).alias("nodes"))
@@ -380,7 +383,7 @@ def validate(nodes: DataFrame, edges: DataFrame, within: float = 0.5, extract: D
     )
     alone = isolates(nodes, edges).agg(F.count(F.lit(1)).alias("isolates"))
     twins = duplicate_coordinates(nodes).agg(F.count(F.lit(1)).alias("duplicate_coordinates"))
-    near = close_nodes(nodes, within).agg(F.count(F.lit(1)).alias("close_pairs"))
+    near = close_nodes(nodes if plane is None else plane, within).agg(F.count(F.lit(1)).alias("close_pairs"))
     parts = components(edges, nodes).agg(F.count_distinct("component").alias("components"))
     out = edge_quality(edges)
     more = [n, loops, alone, twins, near, parts]
