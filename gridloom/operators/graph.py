@@ -2,19 +2,132 @@
 
 Edges are ``(u, v, ...)`` with any other columns, nodes ``(node_id, ...)``.
 Closures iterate over DataFrames; each round is cut with a reliable checkpoint.
+What is counted to fit one task, at once or after some rounds, is finished there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.aggregates import merge_edges
 from ..functions.tags import MAJOR_ROADS, first_class, protected_edge, truthy
 from ..functions.wkb import dumps, line_parts
-from ..runtime import cut, stored
+from ..runtime import cut, few, stored
+
+
+#: Edges of a graph that one task closes in memory.
+LOCAL_EDGES = 500_000
+
+
+def _in_one_task(rows: DataFrame, solve: Callable, out: str) -> DataFrame:
+    """``(node_id, out)`` of ``solve(u, v, n)`` on rows ``(u, v)`` whose nodes are
+    numbered by value; ``v`` is -1 where it is null. ``solve`` gives one number per
+    node, below 0 for none; for ``component`` it is the number of a node."""
+    kind = rows.schema["u"].dataType
+    number = T.IntegerType() if out == "hops" else kind
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(batches)
+        if not sum(b.num_rows for b in rows):
+            return
+        t = pa.Table.from_batches(rows)
+        u, v = t.column(0), t.column(1)
+        names = pc.unique(pa.chunked_array([*u.chunks, *v.chunks])).drop_null()
+        names = names.take(pc.sort_indices(names))
+        at = lambda c: pc.fill_null(pc.index_in(c, value_set=names), -1).to_numpy()
+        got = solve(at(u), at(v), len(names))
+        some = np.flatnonzero(got >= 0)
+        value = pa.array(got[some], pa.int32()) if out == "hops" else names.take(pa.array(got[some]))
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(some)), value], names=["node_id", out])
+
+    schema = T.StructType([T.StructField("node_id", kind), T.StructField(out, number)])
+    return rows.select("u", "v").repartition(1).mapInArrow(run, schema)
+
+
+def _weak(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The least node of each node's component: every node hooks onto the lesser
+    of two labels, labels are followed to their ends, until nothing changes."""
+    label = np.arange(n)
+    while True:
+        a, b = label[u], label[v]
+        apart = a != b
+        if not apart.any():
+            return label
+        np.minimum.at(label, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _onward(u: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbours by node: where each node's begin, and all in a row."""
+    order = np.argsort(u, kind="stable")
+    return np.searchsorted(u[order], np.arange(n + 1)), v[order]
+
+
+def _strong(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The least node of each node's strong component, by one depth-first walk that
+    keeps the lowest step each node leads back to."""
+    start, near = (x.tolist() for x in _onward(u, v, n))
+    step, low, out = [0] * n, [0] * n, [-1] * n
+    held: list[int] = []
+    clock = 0
+    for root in range(n):
+        if step[root]:
+            continue
+        clock += 1
+        step[root] = low[root] = clock
+        held.append(root)
+        walk, at = [root], [start[root]]
+        while walk:
+            x = walk[-1]
+            if at[-1] < start[x + 1]:
+                y = near[at[-1]]
+                at[-1] += 1
+                if not step[y]:
+                    clock += 1
+                    step[y] = low[y] = clock
+                    held.append(y)
+                    walk.append(y)
+                    at.append(start[y])
+                elif out[y] < 0:
+                    low[x] = min(low[x], step[y])
+                continue
+            walk.pop(), at.pop()
+            if walk:
+                low[walk[-1]] = min(low[walk[-1]], low[x])
+            if low[x] == step[x]:
+                part = [held.pop()]
+                while part[-1] != x:
+                    part.append(held.pop())
+                least = min(part)
+                for y in part:
+                    out[y] = least
+    return np.array(out)
+
+
+def _hops(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """Steps from the sources, the rows without ``v``; -1 where there is no way."""
+    out = np.full(n, -1)
+    edge = v >= 0
+    start, near = _onward(u[edge], v[edge], n)
+    front = np.unique(u[~edge])
+    k = 0
+    while len(front):
+        out[front] = k
+        size = start[front + 1] - start[front]
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start[front], size)
+        front = np.unique(near[at])
+        front = front[out[front] < 0]
+        k += 1
+    return out
 
 
 def self_loops(edges: DataFrame) -> DataFrame:
@@ -68,7 +181,9 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: in
     named = all_nodes.withColumn("label", F.col("node_id"))
     rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
     for _ in range(most_rounds):
-        if rest.isEmpty():
+        if few(rest, LOCAL_EDGES):
+            last = _in_one_task(rest, _weak, "component").select(F.col("node_id").alias("label"), F.col("component").alias("to"))
+            named = named.join(last, "label", "left").select("node_id", F.coalesce("to", "label").alias("label"))
             break
         both = rest.unionByName(rest.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hook = both.groupBy("u").agg(F.min(rank("v")).alias("m"))
@@ -98,6 +213,9 @@ def reachable(edges: DataFrame, sources: DataFrame, backward: bool = False, most
     if backward:
         step = step.select(F.col("v").alias("u"), F.col("u").alias("v"))
     step = stored(step, "steps")
+    if few(step, LOCAL_EDGES) and few(sources, LOCAL_EDGES):
+        rows = step.unionByName(sources.where("node_id IS NOT NULL").select(F.col("node_id").alias("u"), F.lit(None).cast(step.schema["v"].dataType).alias("v")))
+        return cut(_in_one_task(rows, _hops, "hops"))
     seen = frontier = cut(sources.select("node_id").where("node_id IS NOT NULL").distinct().withColumn("hops", F.lit(0)))
     for i in range(1, most_rounds + 1):
         new = frontier.select(F.col("node_id").alias("u")).join(step, "u").select(F.col("v").alias("node_id")).distinct()
@@ -123,6 +241,9 @@ def strong_components(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     base = stored(components(both_ways, ends(edges)), "two-way")
     name = lambda c: base.select(F.col("node_id").alias(c), F.col("component").alias(f"c{c}"))
     left = cut(directed.join(name("u"), "u").join(name("v"), "v").where("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct())
+    if few(left, LOCAL_EDGES):
+        names = _in_one_task(left, _strong, "component").select(F.col("node_id").alias("_c"), F.col("component").alias("_name"))
+        return cut(base.join(names, F.col("component") == F.col("_c"), "left").select("node_id", F.coalesce("_name", "component").alias("component")))
     rest = ends(left)
     done = cut(base.select(F.col("component").alias("node_id")).distinct().join(rest, "node_id", "left_anti").withColumn("component", F.col("node_id")))
     rest = cut(rest)

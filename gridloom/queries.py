@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import data_queries, graph_queries, overlay_queries, tag_queries
+from .plans import data_queries, format_queries, graph_queries, network_queries, overlay_queries, tag_queries
 
-_GROUPS = (overlay_queries, tag_queries, graph_queries, data_queries)
+_GROUPS = (overlay_queries, tag_queries, graph_queries, network_queries, format_queries, data_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -442,3 +442,47 @@ def test_match_rate_query_counts_what_it_joins(spark, tmp_path):
     spark.createDataFrame([("1", 1), (" 2", 2), ("3.0", 3), ("w4", 4)], "attributeOrigId string, linkId bigint").write.parquet(f"{tmp_path}/network.parquet")
     spark.createDataFrame([(1,), (2,)], "edge_osm_id bigint").write.parquet(f"{tmp_path}/edge_zones.parquet")
     assert tuple(graph_queries.match_rate(spark, str(tmp_path)).first())[:2] == (4, 2)
+
+
+@pytest.mark.parametrize("local", [10**6, 3])
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_closures_in_one_task_and_over_the_cluster(spark, monkeypatch, local, kind):
+    """Components, strong components and reachability against plain walks."""
+    if local == 3 and kind == "string":
+        pytest.skip("the cluster's way is the same for all kinds")
+    monkeypatch.setattr(graph, "LOCAL_EDGES", local)
+    rnd = np.random.default_rng(7)
+    pairs = [(int(a), int(b)) for a, b in rnd.integers(0, 40, (45, 2))] + [(50, 51), (51, 50), (60, 60)]
+    e = spark.createDataFrame([*pairs, (None, 1), (2, None)], "u bigint, v bigint").select(F.col("u").cast(kind), F.col("v").cast(kind))
+    onward, nodes = {}, {x for p in pairs for x in p} | {1, 2}
+    for u, v in pairs:
+        onward.setdefault(u, set()).add(v)
+
+    def reach(x):
+        seen, todo = {x: 0}, [x]
+        for y in todo:
+            for z in onward.get(y, ()):
+                if z not in seen:
+                    seen[z] = seen[y] + 1
+                    todo.append(z)
+        return seen
+
+    far = {x: reach(x) for x in nodes}
+    key = (lambda x: str(x)) if kind == "string" else (lambda x: x)
+    want = {key(x): min(key(y) for y in nodes if y in far[x] and x in far[y]) for x in nodes}
+    assert {r.node_id: r.component for r in graph.strong_components(e).collect()} == want
+    weak = {}
+    for x in nodes:
+        part, todo = {x}, [x]
+        for y in todo:
+            for z in nodes:
+                if z not in part and (z in onward.get(y, ()) or y in onward.get(z, ())):
+                    part.add(z)
+                    todo.append(z)
+        weak[key(x)] = min(map(key, part))
+    assert {r.node_id: r.component for r in graph.components(e).collect()} == weak
+    some = e.where("u IN (3, 5)").select(F.col("u").alias("node_id"))
+    starts = {x for x in (3, 5) if x in onward}
+    hops = {key(y): min(far[x][y] for x in starts if y in far[x]) for x in starts for y in far[x]}
+    assert {r.node_id: r.hops for r in graph.reachable(e, some).collect()} == hops
+    assert graph.components(e.limit(0)).count() == graph.strong_components(e.limit(0)).count() == graph.reachable(e, some.limit(0)).count() == 0
