@@ -111,7 +111,39 @@ l AS (SELECT rec_id, field, CASE WHEN regexp_matches(s, '[0-9] ?(ft|feet|'')') T
  WHEN regexp_matches(s, '\\+|forward|nb') THEN total WHEN regexp_matches(s, 'per direction|each way') THEN 2 * v WHEN regexp_matches(s, 'lane') THEN v ELSE v * f END AS q
  FROM x LEFT JOIN nl USING (source) WHERE field = 'lanes')
 SELECT rec_id, field, CAST(floor(q + 0.5) AS BIGINT) AS quantity FROM (FROM m UNION ALL FROM l) WHERE floor(q + 0.5) > 0"""
+_ITEMS = lambda j: f"CASE WHEN json_type({j}) = 'ARRAY' THEN json_extract({j}, '$[*]') WHEN json_type({j}) IS NULL OR json_type({j}) = 'NULL' THEN [] ELSE [{j}] END"
+_NAMED = lambda j: f"coalesce({j}->>'$.id', {j}->>'$.ref')"
+_NESTED = f"""WITH RECURSIVE src AS (SELECT rec_id, ltrim(payload, chr(65279)) AS t FROM raw_elements),
+r(rec_id, kind, el, j) AS (
+  SELECT rec_id, NULL::VARCHAR, false, CAST(t AS JSON) FROM src WHERE json_valid(t)
+  UNION ALL
+  SELECT rec_id, x.kind, x.kind IS NOT NULL OR (json_type(x.j) = 'OBJECT' AND x.j->>'$.type' IN ('node', 'way', 'relation') AND {_NAMED('x.j')} IS NOT NULL), x.j
+  FROM (
+    SELECT rec_id, kind, unnest(json_extract(j, '$[*]')) AS j FROM r WHERE NOT el AND json_type(j) = 'ARRAY'
+    UNION ALL
+    SELECT rec_id, e.key, unnest({_ITEMS('e.value')}) FROM r, json_each(r.j) e WHERE NOT r.el AND json_type(r.j) = 'OBJECT' AND e.key IN ('node', 'way', 'relation')
+    UNION ALL
+    SELECT rec_id, NULL, e.value FROM r, json_each(r.j) e WHERE NOT r.el AND json_type(r.j) = 'OBJECT' AND e.key NOT IN ('node', 'way', 'relation') AND json_type(e.value) IN ('ARRAY', 'OBJECT')
+    UNION ALL
+    SELECT rec_id, coalesce(m->>'$.type', ''), m FROM (SELECT rec_id, unnest({_ITEMS("json_extract(j, '$.members')")}) AS m FROM r WHERE el)
+  ) x WHERE json_type(x.j) IN ('ARRAY', 'OBJECT')
+),
+p AS (SELECT rec_id, coalesce(j->>'$.type', kind) AS parent_type, TRY_CAST({_NAMED('j')} AS BIGINT) AS parent_id, j FROM r WHERE el),
+q AS (SELECT * FROM p WHERE parent_type <> '' AND parent_id IS NOT NULL),
+t AS (
+  SELECT rec_id, parent_type, parent_id, e.key AS k, e.value AS v FROM q, json_each(json_extract(q.j, '$.tags')) e WHERE json_type(q.j, '$.tags') = 'OBJECT' AND list_sort(json_keys(q.j, '$.tags')) <> ['k', 'v']
+  UNION ALL
+  SELECT rec_id, parent_type, parent_id, x->>'$.k', json_extract(x, '$.v') FROM (SELECT *, unnest({_ITEMS("json_extract(j, '$.tags')")}) AS x FROM q WHERE json_type(j, '$.tags') = 'ARRAY' OR list_sort(json_keys(j, '$.tags')) = ['k', 'v'])
+),
+n AS (SELECT *, unnest(range(len(xs))) AS i FROM (SELECT *, {_ITEMS("json_extract(j, '$.nodes')")} AS xs FROM q)),
+m AS (SELECT *, unnest(range(len(xs))) AS i FROM (SELECT *, {_ITEMS("json_extract(j, '$.members')")} AS xs FROM q))
+SELECT DISTINCT rec_id, parent_type, parent_id, 'tag' AS kind, 0 AS pos, k AS name, v->>'$' AS item FROM t WHERE k IS NOT NULL AND json_type(v) NOT IN ('NULL', 'ARRAY', 'OBJECT')
+UNION ALL
+SELECT DISTINCT rec_id, parent_type, parent_id, 'node', i, '', CASE WHEN json_type(xs[i + 1]) = 'OBJECT' THEN coalesce(xs[i + 1]->>'$.ref', xs[i + 1]->>'$.id') ELSE xs[i + 1]->>'$' END AS item FROM n WHERE item IS NOT NULL
+UNION ALL
+SELECT DISTINCT rec_id, parent_type, parent_id, 'member', i, coalesce(xs[i + 1]->>'$.role', ''), (xs[i + 1]->>'$.type') || '/' || coalesce(xs[i + 1]->>'$.ref', xs[i + 1]->>'$.id') AS item FROM m WHERE item IS NOT NULL"""
 SQL = {
+    "p4_found": _NESTED,
     "p1_found": f"WITH {_PACKED}",
     "p2_found": f"WITH {_UNITS}",
     "p6_found": f"WITH {_REFS} {_FOUND}",

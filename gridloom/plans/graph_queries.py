@@ -218,6 +218,9 @@ round_even((rank() OVER (ORDER BY density) + (count(*) OVER (PARTITION BY densit
     "density_statistics": f"""WITH {_DENS} SELECT round(avg(density), 6) AS mean, round(stddev_samp(density), 6) AS std, round(min(density), 6) AS min, round(max(density), 6) AS max,
 round(quantile_cont(density, 0.25), 6) AS q25, round(quantile_cont(density, 0.5), 6) AS q50, round(quantile_cont(density, 0.75), 6) AS q75 FROM x""",
     "share_kept": f"WITH {_DENS} SELECT CAST(sum(population) FILTER (density >= 900) AS BIGINT) AS kept, CAST(sum(population) AS BIGINT) AS total, coalesce(sum(population) FILTER (density >= 900), 0)::DOUBLE / sum(population) AS share FROM x",
+    "scc": """WITH RECURSIVE e AS (SELECT DISTINCT u AS x, v AS y FROM edges WHERE u IS NOT NULL AND v IS NOT NULL), p(x, y) AS (SELECT x, y FROM e WHERE x <> y UNION SELECT p.x, e.y FROM p JOIN e ON p.y = e.x),
+a AS (SELECT u AS x FROM edges WHERE u IS NOT NULL UNION SELECT v FROM edges WHERE v IS NOT NULL), m AS (SELECT p.x, p.y FROM p JOIN p q ON p.x = q.y AND p.y = q.x)
+SELECT a.x AS node_id, least(a.x, coalesce(min(m.y), a.x)) AS component FROM a LEFT JOIN m ON m.x = a.x GROUP BY a.x""",
     "match_rate": """WITH n AS (SELECT attributeOrigId AS t, coalesce(TRY_CAST(trim(attributeOrigId) AS BIGINT), CAST(TRY_CAST(CASE WHEN lower(trim(attributeOrigId)) NOT IN ('nan', 'inf', 'infinity') THEN attributeOrigId END AS DOUBLE) AS BIGINT)) AS i FROM network),
 a AS (SELECT count(DISTINCT coalesce(i, TRY_CAST(regexp_extract(trim(t), '^[A-Za-z]+/?([0-9]+)$', 1) AS BIGINT))) AS asked FROM n),
 m AS (SELECT count(DISTINCT i) AS matched FROM n WHERE i IN (SELECT edge_osm_id FROM edge_zones))
