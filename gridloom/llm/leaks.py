@@ -32,7 +32,7 @@ from .lookalike import caseless
 BLOCK_WORDS = 2_000_000
 #: Characters, postings and candidate positions worked on at once; they bound a
 #: worker's memory only.
-SLICE_CHARS, SLICE_POSTINGS, SLICE_CANDIDATES = 8_000_000, 200_000, 4_000_000
+SLICE_CHARS, SLICE_POSTINGS, SLICE_CANDIDATES = 4_000_000, 100_000, 1_000_000
 
 
 def spaced_words(text: Column) -> Column:

@@ -135,6 +135,10 @@ def weighted_rules(pairs: DataFrame) -> DataFrame:
     ``w * max(0, t - x)^2`` if up, else ``w * max(0, x - t)^2``."""
     clip = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
     rule = lambda w, t, up: F.struct(F.lit(w).alias("w"), t.cast("double").alias("t"), F.lit(up).alias("up"))
+    # Measured on the 26,099 pairs of sf0.1 whose link has the way number of its
+    # edge: the larger gap of both ends is 6.5 m at 90 %, 9.7 m at 99.9 % and never
+    # above 14 m; lengths differ by at most 1 %; names that both have agree to 0.8
+    # at 0.1 %. Beside them stand parallel and opposite roads at 14 m and more.
     place = clip((14.0 - F.col("gap")) / 8.0)
     apart = F.abs(F.col("len") - F.col("elen")) / F.greatest(F.col("elen"), F.lit(1.0))
     length = clip(1.0 - (apart - 0.026) / 0.02)
