@@ -37,7 +37,7 @@ RADIUS = 20.0
 ACCEPT = 0.5
 #: Penalty of the alternating directions, the residual at which they end, and
 #: the rounds after which not to have ended is an error.
-RHO, SETTLED, MOST_ROUNDS = 1.0, 1e-3, 20_000
+RHO, SETTLED, MOST_ROUNDS = 1.0, 1e-4, 20_000
 #: Variables of the largest component that iterates inside one partition.
 LOCAL_VARIABLES = 20_000
 #: Weight of the transitivity rule.
@@ -138,7 +138,7 @@ def weighted_rules(pairs: DataFrame) -> DataFrame:
     # Measured on the 26,099 pairs of sf0.1 whose link has the way number of its
     # edge: the larger gap of both ends is 6.5 m at 90 %, 9.7 m at 99.9 % and never
     # above 14 m; lengths differ by at most 1 %; names that both have agree to 0.8
-    # at 0.1 %. Beside them stand parallel and opposite roads at 14 m and more.
+    # at 0.1 %. Pairs of other ways near them have a median gap of 14.2 m.
     place = clip((14.0 - F.col("gap")) / 8.0)
     apart = F.abs(F.col("len") - F.col("elen")) / F.greatest(F.col("elen"), F.lit(1.0))
     length = clip(1.0 - (apart - 0.026) / 0.02)
@@ -232,8 +232,8 @@ class _Rules:
         flat = rules.flatten()
         shape = (len(n), int(n.max(initial=0)))
         self.w, self.t, self.up = np.zeros(shape), np.zeros(shape), np.zeros(shape, bool)
-        for i, m in enumerate((self.w, self.t, self.up)):
-            m[owner, at] = flat.field(i).to_numpy(zero_copy_only=False)
+        for name in ("w", "t", "up"):
+            getattr(self, name)[owner, at] = flat.field(name).to_numpy(zero_copy_only=False)
 
     def least(self, v: np.ndarray | None) -> np.ndarray:
         """As :func:`_least`, of all variables."""
