@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import half_even
+from ..runtime import stored
 
 
 def edge_quality(edges: DataFrame) -> DataFrame:
@@ -81,6 +82,29 @@ def dangling_way_nodes(elements: DataFrame) -> DataFrame:
     return used.join(have, "node_id", "left_anti")
 
 
+def exact_quantiles(rows: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact quantiles of each group, between neighbouring values in proportion;
+    nulls count nothing. Values are counted, ordered by ranges over all tasks and
+    numbered by running sums, so no group is held by one task."""
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
+    counted = stored(counted.repartitionByRange(*group, value).withColumn("_part", F.spark_partition_id()), "value-counts")
+    per_part = counted.groupBy(*group, "_part").agg(F.sum("_n").alias("_n"))  # one row per group and range
+    line = Window.partitionBy(*group).orderBy("_part")
+    per_part = per_part.select(
+        *group, "_part", (F.sum("_n").over(line) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(*group)).alias("_total")
+    )
+    here = counted.join(F.broadcast(per_part), [*group, "_part"])
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*group, "_part").orderBy(value))
+    here = here.select(*group, value, upto.alias("_upto"), "_total")
+    aggs, out = [], []
+    for name, q in shares.items():
+        at = (F.col("_total") - 1) * F.lit(q)
+        aggs += [F.min(F.when(F.col("_upto") > f(at), F.col(value))).alias(f"_{k}_{name}") for k, f in (("lo", F.floor), ("hi", F.ceil))]
+        h = (F.col("_rows") - 1) * F.lit(q)
+        out.append((F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (h - F.floor(h))).alias(name))
+    return here.groupBy(*group).agg(F.max("_total").alias("_rows"), *aggs).select(*group, *out)
+
+
 def length_classes(edges: DataFrame, length: str, short: float = 15, long: float = 10_000, plotted: float = 500) -> DataFrame:
     """Count, least, most, mean and median length of the classes of links."""
     classes = F.array(
@@ -90,9 +114,8 @@ def length_classes(edges: DataFrame, length: str, short: float = 15, long: float
         F.when(F.col(length) <= plotted, F.lit("plotted")),
     )
     rows = edges.select(F.explode(F.filter(classes, lambda c: c.isNotNull())).alias("class"), F.col(length).alias("l"))
-    return rows.groupBy("class").agg(
-        F.count("l").alias("count"), F.min("l").alias("min"), F.max("l").alias("max"), F.avg("l").alias("mean"), F.median("l").alias("median")
-    )
+    total = rows.groupBy("class").agg(F.count("l").alias("count"), F.min("l").alias("min"), F.max("l").alias("max"), F.avg("l").alias("mean"))
+    return total.join(F.broadcast(exact_quantiles(rows, ["class"], "l", {"median": 0.5})), "class", "left")  # four rows
 
 
 def length_histogram(edges: DataFrame, length: str, most: float = 500, bins: int = 50) -> DataFrame:
@@ -124,15 +147,16 @@ def with_density(areas: DataFrame, population: DataFrame, key: str = "geoid") ->
     """Areas (``area_m2``) with population: density per square kilometre and its
     percentile rank, ties sharing their mean rank, one decimal.
 
-    Ranks come from counts per density value, so the sort is over distinct
-    values only."""
+    Ranks come from counts per density value, ordered by ranges over all tasks."""
     joined = areas.join(population, key).withColumn("density", F.col("population") / (F.col("area_m2") / 1e6))
-    per = joined.groupBy("density").agg(F.count(F.lit(1)).alias("_ties"))
-    below = F.sum("_ties").over(Window.orderBy("density").rowsBetween(Window.unboundedPreceding, -1))
-    total = F.sum("_ties").over(Window.partitionBy())
-    rank = per.where("density IS NOT NULL").select(
-        F.col("density").alias("_d"), half_even((F.coalesce(below, F.lit(0)) + (F.col("_ties") + 1) / 2) / total * 100.0, 1).alias("percentile")
-    )
+    per = joined.where("density IS NOT NULL").groupBy(F.col("density").alias("_d")).agg(F.count(F.lit(1)).alias("_ties"))
+    per = stored(per.repartitionByRange("_d").withColumn("_part", F.spark_partition_id()), "densities")
+    line = Window.partitionBy(F.lit(0)).orderBy("_part")
+    parts = per.groupBy("_part").agg(F.sum("_ties").alias("_n"))  # one row per range
+    parts = parts.select("_part", (F.sum("_n").over(line) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_total"))
+    below = F.sum("_ties").over(Window.partitionBy("_part").orderBy("_d")) - F.col("_ties") + F.col("_before")
+    ranked = per.join(F.broadcast(parts), "_part").withColumn("_below", below)
+    rank = ranked.select("_d", half_even((F.col("_below") + (F.col("_ties") + 1) / 2) / F.col("_total") * 100.0, 1).alias("percentile"))
     return joined.join(rank, F.col("density") == F.col("_d"), "left").drop("_d")
 
 
@@ -142,8 +166,10 @@ def dense_areas(with_density: DataFrame, least: float) -> DataFrame:
 
 def density_statistics(with_density: DataFrame) -> DataFrame:
     d = F.col("density")
-    quart = [F.percentile(d, F.lit(q)).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)]
-    return with_density.agg(F.avg(d).alias("mean"), F.stddev_samp(d).alias("std"), F.min(d).alias("min"), F.max(d).alias("max"), *quart)
+    one = with_density.select(F.lit(0).alias("_all"), d.alias("_d"))
+    quart = exact_quantiles(one, ["_all"], "_d", {f"q{int(q * 100)}": q for q in (0.25, 0.5, 0.75)})
+    total = one.agg(F.avg("_d").alias("mean"), F.stddev_samp("_d").alias("std"), F.min("_d").alias("min"), F.max("_d").alias("max"), F.lit(0).alias("_all"))
+    return total.join(F.broadcast(quart), "_all", "left").drop("_all")  # one row
 
 
 def share_kept(kept: DataFrame, all_areas: DataFrame) -> DataFrame:

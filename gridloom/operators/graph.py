@@ -216,15 +216,60 @@ def reachable(edges: DataFrame, sources: DataFrame, backward: bool = False, most
     if few(step, LOCAL_EDGES) and few(sources, LOCAL_EDGES):
         rows = step.unionByName(sources.where("node_id IS NOT NULL").select(F.col("node_id").alias("u"), F.lit(None).cast(step.schema["v"].dataType).alias("v")))
         return cut(_in_one_task(rows, _hops, "hops"))
-    seen = frontier = cut(sources.select("node_id").where("node_id IS NOT NULL").distinct().withColumn("hops", F.lit(0)))
-    for i in range(1, most_rounds + 1):
-        new = frontier.select(F.col("node_id").alias("u")).join(step, "u").select(F.col("v").alias("node_id")).distinct()
-        frontier = cut(new.join(seen, "node_id", "left_anti").withColumn("hops", F.lit(i)))
-        if frontier.isEmpty():
+    return _reach_by_parts(step, sources, most_rounds)
+
+
+def _reach_by_parts(step: DataFrame, sources: DataFrame, most_rounds: int) -> DataFrame:
+    """Reachability of a graph that is larger than one task takes. Edges are cut by
+    their starts into parts of about LOCAL_EDGES; neighbouring ids, which mostly are
+    neighbours on the ground, fall into one part. In a round every part with new
+    nodes walks on inside itself until nothing changes, and hands what it reaches
+    outside to the next round. So there are as many rounds as the ways change parts,
+    not as they have edges; fewer hops found later are led on like new nodes."""
+    kind = step.schema["u"].dataType
+    parts = step.count() // LOCAL_EDGES + 1
+    if isinstance(kind, T.StringType):
+        part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    else:
+        cuts = step.agg(F.percentile_approx("u", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
+        part = lambda c: sum((F.when(F.col(c) >= F.lit(x), 1).otherwise(0) for x in cuts), F.lit(0)).cast("int") if len(cuts) < 64 else F.size(F.filter(F.array(*(F.lit(x) for x in cuts)), lambda x: x <= F.col(c)))
+    step = stored(step.withColumn("part", part("u")), "parts")
+    name = kind.simpleString()
+    schema = f"node_id {name}, hops int, outside boolean"
+
+    def walk(edges: pd.DataFrame, front: pd.DataFrame) -> pd.DataFrame:
+        ids, code = np.unique(np.concatenate([edges["u"].to_numpy(), edges["v"].to_numpy(), front["node_id"].to_numpy()]), return_inverse=True)
+        n = len(edges)
+        start, near = _onward(code[:n], code[n : 2 * n], len(ids))
+        own = np.zeros(len(ids), bool)
+        own[code[:n]] = True
+        never = np.iinfo(np.int64).max // 2
+        hops = np.full(len(ids), never)
+        np.minimum.at(hops, code[2 * n :], front["hops"].to_numpy(np.int64))
+        first = hops.copy()
+        at = np.unique(code[2 * n :])
+        while len(at):
+            size = start[at + 1] - start[at]
+            edge = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start[at], size)
+            to, new = near[edge], np.repeat(hops[at] + 1, size)
+            better = new < hops[to]
+            np.minimum.at(hops, to[better], new[better])
+            at = np.unique(to[better])
+        got = np.flatnonzero(hops < first)
+        return pd.DataFrame({"node_id": ids[got], "hops": hops[got].astype("i4"), "outside": ~own[got]})
+
+    seen = front = cut(sources.select("node_id").where("node_id IS NOT NULL").distinct().withColumn("hops", F.lit(0)))
+    for _ in range(most_rounds):
+        front = front.withColumn("part", part("node_id"))
+        at = step.join(front.select("part").distinct(), "part", "left_semi")
+        new = at.groupBy("part").cogroup(front.groupBy("part")).applyInPandas(lambda e, f: walk(e, f), schema)
+        new = new.groupBy("node_id").agg(F.min("hops").alias("hops"), F.max("outside").alias("outside"))
+        old = seen.withColumnRenamed("hops", "_old")
+        new = cut(new.join(old, "node_id", "left").where("_old IS NULL OR hops < _old").select("node_id", "hops", "outside"))
+        if new.isEmpty():
             return seen
-        seen = seen.unionByName(frontier)
-        if i % 10 == 0:
-            seen = cut(seen)
+        seen = cut(seen.unionByName(new.drop("outside")).groupBy("node_id").agg(F.min("hops").alias("hops")))
+        front = new.where("outside").drop("outside")
     raise RuntimeError("reachability did not settle")
 
 

@@ -486,3 +486,13 @@ def test_closures_in_one_task_and_over_the_cluster(spark, monkeypatch, local, ki
     hops = {key(y): min(far[x][y] for x in starts if y in far[x]) for x in starts for y in far[x]}
     assert {r.node_id: r.hops for r in graph.reachable(e, some).collect()} == hops
     assert graph.components(e.limit(0)).count() == graph.strong_components(e.limit(0)).count() == graph.reachable(e, some.limit(0)).count() == 0
+
+
+def test_quantiles_are_exact(spark):
+    rnd = np.random.default_rng(3)
+    rows = [(g, float(x)) for g, n in (("a", 501), ("b", 400), ("c", 1)) for x in rnd.integers(0, 50, n) / 4] + [("a", None), ("d", None)]
+    got = {r.g: r for r in diagnose.exact_quantiles(spark.createDataFrame(rows, "g string, x double"), ["g"], "x", {"q1": 0.1, "q2": 0.5, "q3": 0.97}).collect()}
+    for g in "abc":
+        want = np.quantile([x for k, x in rows if k == g and x is not None], [0.1, 0.5, 0.97])
+        assert [got[g].q1, got[g].q2, got[g].q3] == pytest.approx(want.tolist())
+    assert set(got) == set("abc")
