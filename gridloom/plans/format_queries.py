@@ -36,6 +36,13 @@ def geojson_layer(s, d):
     return sinks.with_wkt(back.df).select("zone_id", "zone_name", "geometry_wkt")
 
 
+def shapefile_layer(s, d):
+    path = _at(s, "roads.shp")
+    sinks.save_layer(fx.roads(s, d), path)
+    back = vector.load_layer(s, path, 3857)
+    return sinks.with_wkt(back.df).select("link_id", "brand", "road_class", "length", F.length("geometry_wkt").alias("size"))
+
+
 def csv_with_geometry(s, d):
     path = _at(s, "lines.csv")
     sinks.save_table(fx.lines(s, d).df, path)
@@ -128,12 +135,14 @@ _NOW = """SELECT * FROM osm_elements WHERE id IS NOT NULL AND ts IS NOT NULL QUA
 _NUM = lambda c: f"CASE WHEN {c} = floor({c}) THEN CAST(CAST({c} AS BIGINT) AS VARCHAR) ELSE CAST({c} AS VARCHAR) END"
 _PT = lambda x, y: f"{_NUM(x)} || ' ' || {_NUM(y)}"
 _NET = f"""n AS ({_N}), e AS (SELECT edge_id, u, v, CAST(edge_id % 100 AS DOUBLE) AS length, CASE WHEN edge_id % 3 = 0 THEN 'primary' END AS highway FROM ({_G}))"""
-_ALL = (gpkg_edges, geojson_layer, csv_with_geometry, saved_layer, xml_network, graphml_network, pbf_extract, extract_lines, merged_ways, network_files)
+_ALL = (gpkg_edges, geojson_layer, shapefile_layer, csv_with_geometry, saved_layer, xml_network, graphml_network, pbf_extract, extract_lines, merged_ways, network_files)
 QUERIES = {f.__name__: f for f in _ALL}
 SQL = {
     "gpkg_edges": f"SELECT osm_id, edge_id, CAST(length(name) AS DOUBLE) AS edge_length FROM ({_L})",
     "geojson_layer": f"""SELECT zone_id, zone_name, 'POLYGON ((' || {_PT('xmin', 'ymin')} || ', ' || {_PT('xmax', 'ymin')} || ', ' || {_PT('xmax', 'ymax')} || ', ' || {_PT('xmin', 'ymax')} || ', ' || {_PT('xmin', 'ymin')} || '))' AS geometry_wkt
 FROM ({_Z})""",
+    "shapefile_layer": f"""SELECT link_id, brand, road_class, length, CAST(length('POLYGON ((' || {_PT('xmin', 'ymin')} || ', ' || {_PT('xmax', 'ymin')} || ', ' || {_PT('xmax', 'ymax')} || ', ' || {_PT('xmin', 'ymax')} || ', ' || {_PT('xmin', 'ymin')} || '))') AS INTEGER) AS size
+FROM ({_R})""",
     "csv_with_geometry": f"SELECT edge_id, osm_id, name, 'LINESTRING (' || {_PT('x0', 'y0')} || ', ' || {_PT('x1', 'y1')} || ')' AS geometry_wkt FROM ({_L})",
     "saved_layer": f"SELECT link_id, brand, length FROM ({_R})",
     "xml_network": f"""WITH {_NET} SELECT 'node' AS type, node_id AS id, y AS lat, x AS lon, CASE WHEN node_id % 7 = 0 THEN 'highway=stop' ELSE '' END AS tags, NULL::BIGINT AS u, NULL::BIGINT AS v FROM n

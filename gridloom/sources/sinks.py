@@ -2,8 +2,8 @@
 
 Parquet, CSV and JSON are written by the executors. Of formats that are one file
 by definition, executors make the blocks of GeoJSON, XML and PBF and the driver
-puts them together; GeoPackage and GraphML are streamed through the driver row by
-row. Their size is bounded by the disk only.
+puts them together; GeoPackage, shapefile and GraphML are streamed through the
+driver row by row. Their size is bounded by the disk only.
 """
 
 from __future__ import annotations
@@ -19,11 +19,13 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 from xml.sax.saxutils import quoteattr
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.planar import signed_area
 from ..functions.wkb import loads, to_wkt
 from ..operators.layer import Layer
 
@@ -119,6 +121,87 @@ def write_gpkg(layer: Layer, path: str, name: str = "layer") -> None:
     con.close()
 
 
+#: Shape types of the format by kind of geometry.
+_SHAPES = {"point": 1, "line": 3, "polygon": 5}
+
+
+def _shape_record(g) -> tuple[int, bytes, list[float] | None]:
+    """Shape type, content and box of a geometry; shells turn right, holes left."""
+    if g is None or g[0] == "empty":
+        return 0, struct.pack("<i", 0), None
+    kind, parts = g
+    if kind not in _SHAPES or (kind == "point" and len(parts) > 1):
+        raise ValueError("a shapefile holds single points, lines or polygons")
+    if kind == "point":
+        x, y = parts[0][0].tolist()
+        return 1, struct.pack("<i2d", 1, x, y), [x, y, x, y]
+    if kind == "polygon":
+        rings = [r if (signed_area(r) < 0) == (i == 0) else r[::-1] for p in parts for i, r in enumerate(p)]
+    else:
+        rings = parts
+    at = np.cumsum([0, *(len(r) for r in rings)])
+    xy = np.concatenate(rings)
+    box = [*xy.min(axis=0).tolist(), *xy.max(axis=0).tolist()]
+    head = struct.pack("<i4dii", _SHAPES[kind], *box, len(rings), len(xy)) + struct.pack(f"<{len(rings)}i", *at[:-1].tolist())
+    return _SHAPES[kind], head + np.ascontiguousarray(xy, "<f8").tobytes(), box
+
+
+def _dbf_names(names: list[str]) -> list[str]:
+    """Names of at most ten bytes, told apart by a number."""
+    out: list[str] = []
+    for n in names:
+        short, k = n.encode()[:10].decode("utf-8", "ignore"), 1
+        while short in out:
+            short = n.encode()[: 9 - len(str(k))].decode("utf-8", "ignore") + f"_{k}"
+            k += 1
+        out.append(short)
+    return out
+
+
+def write_shapefile(layer: Layer, path: str) -> None:
+    """A shapefile of one kind of geometry, with its table and index. The format
+    cuts names to ten bytes and text to 254, and has no null text."""
+    stem = _made(path).removesuffix(".shp")
+    fields = [f for f in layer.df.schema.fields if f.name != "geometry"]
+    kinds = []
+    for f in fields:
+        whole = isinstance(f.dataType, T.IntegralType)
+        number = isinstance(f.dataType, T.NumericType)
+        kinds.append((b"N", 20, 0) if whole else (b"F", 24, 15) if number else (b"C", 254, 0))
+    kind, box, n, at = 0, [np.inf, np.inf, -np.inf, -np.inf], 0, 50
+    with open(f"{stem}.shp", "wb") as shp, open(f"{stem}.shx", "wb") as shx, open(f"{stem}.dbf", "wb") as dbf:
+        shp.write(b"\0" * 100)
+        shx.write(b"\0" * 100)
+        dbf.write(b"\0" * 32)
+        for name, (k, width, dec) in zip(_dbf_names([f.name for f in fields]), kinds):
+            dbf.write(name.encode().ljust(11, b"\0") + k + b"\0" * 4 + bytes([width, dec]) + b"\0" * 14)
+        dbf.write(b"\r")
+        for r in layer.df.toLocalIterator(prefetchPartitions=True):
+            own, body, b = _shape_record(loads(r["geometry"]))
+            if own and kind and own != kind:
+                raise ValueError("a shapefile holds geometries of one kind")
+            kind = own or kind
+            if b:
+                box = [*np.minimum(box[:2], b[:2]), *np.maximum(box[2:], b[2:])]
+            n += 1
+            shp.write(struct.pack(">ii", n, len(body) // 2) + body)
+            shx.write(struct.pack(">ii", at, len(body) // 2))
+            at += 4 + len(body) // 2
+            row = b" "
+            for f, (k, width, _) in zip(fields, kinds):
+                v = r[f.name]
+                text = b"" if v is None else (repr(float(v)) if k == b"F" else str(v)).encode()[:width].decode("utf-8", "ignore").encode()
+                row += text.ljust(width) if k == b"C" else text.rjust(width)
+            dbf.write(row)
+        dbf.write(b"\x1a")
+        dbf.seek(0)
+        dbf.write(struct.pack("<4BIHH20x", 3, 70, 1, 1, n, 33 + 32 * len(fields), 1 + sum(w for _, w, _ in kinds)))
+        frame = struct.pack("<8d", *(box if np.isfinite(box).all() else [0.0] * 4), 0, 0, 0, 0)
+        for out, words in ((shp, at), (shx, 50 + 4 * n)):
+            out.seek(0)
+            out.write(struct.pack(">7i", 9994, 0, 0, 0, 0, 0, words) + struct.pack("<2i", 1000, kind) + frame)
+
+
 def save_layer(layer: Layer, path: str) -> str:
     """A layer by the path's ending; unknown endings give a GeoPackage."""
     end = Path(path).suffix.lower()
@@ -129,7 +212,7 @@ def save_layer(layer: Layer, path: str) -> str:
     elif end in (".geojson", ".json"):
         write_geojson(layer, path)
     elif end == ".shp":
-        raise ValueError("shapefiles cut names and text; write a GeoPackage or Parquet instead")
+        write_shapefile(layer, path)
     else:
         write_gpkg(layer, path)
     return path

@@ -191,7 +191,7 @@ def _dbf_rows(path: str) -> Iterator[tuple]:
                 v = r[at : at + width].decode("utf-8", "replace").strip(" \0")
                 at += width
                 if kind in "NF":
-                    v = None if not v or "*" in v else float(v) if dec or kind == "F" else int(float(v))
+                    v = None if not v or "*" in v else float(v) if dec or kind == "F" else int(v) if v.lstrip("-").isdigit() else int(float(v))
                 row.append(v if v != "" else None)
             yield tuple(row)
 

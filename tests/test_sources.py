@@ -189,3 +189,24 @@ def test_gpkg_blob_envelopes():
     w = dumps(("point", [np.array([[1.0, 2.0]])]))
     assert vector.gpkg_geometry(b"GP\0\3" + b"\0" * 4 + b"\0" * 32 + w) == w
     assert sqlite3.sqlite_version
+
+
+def test_shapefile_round_trip(spark, tmp_path):
+    hole = from_rings([[0, 0], [9, 0], [9, 9], [0, 9]], [[1, 1], [2, 1], [2, 2]])
+    two = dumps(("polygon", [[np.array([[0, 0], [1, 0], [1, 1], [0, 0]], "f8")], [np.array([[5, 5], [6, 5], [6, 6], [5, 5]], "f8")]]))
+    rows = [(2**60 + 1, "Zürich " * 50, 0.1, True, hole), (None, None, None, None, two), (3, "", -2.5e-7, False, None)]
+    schema = "a_long_identifier bigint, a_long_identity string, x double, ok boolean, geometry binary"
+    df = spark.createDataFrame([(*r[:4], r[4] and bytearray(r[4])) for r in rows], schema).coalesce(1)
+    path = sinks.save_layer(Layer(df, 3857), str(tmp_path / "z.shp"))
+    back = vector.read_shapefile(spark, path, 3857).df
+    assert back.columns == ["a_long_ide", "a_long_i_1", "x", "ok", "geometry"]
+    got = [(r[0], r[1], r[2], r[3], loads(r[4])) for r in back.collect()]
+    assert [g[0] for g in got] == [2**60 + 1, None, 3] and [g[2] for g in got] == [0.1, None, -2.5e-7] and got[0][1].startswith("Zürich Zür") and [g[3] for g in got] == ["True", None, "False"]
+    from gridloom.functions import kernels
+
+    assert [kernels.area(g[4]) if g[4][0] == "polygon" else 0 for g in got] == [81 - 0.5, 1.0, 0] and [len(p) for p in got[0][4][1]] == [2]
+    lines = spark.createDataFrame([(1, bytearray(from_line([[0, 0], [1, 2]], [[5, 5], [6, 6]])))], "id int, geometry binary")
+    sinks.write_shapefile(Layer(lines, 3857), str(tmp_path / "l.shp"))
+    assert bytes(vector.read_shapefile(spark, str(tmp_path / "l.shp"), 3857).df.first().geometry) == from_line([[0, 0], [1, 2]], [[5, 5], [6, 6]])
+    with pytest.raises(ValueError):
+        sinks.write_shapefile(Layer(df.select("geometry").unionByName(lines.select("geometry")), 3857), str(tmp_path / "m.shp"))
