@@ -195,11 +195,14 @@ def compare_osm_pbf_artifacts(
     return "\n".join(parts)
 
 
-def build_network_from_extract(extract_path: str, plan_path: str, work_dir: str, formats: tuple[str, ...] = sinks.FORMATS) -> dict[str, str]:
-    """Builds the network of a plan file from an extract and writes it; format ->
-    path."""
+def build_network_from_extract(
+    extract_path: str, plan_path: str, work_dir: str, formats: tuple[str, ...] = sinks.FORMATS, areas: dict[str, Source] | None = None, areas_epsg: int = 4326
+) -> dict[str, str]:
+    """Builds the network of a plan file from an extract, the roads of a role from
+    within its area if one is given, and writes it; format -> path."""
     plan = recipes.NetworkPlan.read(plan_path)
-    nodes, edges = recipes.build_network(*osm.road_graph(read_extract(extract_path)), plan)
+    within = {role: vector.load_layer(_spark(), a, areas_epsg) for role, a in (areas or {}).items()}
+    nodes, edges = recipes.build_network(*osm.road_graph(read_extract(extract_path)), plan, within)
     wrong = graph.invalid_coordinates(nodes).count() if plan.utm else 0
     if wrong:
         print(f"{wrong} nodes have no valid coordinates")

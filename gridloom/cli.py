@@ -5,11 +5,12 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import api
 from .operators import graph, recipes
-from .runtime import session, ship
+from .runtime import scope, session, ship
 from .sources import sinks
 
 
@@ -20,6 +21,8 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("extract")
     s.add_argument("plan", help="JSON file of the plan")
     s.add_argument("work_dir")
+    s.add_argument("--area", nargs=2, action="append", default=[], metavar=("ROLE", "LAYER"), help="where the roads of a role are taken from")
+    s.add_argument("--area-epsg", type=int, default=4326)
     s.add_argument("--formats", nargs="+", default=list(sinks.FORMATS), choices=sinks.FORMATS)
     for mode in ("intersect", "intersect-polygons", "cascade", "left-join"):
         s = sub.add_parser(mode, help=f"{mode} of a layer with zones")
@@ -74,8 +77,13 @@ def run(argv: list[str]) -> int:
     a = parser().parse_args(argv)
     spark = session("gridloom-cli")
     ship(spark)
+    with scope(spark):
+        return _run(spark, a)
+
+
+def _run(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.command == "build":
-        for kind, path in api.build_network_from_extract(a.extract, a.plan, a.work_dir, tuple(a.formats)).items():
+        for kind, path in api.build_network_from_extract(a.extract, a.plan, a.work_dir, tuple(a.formats), dict(a.area), a.area_epsg).items():
             print(f"{kind}: {path}")
     elif a.command == "intersect":
         api.intersect_road_network_with_zones(a.network, a.epsg, a.zones, a.output, a.output_epsg, a.prefilter, a.label, a.zones_epsg)

@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,9 +69,9 @@ def mean_maxspeed(v: Column) -> Column:
     return F.concat(F.rint(F.avg(n)).cast("bigint").cast("string"), F.lit(" mph"))
 
 
-def merge_edges(edges: DataFrame, by: str, seq: str = "seq") -> DataFrame:
+def merge_edges(edges: DataFrame, by: str, seq: str = "seq", more: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """Edges of one chain as one: lengths add up, flags and tags combine. Columns
-    that are missing are left out."""
+    that are missing are left out. ``more``: rules of further columns, or others."""
     s = F.col(seq)
     # Which columns are merged by which rule.
     rules = {
@@ -79,6 +81,7 @@ def merge_edges(edges: DataFrame, by: str, seq: str = "seq") -> DataFrame:
         **{c: (lambda v: min_number_or_text(v, s)) for c in ("maxweight", "maxheight", "maxwidth")},
         **{c: (lambda v: first_valid(v, s)) for c in ("bridge", "tunnel", "sidewalk", "cycleway", "source_layer", "layer_role", "highway", "name")},
     }
+    rules |= more or {}
     aggs = [f(F.col(c)).alias(c) for c, f in rules.items() if c in edges.columns]
     out = edges.groupBy(by).agg(F.count(F.lit(1)).alias("n_edges"), *aggs)
     if "lanes" in edges.columns:

@@ -183,6 +183,17 @@ def first_class(highway: Column) -> Column:
     return F.coalesce(F.trim(F.get(highway, F.lit(0))), F.lit("unknown"))
 
 
+# Road classes of the layers a network is usually made of.
+LAYER_ROADS = {
+    "main": (
+        "motorway", "motorway_link", "trunk", "trunk_link", "primary", "primary_link", "secondary", "secondary_link", "tertiary", "tertiary_link", "unclassified",
+    ),
+    "backbone": ("motorway", "motorway_link", "trunk", "trunk_link", "primary", "primary_link"),
+    "connector": ("primary", "primary_link", "secondary", "secondary_link", "tertiary", "tertiary_link", "unclassified"),
+    "residential": ("residential",),
+}
+
+
 def highway_filter(types: list[str]) -> str:
     """The filter text that asks a map service for these road classes."""
     return f'["highway"~"{"|".join(types)}"]'

@@ -449,7 +449,7 @@ def impute_speeds(edges: DataFrame, speed: str = "speed_kph", highway: str = "hi
     return filled.withColumn(speed, F.coalesce(speed, "_class", "_all")).drop("_ph", "_class", "_all").withColumnRenamed("_hw", highway)
 
 
-def simplify(edges: DataFrame, same: list[str] | None = None) -> DataFrame:
+def simplify(edges: DataFrame, same: list[str] | None = None, more: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """Chains of edges through nodes where the way only goes on, merged: one way
     in and one way out, or a two-way road between exactly two neighbours, each
     direction of which is a chain of its own.
@@ -457,7 +457,7 @@ def simplify(edges: DataFrame, same: list[str] | None = None) -> DataFrame:
     ``edges`` need a unique ``edge_id``. A chain is cut where a column of ``same``
     differs and where it would turn back; a node that cuts one direction cuts the
     other too. Gives ``(chain, u, v, n_edges, ...)`` with the tags merged; rings
-    are kept whole, from their smallest node.
+    are kept whole, from their smallest node. ``more``: how further columns merge.
     """
     e = stored(edges.withColumn("seq", F.col("edge_id")), "edges")
     ins = e.groupBy(F.col("v").alias("node_id")).agg(F.count(F.lit(1)).alias("i"), F.min("u").alias("i_lo"), F.max("u").alias("i_hi"))
@@ -480,7 +480,7 @@ def simplify(edges: DataFrame, same: list[str] | None = None) -> DataFrame:
     start = member.join(passed.withColumnRenamed("node_id", "u"), "u", "left_anti").select("chain", "u")
     stop = member.join(passed.withColumnRenamed("node_id", "v"), "v", "left_anti").select("chain", "v")
     ring = member.groupBy("chain").agg(F.min("u").alias("r"))
-    merged = merge_edges(member.drop("u", "v"), "chain").join(start, "chain", "left").join(stop, "chain", "left").join(ring, "chain")
+    merged = merge_edges(member.drop("u", "v"), "chain", more=more).join(start, "chain", "left").join(stop, "chain", "left").join(ring, "chain")
     merged = merged.withColumns({"u": F.coalesce("u", "r"), "v": F.coalesce("v", "r")}).drop("r")
     for c in ("osmid", "geometry"):
         if c not in e.columns:

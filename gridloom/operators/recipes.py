@@ -116,6 +116,18 @@ class LayerPlan:
     highways: tuple[str, ...] = ()
     geo_level: str | None = None
     least_per_km2: float = 0.0
+    buffer_m: float = 0.0
+
+
+def usual_layers(least_per_km2: float, ferries: bool = False) -> tuple[LayerPlan, ...]:
+    """Backbone, connecting and local roads, of which the last are dense areas'."""
+    local = (*tg.LAYER_ROADS["main"], *tg.LAYER_ROADS["residential"])
+    return (
+        LayerPlan("backbone", tg.LAYER_ROADS["backbone"], "county", buffer_m=5000.0),
+        LayerPlan("connector", tg.LAYER_ROADS["connector"], "county", buffer_m=180.0),
+        *((LayerPlan("ferry", (), "county", buffer_m=10_000.0),) if ferries else ()),
+        LayerPlan("residential", local, "cbg", least_per_km2, 20.0),
+    )
 
 
 @dataclass(frozen=True)
@@ -155,8 +167,19 @@ class NetworkPlan:
 ROLES = ("main", "backbone", "connector", "residential", "ferry")
 
 
-def _layered(edges: DataFrame, plan: NetworkPlan) -> DataFrame:
-    """The layers of a plan put together; the latest one's values count."""
+def edges_in_area(edges: Layer, area: Layer, buffer_m: float = 0.0) -> DataFrame:
+    """Edges whose line meets the area, widened by so many metres."""
+    shape = overlay.reproject(area, edges.epsg)
+    shape = masks.widened(shape, buffer_m) if buffer_m else shape
+    one = masks.dissolve(shape).df  # one outline, so no edge is met twice
+    out = overlay.spatial_left_join(edges, Layer(one.withColumn("_in", F.lit(True)), edges.epsg), zone_label="_area")
+    met = next(c for c in out.df.columns if c not in edges.df.columns)
+    return out.df.where(F.col(f"`{met}`")).drop(met)
+
+
+def _layered(edges: DataFrame, plan: NetworkPlan, areas: dict[str, Layer] | None = None, epsg: int = 3857) -> DataFrame:
+    """The layers of a plan put together; the latest one's values count. ``areas``:
+    where the roads of a role are taken from; all of them without."""
     picked = []
     for p in plan.layers:
         if p.role not in ROLES:
@@ -164,6 +187,8 @@ def _layered(edges: DataFrame, plan: NetworkPlan) -> DataFrame:
         e = edges.where(F.col("highway").isin(*p.highways)) if p.highways else edges
         if p.role == "ferry":
             e = tg.ferry_edges(e.where("route = 'ferry'") if "route" in e.columns else e)
+        if areas and p.role in areas:
+            e = edges_in_area(Layer(e, epsg), areas[p.role], p.buffer_m)
         e = e.withColumns({"layer_role": F.lit(p.role), "protected_backbone": F.lit(p.role == "backbone")})
         picked.append(e.select([F.col(f"`{c}`").cast("string").alias(c) if c in ("lanes", "hgv", "mdv", "reversed") else F.col(f"`{c}`") for c in e.columns]))
     return graph.compose(picked, ["edge_id"])
@@ -193,18 +218,19 @@ def project(nodes: DataFrame, edges: DataFrame, source: int, target: int) -> tup
     return nodes.where("x IS NOT NULL AND y IS NOT NULL").mapInArrow(run, nodes.schema), lines
 
 
-def build_network(nodes: DataFrame, edges: DataFrame, plan: NetworkPlan) -> tuple[DataFrame, DataFrame]:
+def build_network(nodes: DataFrame, edges: DataFrame, plan: NetworkPlan, areas: dict[str, Layer] | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of a plan from raw ones: layers by road class composed, tags
     made standard, speeds filled, crossings merged, chains simplified, ids made of
     nodes and ways, the topology cleaned, and the largest component kept.
 
     ``nodes (node_id, x, y)``; ``edges (edge_id, u, v, highway, oneway, ...)``; in
     degrees if the plan names a ``utm`` system, to work in and to come back from,
-    else in metres.
+    else in metres. ``areas``: by role, as of :func:`dense_boundaries`, where its
+    roads are taken from, widened as the plan says.
     """
     if plan.utm:
         nodes, edges = project(nodes, edges, 4326, plan.utm)
-    whole = tg.process_tags(_layered(edges, plan), plan.weight_unit, plan.mdv_max, plan.hdv_max)
+    whole = tg.process_tags(_layered(edges, plan, areas, plan.utm or 3857), plan.weight_unit, plan.mdv_max, plan.hdv_max)
     whole = stored(with_speeds(whole), "layers")
     at, led = graph.consolidate(graph.used_nodes(nodes, whole), whole, plan.tolerance_m)
     led = graph.without_self_loops(led, graph.protected(led))

@@ -1,8 +1,8 @@
 """Writers: tables and layers by file ending, map extracts, result caches.
 
 Parquet, CSV and JSON are written by the executors. Of formats that are one file
-by definition, executors make the blocks of GeoJSON, XML and PBF and the driver
-puts them together; GeoPackage, shapefile and GraphML are streamed through the
+by definition, executors make the blocks of GeoJSON, XML, PBF and GraphML and the
+driver puts them together; GeoPackage and shapefile are streamed through the
 driver row by row. Their size is bounded by the disk only.
 """
 
@@ -409,7 +409,17 @@ def write_pbf(elements: DataFrame, path: str, per_block: int = 8000) -> None:
 
 
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """One file; elements are made by the executors."""
     skip = {"geometry", "u", "v", "node_id"}
+
+    def element(what: str) -> Callable[[dict], str]:
+        def text(r: dict) -> str:
+            at = f'id="{r["node_id"]}"' if what == "node" else f'source="{r["u"]}" target="{r["v"]}"'
+            data = "".join(f'<data key="{what}_{c}">{_xml(v)}</data>' for c, v in r.items() if c not in skip and v is not None)
+            return f"<{what} {at}>{data}</{what}>"
+
+        return text
+
     with open(_made(path), "w", encoding="utf-8") as f:
         f.write('<?xml version="1.0" encoding="utf-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n')
         for what, df in (("node", nodes), ("edge", edges)):
@@ -418,10 +428,8 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
                     f.write(f'<key id="{what}_{c}" for="{what}" attr.name={quoteattr(c)} attr.type="string"/>\n')
         f.write('<graph edgedefault="directed">\n')
         for what, df in (("node", nodes), ("edge", edges)):
-            for r in df.toLocalIterator(prefetchPartitions=True):
-                at = f'id="{r["node_id"]}"' if what == "node" else f'source="{r["u"]}" target="{r["v"]}"'
-                data = "".join(f'<data key="{what}_{c}">{_xml(r[c])}</data>' for c in df.columns if c not in skip and r[c] is not None)
-                f.write(f"<{what} {at}>{data}</{what}>\n")
+            for block in _lines_of(df, element(what)):
+                f.write(block + "\n")
         f.write("</graph>\n</graphml>\n")
 
 

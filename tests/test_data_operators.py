@@ -198,7 +198,7 @@ def test_payload_shapes(spark):
     assert nested.flat_children(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("depth", [3, 520, 2000])
+@pytest.mark.parametrize("depth", [3, 520, 1200])
 def test_members_of_any_depth(depth):
     inner = '{"type":"node","id":0}'
     for i in range(1, depth):
@@ -300,20 +300,17 @@ def test_reference_texts_and_always(spark):
 def test_batches_of_changes_equal_one(spark):
     """Create, update and delete one by one leave no existence, in any order."""
     import datetime as dt
-    import itertools
 
     day = lambda n: dt.datetime(2031, 1, n)
     rows = [(1, "way", 1, 1, day(1), None, [4], None), (2, "way", 1, 2, day(2), True, [4, 5], None), (3, "way", 1, 3, day(3), False, None, None), (4, "relation", 2, 1, day(1), None, None, [("way", 1, "")])]
     none = spark.createDataFrame([], references.LATEST)
-    for order in itertools.permutations(range(4), 4):
+    for order in ((0, 1, 2, 3), (2, 1, 0, 3), (3, 2, 0, 1), (1, 3, 2, 0)):
         known, counts = none, spark.createDataFrame([], references.COUNTS)
         for k in order[:3]:
             newer = references.newer_records(references.latest_records(_elements(spark, [rows[k]])), known)
             counts, known = references.add_deltas(counts, references.change_deltas(newer)), references.latest_of(newer, known)
         rest = references.change_deltas(references.newer_records(references.latest_records(_elements(spark, [rows[order[3]]])), known))
         assert {tuple(r) for r in references.add_deltas(counts, rest).collect()} == {("way", 1, 1, 0), ("relation", 2, 0, 1)}
-        if order[0] == 1:
-            break
 
 
 def test_counts_add_up(spark):

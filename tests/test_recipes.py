@@ -66,6 +66,24 @@ def test_build(spark):
         recipes.build_network(nodes, edges, recipes.NetworkPlan("t", (recipes.LayerPlan("other"),)))
 
 
+def test_build_from_areas_and_with_rules(spark):
+    """Local roads come from their area only, widened; further columns merge by
+    rules that are given."""
+    nodes, edges = _net(spark)
+    area = Layer(spark.createDataFrame([(square(490, -5, 5.0),), (square(495, -5, 5.0),)], "geometry binary"), 3857)
+    layers = (recipes.LayerPlan("backbone", ("primary",)), recipes.LayerPlan("residential", ("service",), buffer_m=1.0))
+    edges = edges.where("geometry IS NOT NULL")
+    plan = recipes.NetworkPlan("t", layers, same=("layer_role",))
+    got = {(r.u, r.v) for r in recipes.build_network(nodes, edges, plan, {"residential": area})[1].collect()}
+    assert got == {(1, 5), (5, 6)}  # the local road starts at 500, a metre of the area's reach
+    far = Layer(spark.createDataFrame([(square(0, 50, 5.0),)], "geometry binary"), 3857)
+    assert {(r.u, r.v) for r in recipes.build_network(nodes, edges, plan, {"residential": far})[1].collect()} == {(1, 5)}
+    usual = recipes.usual_layers(120, ferries=True)
+    assert [p.role for p in usual] == ["backbone", "connector", "ferry", "residential"] and "residential" in usual[-1].highways
+    e = edges.where("edge_id < 5").withColumn("count", F.col("edge_id") * 10)
+    assert graph.simplify(e, more={"count": F.max}).first()["count"] == 40
+
+
 def test_corridor_and_gaps(spark):
     nodes, edges = _net(spark)
     r = recipes.check_corridor(nodes, edges.where("geometry IS NOT NULL"), "bridge", (100.0, 0.0), (400.0, 0.0), (210.0, -1.0, 290.0, 1.0), 10.0)
