@@ -519,15 +519,57 @@ def _chain_line(start: str, sides: str) -> Column:
     return line(F.col(start), F.col(sides))
 
 
+def _near_groups(nodes: DataFrame, within: float) -> DataFrame:
+    """``(node_id, component)``: placed nodes that steps of at most ``within``
+    (Euclidean) connect, each group under one name; its pairs are never listed.
+
+    Cells are so small that the nodes of one are near each other, so only cells are
+    linked. Of two cells, whose near nodes are at most two cells apart, first the
+    outermost nodes of eight directions are tested, which settles cells that are
+    full; else the nodes of the one in reach of the other's box meet its nodes.
+    """
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    at = nodes.where(F.col("node_id").isNotNull() & (F.abs(x) < float("inf")) & (F.abs(y) < float("inf"))).select("node_id", x.alias("x"), y.alias("y"))
+    places = stored(at.groupBy("x", "y").agg(F.min("node_id").alias("node_id")), "places")
+    if not places.where(F.greatest(F.abs("x"), F.abs("y")) > 1e12 * within).isEmpty():  # cells would not be told apart
+        return components(close_nodes(at, within, "euclidean").select(F.col("a").alias("u"), F.col("b").alias("v")), at)
+    side = 0.6 * within
+    grid = lambda df: df.withColumns({"i": F.floor(F.col("x") / side), "j": F.floor(F.col("y") / side)})
+    point = F.struct("x", "y")
+    outer = [f(point, by) for by in (F.col("x"), F.col("y"), F.col("x") + F.col("y"), F.col("x") - F.col("y")) for f in (F.min_by, F.max_by)]
+    box = [F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")]
+    cells = stored(grid(places).groupBy("i", "j").agg(F.min("node_id").alias("cell"), *box, F.array_distinct(F.array(*outer)).alias("outer")), "cells")
+    ahead = F.array(*(F.struct(F.lit(a).cast("bigint").alias("di"), F.lit(b).cast("bigint").alias("dj")) for a in range(3) for b in range(-2, 3) if (a, b) > (0, 0)))
+    left = cells.select(F.col("cell").alias("a"), "i", "j", F.inline(ahead)).select("a", (F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j"))
+    pairs = left.join(cells.select(F.col("cell").alias("b"), "i", "j"), ["i", "j"]).select("a", "b")
+    whole = lambda k: cells.select(F.col("cell").alias(k), *(F.col(c).alias(f"{k}{c}") for c in ("x0", "x1", "y0", "y1", "outer")))
+    gap = lambda c: F.greatest(F.col(f"b{c}0") - F.col(f"a{c}1"), F.col(f"a{c}0") - F.col(f"b{c}1"), F.lit(0.0))
+    met = F.exists("aouter", lambda p: F.exists("bouter", lambda q: F.hypot(p["x"] - q["x"], p["y"] - q["y"]) <= within))
+    near = pairs.join(whole("a"), "a").join(whole("b"), "b").where(F.hypot(gap("x"), gap("y")) <= within)
+    near = stored(near.select("a", "b", *(f"b{c}" for c in ("x0", "x1", "y0", "y1")), met.alias("met")), "cell-pairs")
+    of = grid(places).join(cells.select("i", "j", "cell"), ["i", "j"])
+    p = of.select(F.col("cell").alias("a"), F.col("x").alias("px"), F.col("y").alias("py"))
+    q = of.select(F.col("cell").alias("b"), F.col("x").alias("qx"), F.col("y").alias("qy"))
+    off = lambda c: F.greatest(F.col(f"b{c}0") - F.col(f"p{c}"), F.col(f"p{c}") - F.col(f"b{c}1"), F.lit(0.0))
+    tried = near.where("NOT met").join(p, "a").where(F.hypot(off("x"), off("y")) <= within).select("a", "b", "px", "py")
+    tried = tried.join(q, "b").where(F.hypot(F.col("px") - F.col("qx"), F.col("py") - F.col("qy")) <= within)
+    # an id that stands at several places ties their cells
+    held = stored(grid(at).join(cells.select("i", "j", "cell"), ["i", "j"]).select("node_id", "cell"), "in-cells")
+    own = held.groupBy("node_id").agg(F.min("cell").alias("u"), F.max("cell").alias("most"))
+    ties = held.withColumnRenamed("cell", "v").join(own.where("u <> most"), "node_id").select("u", "v")
+    links = near.where("met").select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(tried.select(F.col("a").alias("u"), F.col("b").alias("v"))).unionByName(ties)
+    group = components(stored(links, "cell-links"), cells.select(F.col("cell").alias("node_id"))).withColumnRenamed("node_id", "u")
+    return own.join(group, "u").select("node_id", "component")
+
+
 def consolidate(nodes: DataFrame, edges: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame]:
     """Nodes whose circles of ``tolerance`` overlap and that the edges among them
     connect become one at their mean place; edges are led to it and those within
     one are dropped."""
-    near = close_nodes(nodes, 2 * tolerance, "euclidean").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    group = components(near, nodes)
+    group = stored(_near_groups(nodes, 2 * tolerance), "groups")
     g = lambda c: group.select(F.col("node_id").alias(c), F.col("component").alias(f"g{c}"))
-    within = edges.join(g("u"), "u").join(g("v"), "v").where("gu = gv").select("u", "v")
-    cluster = stored(components(within, nodes), "clusters")
+    within = edges.join(g("u"), "u").join(g("v"), "v").where("gu = gv AND u <> v").select("u", "v")
+    cluster = stored(components(stored(within, "within"), nodes), "clusters")
     merged = nodes.join(cluster, "node_id").groupBy(F.col("component").alias("node_id")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("n_nodes"))
     c = lambda k: cluster.select(F.col("node_id").alias(k), F.col("component").alias(f"c{k}"))
     led = edges.join(c("u"), "u").join(c("v"), "v").where("cu <> cv OR u = v").drop("u", "v").withColumnsRenamed({"cu": "u", "cv": "v"})

@@ -302,6 +302,39 @@ def test_simplify_and_consolidate(spark):
     assert {(r.u, r.v) for r in led.collect()} == {(1, 3), (4, 9)}
 
 
+@pytest.mark.parametrize("tolerance", [0.05, 0.4, 3.0, 1e-13])
+def test_consolidate_without_listing_pairs(spark, monkeypatch, tolerance):
+    """Crowded, repeated, scattered and missing places against a plain walk; the
+    pairs of a crowd are not listed."""
+    if tolerance > 1e-10:
+        monkeypatch.setattr(graph, "close_nodes", lambda *_: pytest.fail("the pairs are listed"))
+    rnd = np.random.default_rng(5)
+    xy = np.concatenate([np.repeat(rnd.integers(-3, 3, (5, 2)) * 0.8, 12, 0), rnd.normal(0, 1.5, (150, 2)), rnd.uniform(-40, 40, (90, 2)), rnd.integers(-9, 9, (60, 2)) * 0.8])
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(rnd.permutation(xy))]
+    rows += [(7, 500.0, 500.0), (400, 500.0, 500.0), (401, None, 0.0), (402, float("nan"), 0.0), (403, float("inf"), 0.0), (404, 0.0, float("-inf"))]
+    ids = sorted({r[0] for r in rows})
+    pairs = [(int(a), int(b)) for a, b in rnd.choice(ids, (700, 2))] + [(i, j) for i in (7, 401) for j in (400, 403, 404)] + [(402, 402)]
+
+    def parts(links):
+        name = {i: i for i in ids}
+        for a, b in links:
+            old, new = sorted((name[a], name[b]), reverse=True)
+            name = {k: new if n == old else n for k, n in name.items()}
+        return name
+
+    good = [r for r in rows if r[1] is not None and np.isfinite(r[1:]).all()]
+    group = parts((a[0], b[0]) for a in good for b in good if a[0] < b[0] and np.hypot(a[1] - b[1], a[2] - b[2]) <= 2 * tolerance)
+    name = parts((u, v) for u, v in pairs if group[u] == group[v])
+    n = spark.createDataFrame(rows, "node_id bigint, x double, y double")
+    e = spark.createDataFrame([(i, u, v) for i, (u, v) in enumerate(pairs)], "edge_id bigint, u bigint, v bigint")
+    nodes, led = graph.consolidate(n, e, tolerance)
+    sizes = {}
+    for i, _, _ in rows:
+        sizes[name[i]] = sizes.get(name[i], 0) + 1
+    assert {r.node_id: r.n_nodes for r in nodes.collect()} == sizes
+    assert {tuple(r) for r in led.select("edge_id", "u", "v").collect()} == {(i, name[u], name[v]) for i, (u, v) in enumerate(pairs) if name[u] != name[v] or u == v}
+
+
 def test_compose_and_speeds(spark):
     a = spark.createDataFrame([(1, 2, "main", 5)], "u int, v int, role string, x int")
     b = spark.createDataFrame([(1, 2, "local", None), (2, 3, "local", 7)], "u int, v int, role string, y int")
