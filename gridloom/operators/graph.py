@@ -73,11 +73,18 @@ def _onward(u: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _strong(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The least node of each node's strong component."""
+    return _strong_in_order(u, v, n)[0]
+
+
+def _strong_in_order(u: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, list[int]]:
     """The least node of each node's strong component, by one depth-first walk that
-    keeps the lowest step each node leads back to."""
+    keeps the lowest step each node leads back to; and these least nodes, each after
+    those that it leads to."""
     start, near = (x.tolist() for x in _onward(u, v, n))
     step, low, out = [0] * n, [0] * n, [-1] * n
     held: list[int] = []
+    order: list[int] = []
     clock = 0
     for root in range(n):
         if step[root]:
@@ -108,9 +115,10 @@ def _strong(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
                 while part[-1] != x:
                     part.append(held.pop())
                 least = min(part)
+                order.append(least)
                 for y in part:
                     out[y] = least
-    return np.array(out)
+    return np.array(out, np.int64), order
 
 
 def _hops(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
@@ -219,6 +227,18 @@ def reachable(edges: DataFrame, sources: DataFrame, backward: bool = False, most
     return _reach_by_parts(step, sources, most_rounds)
 
 
+def _parts(step: DataFrame) -> Callable[[str], Column]:
+    """The part of a node by its id, so that about LOCAL_EDGES edges start in each."""
+    kind = step.schema["u"].dataType
+    parts = step.count() // LOCAL_EDGES + 1
+    if isinstance(kind, T.StringType):
+        part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    else:
+        cuts = step.agg(F.percentile_approx("u", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
+        part = lambda c: sum((F.when(F.col(c) >= F.lit(x), 1).otherwise(0) for x in cuts), F.lit(0)).cast("int") if len(cuts) < 64 else F.size(F.filter(F.array(*(F.lit(x) for x in cuts)), lambda x: x <= F.col(c)))
+    return part
+
+
 def _reach_by_parts(step: DataFrame, sources: DataFrame, most_rounds: int) -> DataFrame:
     """Reachability of a graph that is larger than one task takes. Edges are cut by
     their starts into parts of about LOCAL_EDGES; neighbouring ids, which mostly are
@@ -227,12 +247,7 @@ def _reach_by_parts(step: DataFrame, sources: DataFrame, most_rounds: int) -> Da
     outside to the next round. So there are as many rounds as the ways change parts,
     not as they have edges; fewer hops found later are led on like new nodes."""
     kind = step.schema["u"].dataType
-    parts = step.count() // LOCAL_EDGES + 1
-    if isinstance(kind, T.StringType):
-        part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
-    else:
-        cuts = step.agg(F.percentile_approx("u", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
-        part = lambda c: sum((F.when(F.col(c) >= F.lit(x), 1).otherwise(0) for x in cuts), F.lit(0)).cast("int") if len(cuts) < 64 else F.size(F.filter(F.array(*(F.lit(x) for x in cuts)), lambda x: x <= F.col(c)))
+    part = _parts(step)
     step = stored(step.withColumn("part", part("u")), "parts")
     name = kind.simpleString()
     schema = f"node_id {name}, hops int, outside boolean"
@@ -277,25 +292,113 @@ def strong_components(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """``(node_id, component)``: strong components, named by their smallest node.
 
     Nodes joined in both directions are in one component and are contracted
-    first, which leaves little of a road graph. Then the least node that reaches
-    each node is spread forward; nodes that also reach that one form its
-    component; they are taken out and the rest goes on.
+    first, which leaves little of a road graph; what does not fit one task then is
+    settled part by part.
     """
     directed = stored(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select("u", "v").distinct(), "directed")
     both_ways = directed.intersect(directed.select(F.col("v").alias("u"), F.col("u").alias("v")))
     base = stored(components(both_ways, ends(edges)), "two-way")
     name = lambda c: base.select(F.col("node_id").alias(c), F.col("component").alias(f"c{c}"))
     left = cut(directed.join(name("u"), "u").join(name("v"), "v").where("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct())
+    names = _strong_names(left, most_rounds).select(F.col("node_id").alias("_c"), F.col("component").alias("_name"))
+    return cut(base.join(names, F.col("component") == F.col("_c"), "left").select("node_id", F.coalesce("_name", "component").alias("component")))
+
+
+def _strong_names(left: DataFrame, most_rounds: int) -> DataFrame:
+    """``(node_id, component)`` of distinct edges ``(u, v)`` without loops.
+
+    A graph that is larger than one task takes is cut into parts by its ids. Each
+    part is reduced to the ways between its border nodes, those with edges to other
+    parts, and the reduced graph is settled in the same manner, by fewer parts or in
+    one task. Then each part takes border nodes of one component as one node: ways
+    through it are closed by that, so its own components are right. A graph that
+    its parts do not reduce by a fifth is settled in rounds.
+    """
     if few(left, LOCAL_EDGES):
-        names = _in_one_task(left, _strong, "component").select(F.col("node_id").alias("_c"), F.col("component").alias("_name"))
-        return cut(base.join(names, F.col("component") == F.col("_c"), "left").select("node_id", F.coalesce("_name", "component").alias("component")))
-    rest = ends(left)
-    done = cut(base.select(F.col("component").alias("node_id")).distinct().join(rest, "node_id", "left_anti").withColumn("component", F.col("node_id")))
-    rest = cut(rest)
+        return _in_one_task(left, _strong, "component")
+    part = _parts(left)
+    name = left.schema["u"].dataType.simpleString()
+    both = stored(left.select("u", "v", part("u").alias("part"), part("v").alias("to")), "strong-parts")
+    inner, across = both.where("part = to").select("part", "u", "v"), both.where("part <> to")
+    border = across.select(F.explode(F.array(F.struct("part", F.col("u").alias("n")), F.struct(F.col("to").alias("part"), F.col("v").alias("n")))).alias("b")).select("b.part", "b.n").distinct()
+    marked = inner.unionByName(border.select("part", F.col("n").alias("u"), F.col("n").alias("v")))
+    ways = marked.groupBy("part").applyInPandas(_border_ways, f"u {name}, v {name}")
+    less = stored(across.select("u", "v").unionByName(ways), "border-ways")
+    if less.count() > 0.8 * both.count():
+        return _strong_in_rounds(left, most_rounds)
+    known = _strong_names(less, most_rounds).select("node_id", "component", part("node_id").alias("part"))
+    named = stored(inner.groupBy("part").cogroup(known.groupBy("part")).applyInPandas(_strong_within, f"node_id {name}, label {name}"), "strong-names")
+    least = named.groupBy("label").agg(F.min("node_id").alias("component"))
+    return named.join(least, "label").select("node_id", "component")
+
+
+def _border_ways(rows: pd.DataFrame) -> pd.DataFrame:
+    """The edges of a part, of which rows with ``u = v`` name the border nodes, made
+    fewer: the same border nodes reach each other. Components are taken as one node
+    each; of those without a border node go all that lead to one other or none,
+    or are led to from one or none, their ways leading past them."""
+    ids, code = np.unique(np.concatenate([rows["u"].to_numpy(), rows["v"].to_numpy()]), return_inverse=True)
+    u, v = code[: len(rows)], code[len(rows) :]
+    edge = u != v
+    border = np.unique(u[~edge])
+    comp, order = _strong_in_order(u[edge], v[edge], len(ids))
+    held: dict[int, list[int]] = {}
+    for b, c in zip(border.tolist(), comp[border].tolist()):
+        held.setdefault(c, []).append(b)
+    cu, cv = comp[u[edge]], comp[v[edge]]
+    start, near = (x.tolist() for x in _onward(cu[cu != cv], cv[cu != cv], len(ids)))
+    past: dict[int, int] = {}  # what a node that is left out leads to, -1 for nothing
+    outs: dict[int, set[int]] = {}
+    for c in order:
+        to = {past.get(d, d) for d in near[start[c] : start[c + 1]]} - {-1}
+        if c in held or len(to) > 1:
+            outs[c] = to
+        else:
+            past[c] = to.pop() if to else -1
+    ins: dict[int, set[int]] = {c: set() for c in outs}
+    for c, to in outs.items():
+        for d in to:
+            ins[d].add(c)
+    for c in reversed(order):
+        if c in held or c not in outs or len(ins[c]) > 1:
+            continue
+        to = outs.pop(c)
+        for d in to:
+            ins[d].discard(c)
+        for p in ins.pop(c):
+            outs[p].discard(c)
+            outs[p] |= to
+            for d in to:
+                ins[d].add(p)
+    at = lambda c: held[c][0] if c in held else c
+    ways = [(at(c), at(d)) for c, to in outs.items() for d in to]
+    ways += [w for part in held.values() if len(part) > 1 for w in zip(part, [*part[1:], part[0]])]
+    a, b = np.array(ways, np.int64).reshape(-1, 2).T
+    return pd.DataFrame({"u": ids[a], "v": ids[b]})
+
+
+def _strong_within(edges: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    """Names of all nodes of a part, of which some have theirs from outside."""
+    columns = [edges["u"], edges["v"], known["node_id"], known["component"]]
+    ids, code = np.unique(np.concatenate([c.to_numpy() for c in columns if len(c)]), return_inverse=True)
+    u, v, node, label = np.split(code, np.cumsum([len(c) for c in columns])[:-1])
+    one = np.arange(len(ids))
+    one[node] = label
+    comp = _strong(one[u], one[v], len(ids))
+    called = np.arange(len(ids))
+    called[comp[label]] = label
+    own = np.unique(np.concatenate([u, v, node]))
+    return pd.DataFrame({"node_id": ids[own], "label": ids[called[comp[one[own]]]]})
+
+
+def _strong_in_rounds(left: DataFrame, most_rounds: int) -> DataFrame:
+    """The least node that reaches each node is spread forward; nodes that also
+    reach that one form its component; they are taken out and the rest goes on."""
+    rest = cut(ends(left))
+    done = rest.limit(0).withColumn("component", F.col("node_id"))
     for _ in range(most_rounds):
         if rest.isEmpty():
-            names = done.select(F.col("node_id").alias("_c"), F.col("component").alias("_name"))
-            return base.join(names, F.col("component") == F.col("_c")).select("node_id", F.col("_name").alias("component"))
+            return done
         state = _spread(left, rest)
         part = cut(_same_colour_backward(left, state).select("node_id", F.col("label").alias("component")))
         done = cut(done.unionByName(part))

@@ -521,6 +521,23 @@ def test_closures_in_one_task_and_over_the_cluster(spark, monkeypatch, local, ki
     assert graph.components(e.limit(0)).count() == graph.strong_components(e.limit(0)).count() == graph.reachable(e, some.limit(0)).count() == 0
 
 
+def test_strong_components_of_long_ways(spark, monkeypatch):
+    """Long one-way roads and rings over many parts are settled without a round for
+    each of their edges."""
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 150)
+    monkeypatch.setattr(graph, "_spread", lambda *_: pytest.fail("a round for each edge"))
+    way = lambda a, b: [(i, i + 1) for i in range(a, b)]
+    pairs = way(0, 400) + way(1000, 1399) + [(1399, 1000), (5, 1000), (1200, 1700)] + way(1700, 1750)  # a road to a ring over parts, and one from it
+    want = {i: i for i in [*range(401), *range(1700, 1751)]} | dict.fromkeys(range(1000, 1400), 1000)
+    for i in range(2000, 2400, 20):  # small rings, linked one way
+        pairs += [*way(i, i + 19), (i + 19, i), (i + 7, i + 23)]
+        want |= dict.fromkeys(range(i, i + 20), i)
+    pairs += [*way(3000, 3300), (3300, 2990), (2990, 2500), (2500, 3000), (2405, 2501)]  # back below its start
+    want |= dict.fromkeys([2500, 2990, *range(3000, 3301)], 2500) | {2403: 2403, 2405: 2405, 2501: 2501}
+    e = spark.createDataFrame(pairs, "u bigint, v bigint")
+    assert {r.node_id: r.component for r in graph.strong_components(e).collect()} == want
+
+
 def test_quantiles_are_exact(spark):
     rnd = np.random.default_rng(3)
     rows = [(g, float(x)) for g, n in (("a", 501), ("b", 400), ("c", 1)) for x in rnd.integers(0, 50, n) / 4] + [("a", None), ("d", None)]
