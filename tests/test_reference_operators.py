@@ -335,6 +335,19 @@ def test_consolidate_without_listing_pairs(spark, monkeypatch, tolerance):
     assert {tuple(r) for r in led.select("edge_id", "u", "v").collect()} == {(i, name[u], name[v]) for i, (u, v) in enumerate(pairs) if name[u] != name[v] or u == v}
 
 
+def test_consolidated_edges_of_shared_places(spark, monkeypatch, tmp_path):
+    """The query against its SQL where several customers share each place."""
+    from gridloom.plans import network_queries
+
+    monkeypatch.setattr(graph, "close_nodes", lambda *_: pytest.fail("the pairs are listed"))
+    con = pytest.importorskip("duckdb").connect()
+    spark.range(2954).selectExpr("id AS c_custkey", "id % 25 AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    want = sorted(con.execute(network_queries.SQL["consolidated_edges"]).fetchall())
+    assert sorted(tuple(r) for r in network_queries.consolidated_edges(spark, str(tmp_path)).collect()) == want
+    assert len(want) < 2954  # edges within a place are gone
+
+
 def test_compose_and_speeds(spark):
     a = spark.createDataFrame([(1, 2, "main", 5)], "u int, v int, role string, x int")
     b = spark.createDataFrame([(1, 2, "local", None), (2, 3, "local", 7)], "u int, v int, role string, y int")
