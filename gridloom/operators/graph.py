@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from ..functions.aggregates import merge_edges
 from ..functions.tags import MAJOR_ROADS, first_class, protected_edge, truthy
 from ..functions.wkb import dumps, line_parts
-from ..runtime import cut, few, stored
+from ..runtime import cut, few, small_side, stored
 
 
 #: Edges of a graph that one task closes in memory.
@@ -188,6 +188,9 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: in
     all_nodes = ends(edges) if nodes is None else nodes.select("node_id").where("node_id IS NOT NULL").unionByName(ends(edges)).distinct()
     named = all_nodes.withColumn("label", F.col("node_id"))
     rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
+    if few(rest, LOCAL_EDGES):
+        least = _in_one_task(rest, _weak, "component")
+        return cut(all_nodes.join(least, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component")))
     for _ in range(most_rounds):
         if few(rest, LOCAL_EDGES):
             last = _in_one_task(rest, _weak, "component").select(F.col("node_id").alias("label"), F.col("component").alias("to"))
@@ -623,8 +626,9 @@ def _chain_line(start: str, sides: str) -> Column:
 
 
 def _near_groups(nodes: DataFrame, within: float) -> DataFrame:
-    """``(node_id, component)``: placed nodes that steps of at most ``within``
-    (Euclidean) connect, each group under one name; its pairs are never listed.
+    """``(node_id, component)``: nodes that steps of at most ``within`` (Euclidean)
+    connect, each group under one name; its pairs are never listed. A node without a
+    place is in no group with others.
 
     Cells are so small that the nodes of one are near each other, so only cells are
     linked. Of two cells, whose near nodes are at most two cells apart, first the
@@ -632,8 +636,9 @@ def _near_groups(nodes: DataFrame, within: float) -> DataFrame:
     full; else the nodes of the one in reach of the other's box meet its nodes.
     """
     x, y = F.col("x").cast("double"), F.col("y").cast("double")
-    at = nodes.where(F.col("node_id").isNotNull() & (F.abs(x) < float("inf")) & (F.abs(y) < float("inf"))).select("node_id", x.alias("x"), y.alias("y"))
-    places = stored(at.groupBy("x", "y").agg(F.min("node_id").alias("node_id")), "places")
+    placed = (F.abs(x) < float("inf")) & (F.abs(y) < float("inf"))
+    at = nodes.where("node_id IS NOT NULL").select("node_id", F.when(placed, x).alias("x"), F.when(placed, y).alias("y"))
+    places = stored(at.where("x IS NOT NULL").groupBy("x", "y").agg(F.min("node_id").alias("node_id")), "places")
     if not places.where(F.greatest(F.abs("x"), F.abs("y")) > 1e12 * within).isEmpty():  # cells would not be told apart
         return components(close_nodes(at, within, "euclidean").select(F.col("a").alias("u"), F.col("b").alias("v")), at)
     side = 0.6 * within
@@ -656,13 +661,14 @@ def _near_groups(nodes: DataFrame, within: float) -> DataFrame:
     off = lambda c: F.greatest(F.col(f"b{c}0") - F.col(f"p{c}"), F.col(f"p{c}") - F.col(f"b{c}1"), F.lit(0.0))
     tried = near.where("NOT met").join(p, "a").where(F.hypot(off("x"), off("y")) <= within).select("a", "b", "px", "py")
     tried = tried.join(q, "b").where(F.hypot(F.col("px") - F.col("qx"), F.col("py") - F.col("qy")) <= within)
-    # an id that stands at several places ties their cells
-    held = stored(grid(at).join(cells.select("i", "j", "cell"), ["i", "j"]).select("node_id", "cell"), "in-cells")
-    own = held.groupBy("node_id").agg(F.min("cell").alias("u"), F.max("cell").alias("most"))
-    ties = held.withColumnRenamed("cell", "v").join(own.where("u <> most"), "node_id").select("u", "v")
-    links = near.where("met").select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(tried.select(F.col("a").alias("u"), F.col("b").alias("v"))).unionByName(ties)
+    links = near.where("met").select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(tried.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    held = grid(at).join(cells.select("i", "j", "cell"), ["i", "j"], "left").select("node_id", "cell")
+    own = stored(held.groupBy("node_id").agg(F.min("cell").alias("u"), F.max("cell").alias("most")), "in-cells")
+    apart = own.where("u <> most")
+    if not apart.isEmpty():  # an id that stands at several places ties their cells
+        links = links.unionByName(held.where("cell IS NOT NULL").withColumnRenamed("cell", "v").join(apart, "node_id").select("u", "v"))
     group = components(stored(links, "cell-links"), cells.select(F.col("cell").alias("node_id"))).withColumnRenamed("node_id", "u")
-    return own.join(group, "u").select("node_id", "component")
+    return own.join(small_side(group), "u", "left").select("node_id", "component")
 
 
 def consolidate(nodes: DataFrame, edges: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame]:
@@ -671,11 +677,15 @@ def consolidate(nodes: DataFrame, edges: DataFrame, tolerance: float) -> tuple[D
     one are dropped."""
     group = stored(_near_groups(nodes, 2 * tolerance), "groups")
     g = lambda c: group.select(F.col("node_id").alias(c), F.col("component").alias(f"g{c}"))
-    within = edges.join(g("u"), "u").join(g("v"), "v").where("gu = gv AND u <> v").select("u", "v")
-    cluster = stored(components(stored(within, "within"), nodes), "clusters")
-    merged = nodes.join(cluster, "node_id").groupBy(F.col("component").alias("node_id")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("n_nodes"))
-    c = lambda k: cluster.select(F.col("node_id").alias(k), F.col("component").alias(f"c{k}"))
-    led = edges.join(c("u"), "u").join(c("v"), "v").where("cu <> cv OR u = v").drop("u", "v").withColumnsRenamed({"cu": "u", "cv": "v"})
+    near = F.coalesce(F.expr("gu = gv AND u <> v"), F.lit(False)).alias("_near")
+    known = stored(edges.join(g("u"), "u").join(g("v"), "v").select(*edges.columns, near), "known-edges")
+    # mostly few nodes get another's name, so neither edges nor nodes are moved again
+    other = small_side(components(known.where("_near").select("u", "v")).where("node_id <> component"))
+    merged = nodes.where("node_id IS NOT NULL").join(other, "node_id", "left").groupBy(F.coalesce("component", "node_id").alias("node_id"))
+    merged = merged.agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("n_nodes"))
+    c = lambda k: other.select(F.col("node_id").alias(k), F.col("component").alias(f"c{k}"))
+    led = known.drop("_near").join(c("u"), "u", "left").join(c("v"), "v", "left").withColumns({f"c{k}": F.coalesce(f"c{k}", k) for k in "uv"})
+    led = led.where("cu <> cv OR u = v").drop("u", "v").withColumnsRenamed({"cu": "u", "cv": "v"})
     return merged, led
 
 

@@ -348,6 +348,30 @@ def test_consolidated_edges_of_shared_places(spark, monkeypatch, tmp_path):
     assert len(want) < 2954  # edges within a place are gone
 
 
+def test_consolidate_reads_edges_once(spark):
+    """Groups, the edges within them and the edges led over come of one pass."""
+    read = {"u": spark.sparkContext.accumulator(0), "node_id": spark.sparkContext.accumulator(0)}
+
+    def counted(rows, schema):
+        df = spark.createDataFrame(rows, schema)
+        seen = read[df.columns[-1]]
+
+        def run(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return df.mapInArrow(run, df.schema)
+
+    places = [(0.0, 0.0, 1), (0.5, 0.0, 2), (0.9, 0.4, 3), (50.0, 0.0, 4), (50.0, 0.0, 5), (None, 0.0, 6), (7.0, 7.0, None)]
+    pairs = [("a", 2, 1), ("b", 3, 2), ("c", 4, 3), ("d", 5, 4), ("e", 6, 5), ("f", 6, 6), ("g", 99, 1), ("h", 3, None), ("i", 3, 3), ("j", 1, 6)]
+    nodes, led = graph.consolidate(counted(places, "x double, y double, node_id bigint"), counted([(k, v, u) for k, u, v in pairs], "edge_id string, v bigint, u bigint"), 0.5)
+    assert sorted(tuple(r) for r in led.select("edge_id", "u", "v").collect()) == [("c", 4, 1), ("e", 6, 4), ("f", 6, 6), ("i", 1, 1), ("j", 1, 6)]
+    assert read["u"].value == len(pairs)
+    assert {(r.node_id, r.n_nodes) for r in nodes.collect()} == {(1, 3), (4, 2), (6, 1)}
+    assert read["node_id"].value <= 3 * len(places)
+
+
 def test_compose_and_speeds(spark):
     a = spark.createDataFrame([(1, 2, "main", 5)], "u int, v int, role string, x int")
     b = spark.createDataFrame([(1, 2, "local", None), (2, 3, "local", 7)], "u int, v int, role string, y int")
